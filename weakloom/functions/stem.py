@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakloom.functions.fence import fenced
+
 # Fixed values of the published algorithm: suffix tables and irregular words.
 IRREGULAR = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -157,4 +159,4 @@ def stem_words(df: DataFrame, word: str, out: str) -> DataFrame:
         .when(F.length("_raw") <= 2, F.col("_raw"))
         .otherwise(F.translate(w, "Y", "y"))
     )
-    return t.select(*given, stem.alias(out))
+    return fenced(t, given, stem.alias(out))

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakloom.functions.fence import fenced
 from weakloom.operators.labeling import CLASSES
 
 # Training settings of the label model.
@@ -89,7 +90,8 @@ class LabelModel:
         return functools.reduce(operator.add, terms)
 
     def with_posterior(self, df: DataFrame, votes: str = "votes", out: str = "proba") -> DataFrame:
-        return df.withColumn(out, self.posterior(F.col(votes)))
+        kept = [c for c in df.columns if c != out]
+        return fenced(df, kept, self.posterior(F.col(votes)).alias(out))
 
     def predict(self, proba: Column) -> Column:
         return predicted_class(proba, self.classes)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weakloom.functions import lexicons
 from weakloom.functions import tokens as tk
+from weakloom.functions.fence import fenced
 from weakloom.operators import stemming
 
 # The label domain.
@@ -188,7 +189,9 @@ def with_distances(df: DataFrame, rules: Sequence[Rule], lexicon: Lexicon) -> Da
     arrays = with_phrase_arrays(df, longest)
     placed = arrays.select(*kept, *[group_positions(lexicon.phrases[g]).alias(f"_p_{g}") for g in groups])
     pairs = list(dict.fromkeys((r.left, r.right) for r in rules if r.kind == "near"))
-    return placed.select(*kept, *[
+    if not pairs:
+        return placed
+    return fenced(placed, kept, *[
         tk.rank_distance(f"_p_{a}", f"_p_{b}").alias(distance_name(a, b)) for a, b in pairs])
 
 
@@ -218,7 +221,7 @@ def _votes(frame: DataFrame, kept: Sequence[str], text: str, rules: Sequence[Rul
         (F.get("_base", F.lit(i)) > 0).cast("int") for i in range(len(primary))], F.lit(0))
     frame = frame.select(*kept, "_base", fired.alias("_fired"))
     slot = {r.name: i for i, r in enumerate(primary)}
-    return frame.select(*kept, F.array(*[
+    return fenced(frame, kept, F.array(*[
         F.when(F.col("_fired") < r.limit, F.lit(r.vote)).otherwise(F.lit(ABSTAIN)) if r.kind == "tally"
         else F.get("_base", F.lit(slot[r.name])) for r in rules]).alias("votes"))
 

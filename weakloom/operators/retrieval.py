@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weakloom.functions import vectors
+from weakloom.functions.fence import fenced
 from weakloom.operators import scan
 from weakloom.operators.labeling import LETTERS, NEUTRAL
 
@@ -22,8 +23,8 @@ def score(df: DataFrame, vector: str, query: Column, out: str = "results") -> Da
     ``query`` is a literal array or a scalar subquery, so nothing is joined.
     """
     kept = df.columns
-    return df.select(*kept, query.alias("_query")).select(
-        *kept, vectors.cosine(F.col(vector), F.col("_query")).alias(out))
+    return fenced(df.select(*kept, query.alias("_query")), kept,
+                  vectors.cosine(F.col(vector), F.col("_query")).alias(out))
 
 
 def above(df: DataFrame, threshold: float = THRESHOLD, below: float | None = None, results: str = "results") -> DataFrame:

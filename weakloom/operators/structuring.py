@@ -36,12 +36,14 @@ def document_paragraphs(df: DataFrame, doc: str = "doc_id", text: str = "text",
     first = F.get("_lines", F.lit(0))
     kept = lines.select(doc, *rest, tx.without_titles(F.col("_lines"), tx.closes(first)).alias("_kept"))
     pieces = kept.select(doc, *rest, tx.paragraph_pieces(F.col("_kept")).alias("_pieces"))
-    paragraphs = pieces.select(doc, *rest, F.transform(
-        F.slice("_pieces", F.lit(1), F.size("_pieces") - 1), tx.collapse_blanks).alias("_paragraphs"))
+    # The generator takes an expression, not a column: for a column Spark would add a filter
+    # on its size that repeats all of the above.
+    exploded = pieces.select(doc, *rest, F.posexplode(
+        F.slice("_pieces", F.lit(1), F.size("_pieces") - 1)).alias("para_id", "text"))
+    exploded = exploded.withColumn("text", tx.collapse_blanks(F.col("text")))
     if path:
-        paragraphs = with_title_grams(paragraphs, "_words").select(doc, F.transform(
-            "_paragraphs", lambda p: tx.remove_headers(p, F.col("_grams"), F.col("_short"))).alias("_paragraphs"))
-    exploded = paragraphs.select(doc, F.posexplode("_paragraphs").alias("para_id", "text"))
+        exploded = with_title_grams(exploded, "_words").select(
+            doc, "para_id", tx.remove_headers(F.col("text"), F.col("_grams"), F.col("_short")).alias("text"))
     return exploded.withColumn("text", tx.clean(F.col("text"))) if cleaned else exploded
 
 
@@ -151,7 +153,7 @@ def page_paragraphs(df: DataFrame, doc: str = "doc_id", page: str = "page", text
         tx.paragraph_pieces(F.col("_kept")).alias("_pieces"))
     exploded = pieces.select(
         doc, page, *rest, "ends_before", "n_paragraphs", "_tail", F.size("_pieces").alias("_n"),
-        F.posexplode("_pieces").alias("_k", "_piece")).select(
+        F.posexplode_outer("_pieces").alias("_k", "_piece")).select(
         doc, page, *rest, (F.col("ends_before") + F.col("_k")).alias("para_id"), "n_paragraphs", "_tail",
         (F.col("_k") == 0).alias("_head_piece"), (F.col("_k") == F.col("_n") - 1).alias("_last_piece"), "_piece")
     # Lines after the last closing line of the document are dropped before anything moves.

@@ -43,7 +43,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.RETR
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(header="true", quote='"', escape='"', emptyValue='""', nullValue="").csv(path)
+    df.write.mode(mode).options(
+        header="true", quote='"', escape='"', emptyValue='""', nullValue="",
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
