@@ -173,8 +173,8 @@ vocabulary AS (SELECT DISTINCT unnest(t) AS token FROM raw
                UNION SELECT word FROM lexicon_words),
 {stems_of("vocabulary")},
 phrase_stems AS (SELECT word, stem FROM lexicon_words JOIN stems ON word = token),
-spread AS (SELECT {keys}, unnest(t) AS token, unnest(range(len(t))) AS at FROM raw),
-gathered AS (SELECT {keys}, list(stem ORDER BY at) AS t FROM spread JOIN stems USING (token) GROUP BY {keys}),
+spread AS (SELECT {keys}, unnest(t) AS token, unnest(range(len(t))) AS place FROM raw),
+gathered AS (SELECT {keys}, list(stem ORDER BY place) AS t FROM spread JOIN stems USING (token) GROUP BY {keys}),
 tok AS (SELECT {", ".join("raw." + k.strip() for k in keys.split(","))}, raw.text, lower(coalesce(raw.text, '')) AS low,
         coalesce(gathered.t, []) AS t FROM raw LEFT JOIN gathered USING ({keys}))"""
 
@@ -434,8 +434,8 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
         f"vocabulary AS (SELECT DISTINCT unnest({TOKENS}) AS token FROM benchmark),\n"
         "vectors AS (SELECT token, list_sum(embedding::DOUBLE[]) AS total FROM vocabulary JOIN embeddings ON vec_id = 5 * length(token)),\n"
         f"tok AS (SELECT doc_id, ({short_tokens})[1:50] AS t FROM documents),\n"
-        "slots AS (SELECT doc_id, i - 1 AS at, t[i] AS token FROM (SELECT doc_id, t, unnest(range(1, 51)) AS i FROM tok))",
-        "SELECT doc_id, at, round(coalesce(total, 0), 6) AS total FROM slots LEFT JOIN vectors USING (token)")
+        "slots AS (SELECT doc_id, i - 1 AS place, t[i] AS token FROM (SELECT doc_id, t, unnest(range(1, 51)) AS i FROM tok))",
+        "SELECT doc_id, place AS at, round(coalesce(total, 0), 6) AS total FROM slots LEFT JOIN vectors USING (token)")
     o["model_features"] = _with(
         "cut AS (SELECT doc_id, string_split(text, ' ')[1:50] AS w FROM documents)",
         "SELECT doc_id, i - 1 AS at, CASE WHEN i <= len(w) THEN length(w[i]) + i - 1 ELSE 0 END::DOUBLE AS total "
