@@ -159,4 +159,4 @@ def stem_words(df: DataFrame, word: str, out: str) -> DataFrame:
         .when(F.length("_raw") <= 2, F.col("_raw"))
         .otherwise(F.translate(w, "Y", "y"))
     )
-    return fenced(t, given, stem.alias(out))
+    return fenced(t, given, {out: stem})

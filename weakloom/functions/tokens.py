@@ -55,6 +55,12 @@ def first_at(at: str, phrases: str, phrase: str) -> Column:
     return F.get(at, F.array_position(phrases, phrase).cast("int") - 1)
 
 
+def first_positions(at: str, phrases: str, wanted: Iterable[str]) -> Column:
+    """``first_at`` of each wanted phrase, as an array."""
+    return F.transform(F.array(*[F.lit(p) for p in wanted]),
+                       lambda p: F.get(at, F.array_position(phrases, p).cast("int") - 1))
+
+
 def rank_distance(left: Column | str, right: Column | str) -> Column:
     """Smallest gap between equally ranked positions of two sorted position arrays.
 

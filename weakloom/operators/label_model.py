@@ -73,14 +73,6 @@ class LabelModel:
     balance: tuple
     classes: tuple = CLASSES
 
-    def posterior(self, votes: Column) -> Column:
-        """``ARRAY<DOUBLE>`` of class probabilities; abstaining rules say nothing."""
-        scores = [self._score(votes, y) for y in range(len(self.classes))]
-        top = F.greatest(*scores)
-        weights = [F.exp(s - top) for s in scores]
-        total = functools.reduce(operator.add, weights)
-        return F.array(*[w / total for w in weights])
-
     def _score(self, votes: Column, y: int) -> Column:
         terms = [F.lit(math.log(self.balance[y]))]
         for j, table in enumerate(self.given):
@@ -90,8 +82,13 @@ class LabelModel:
         return functools.reduce(operator.add, terms)
 
     def with_posterior(self, df: DataFrame, votes: str = "votes", out: str = "proba") -> DataFrame:
+        """Add ``ARRAY<DOUBLE>`` of class probabilities; abstaining rules say nothing."""
         kept = [c for c in df.columns if c != out]
-        return fenced(df, kept, self.posterior(F.col(votes)).alias(out))
+        names = [f"_score_{y}" for y in range(len(self.classes))]
+        scored = df.select(*kept, *[self._score(F.col(votes), y).alias(n) for y, n in enumerate(names)])
+        weighted = scored.select(*kept, *[F.exp(F.col(n) - F.greatest(*names)).alias(n) for n in names])
+        total = functools.reduce(operator.add, [F.col(n) for n in names])
+        return fenced(weighted, kept, {out: F.array(*[F.col(n) / total for n in names])})
 
     def predict(self, proba: Column) -> Column:
         return predicted_class(proba, self.classes)

@@ -174,11 +174,19 @@ def group_positions(phrases: Sequence[str]) -> Column:
 
     A phrase listed twice, or two phrases with equal stems, contribute their position twice.
     """
-    matchable = [p for p in phrases if all(tk.phrase_words(p))]
-    if not matchable:
+    by_width: dict[int, list[str]] = {}
+    for phrase in phrases:
+        words = tk.phrase_words(phrase)
+        if all(words):
+            by_width.setdefault(len(words), []).append(phrase)
+    if not by_width:
         return F.array().cast("array<int>")
-    return F.array_sort(F.array(*[
-        tk.first_at("_at", f"_g{len(tk.phrase_words(p))}", p) for p in matchable]))
+    # One lambda per phrase width rather than one expression per phrase keeps the generated
+    # code of the stage below the size the JVM compiles.
+    found = F.array_sort(F.concat(*[
+        tk.first_positions("_at", f"_g{n}", listed) for n, listed in by_width.items()]))
+    # Most texts hold no phrase word at all and need no search.
+    return F.when(F.size("_at") > 0, found)
 
 
 def with_distances(df: DataFrame, rules: Sequence[Rule], lexicon: Lexicon) -> DataFrame:
@@ -191,8 +199,8 @@ def with_distances(df: DataFrame, rules: Sequence[Rule], lexicon: Lexicon) -> Da
     pairs = list(dict.fromkeys((r.left, r.right) for r in rules if r.kind == "near"))
     if not pairs:
         return placed
-    return fenced(placed, kept, *[
-        tk.rank_distance(f"_p_{a}", f"_p_{b}").alias(distance_name(a, b)) for a, b in pairs])
+    return fenced(placed, kept, {
+        distance_name(a, b): tk.rank_distance(f"_p_{a}", f"_p_{b}") for a, b in pairs})
 
 
 def distance_name(left: str, right: str) -> str:
@@ -221,9 +229,9 @@ def _votes(frame: DataFrame, kept: Sequence[str], text: str, rules: Sequence[Rul
         (F.get("_base", F.lit(i)) > 0).cast("int") for i in range(len(primary))], F.lit(0))
     frame = frame.select(*kept, "_base", fired.alias("_fired"))
     slot = {r.name: i for i, r in enumerate(primary)}
-    return fenced(frame, kept, F.array(*[
+    return fenced(frame, kept, {"votes": F.array(*[
         F.when(F.col("_fired") < r.limit, F.lit(r.vote)).otherwise(F.lit(ABSTAIN)) if r.kind == "tally"
-        else F.get("_base", F.lit(slot[r.name])) for r in rules]).alias("votes"))
+        else F.get("_base", F.lit(slot[r.name])) for r in rules])})
 
 
 def vote_matrix(df: DataFrame, text: str, rules: Sequence[Rule], lexicon: Lexicon) -> DataFrame:

@@ -24,7 +24,7 @@ def score(df: DataFrame, vector: str, query: Column, out: str = "results") -> Da
     """
     kept = df.columns
     return fenced(df.select(*kept, query.alias("_query")), kept,
-                  vectors.cosine(F.col(vector), F.col("_query")).alias(out))
+                  {out: vectors.cosine(F.col(vector), F.col("_query"))})
 
 
 def above(df: DataFrame, threshold: float = THRESHOLD, below: float | None = None, results: str = "results") -> DataFrame:

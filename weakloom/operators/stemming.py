@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from weakloom.functions import tokens as tk
 from weakloom.functions.stem import stem_words
-from weakloom.session import fits
 
 MAX_FORMS = 20_000
 
@@ -39,7 +38,7 @@ def lexicon_words(groups: Mapping[str, Iterable[str]]) -> list[str]:
 
 def stem_table(spark: SparkSession, words: list[str]) -> dict[str, str]:
     """Stems of a phrase list's words; as small as the list itself."""
-    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    frame = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("word"))
     return {r.word: r.stem for r in stem_words(frame, "word", "stem").collect()}
 
 
@@ -67,9 +66,8 @@ def collect_forms(forms: DataFrame, max_forms: int = MAX_FORMS) -> dict[str, str
     Only finitely many words reduce to the stem of a phrase word, so this normally holds;
     beyond it ``occurrences_by_join`` gives the same result through a join.
     """
-    if not fits(forms, max_forms):
-        return None
-    return {r.token: r.stem for r in forms.collect()}
+    rows = forms.limit(max_forms + 1).collect()
+    return None if len(rows) > max_forms else {r.token: r.stem for r in rows}
 
 
 def occurrences_by_join(df: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:

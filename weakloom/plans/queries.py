@@ -103,7 +103,7 @@ def _conversations(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return sd.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sd.documents(spark, sf_dir, "doc_id", "text")
 
 
 def _titled(spark, sf_dir):
@@ -268,7 +268,7 @@ def corrected_labels(spark, sf_dir):
 
 
 def _countries(spark, sf_dir):
-    docs = sd.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = sd.documents(spark, sf_dir, "doc_id", "lang", "text")
     names = {"de": "Germany", "en": "England", "es": "Spain", "fr": "France"}
     return retrieval.union_countries(
         {name: docs.where(F.col("lang") == lang).drop("lang") for lang, name in names.items()}, "doc_id")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from weakloom.functions.lexicons import with_negative_all
 from weakloom.operators.labeling import NEGATIVE, NEUTRAL, POSITIVE
+from weakloom.operators.stemming import vocabulary
+from weakloom.sources import files
 
 PHRASES = with_negative_all({
     "implementing": ["was", "from", "this", "be", "of the", "by"],
@@ -36,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, on all cores."""
+    return files.spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def gold_class(quality: Column, toxic: Column) -> Column:
     """Gold class of a labelled document, null where there is no label."""
     return (F.when(toxic == 1, F.lit(NEGATIVE)).when(quality == 1, F.lit(POSITIVE))
@@ -48,7 +55,7 @@ def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their gold class, null for unlabelled ones."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(
+    return documents(spark, sf_dir, "doc_id", "lang", "text").join(
         gold_labels(spark, sf_dir), "doc_id", "left")
 
 
@@ -80,7 +87,6 @@ def logits_and_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(token, vector)``: every token of the benchmark texts with the embedding whose id is
     five times the token's length."""
-    from weakloom.operators.stemming import vocabulary
     words = vocabulary(table(spark, sf_dir, "benchmark"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"))
     return words.withColumn("_id", F.length("token") * 5).join(vectors, "_id").select("token", "vector")

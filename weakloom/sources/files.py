@@ -48,6 +48,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input in few files dealt out to all cores.
+
+    A large input already has more scan partitions than cores and is left as it is, so no
+    text is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Arrays keyed by id."""
     return spark.read.parquet(path)
