@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakloom.functions import literals as lit
 from weakloom.functions.fence import fenced
 
 # Fixed values of the published algorithm: suffix tables and irregular words.
@@ -67,7 +68,7 @@ def _ends_in(region: str, word: Column, suffix: Column | int) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    return F.element_at(F.expr(lit.string_map(table)), key)
 
 
 def stem_words(df: DataFrame, word: str, out: str) -> DataFrame:
@@ -155,8 +156,7 @@ def stem_words(df: DataFrame, word: str, out: str) -> DataFrame:
     )
     t = step(t, last)
     stem = (
-        F.when(F.col("_raw").isin(*IRREGULAR), _lookup(IRREGULAR, F.col("_raw")))
-        .when(F.length("_raw") <= 2, F.col("_raw"))
-        .otherwise(F.translate(w, "Y", "y"))
+        F.when(F.length("_raw") <= 2, F.col("_raw"))
+        .otherwise(F.coalesce(_lookup(IRREGULAR, F.col("_raw")), F.translate(w, "Y", "y")))
     )
     return fenced(t, given, {out: stem})

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weakloom.functions import literals as lit
+
 # Letters, digits and underscore of every script.
 WORD = r"[\p{L}\p{N}_]+"
 # Distance reported when one of the two phrase groups does not occur.
@@ -24,21 +26,20 @@ def phrase_words(phrase: str) -> list[str]:
     return phrase.split(" ")
 
 
-def occurrences(token_array: Column, forms: Mapping[str, str]) -> Column:
-    """``(word, at)`` for every token found in ``forms``, in text order.
+def occurrences(token_array: str, forms: Mapping[str, str]) -> Column:
+    """``(word, at)`` for every token of the array column found in ``forms``, in text order.
 
     ``forms`` maps a token to the word it stands for: itself, or its stem. Its size is that
     of the phrase lists, not of the text, and most rows keep only a few entries, so the
     searches that follow run on short arrays.
     """
-    indexed = F.transform(token_array, lambda t, i: F.struct(t.alias("word"), i.alias("at")))
-    kept = F.filter(indexed, lambda x: x["word"].isin(*forms))
+    kept = (f"filter(transform({token_array}, (t, i) -> named_struct('word', t, 'at', i)), "
+            f"x -> x.word IN ({lit.strings(forms)}))")
     renamed = {k: v for k, v in forms.items() if k != v}
-    if not renamed:
-        return kept
-    table = F.create_map(*[F.lit(x) for kv in renamed.items() for x in kv])
-    return F.transform(kept, lambda x: F.struct(
-        F.coalesce(F.element_at(table, x["word"]), x["word"]).alias("word"), x["at"].alias("at")))
+    if renamed:
+        kept = (f"transform({kept}, x -> named_struct('word', "
+                f"coalesce(element_at({lit.string_map(renamed)}, x.word), x.word), 'at', x.at))")
+    return F.expr(kept)
 
 
 def adjacent(words: str, at: str, n: int) -> Column:
@@ -55,36 +56,38 @@ def first_at(at: str, phrases: str, phrase: str) -> Column:
     return F.get(at, F.array_position(phrases, phrase).cast("int") - 1)
 
 
-def first_positions(at: str, phrases: str, wanted: Iterable[str]) -> Column:
-    """``first_at`` of each wanted phrase, as an array."""
-    return F.transform(F.array(*[F.lit(p) for p in wanted]),
-                       lambda p: F.get(at, F.array_position(phrases, p).cast("int") - 1))
+def first_positions(at: str, phrases: str, wanted: Iterable[str]) -> str:
+    """``first_at`` of each wanted phrase, as an array expression."""
+    return f"transform({lit.string_array(wanted)}, p -> get({at}, cast(array_position({phrases}, p) AS int) - 1))"
 
 
-def rank_distance(left: Column | str, right: Column | str) -> Column:
+def rank_distance(left: str, right: str) -> Column:
     """Smallest gap between equally ranked positions of two sorted position arrays.
 
     The longer array is cut to the length of the shorter one: padding with null makes those
     differences null, and the minimum skips them. Missing positions sort last and are null too.
     """
-    gaps = F.zip_with(left, right, lambda a, b: F.abs(a - b))
-    return F.coalesce(F.array_min(gaps), F.lit(NOT_FOUND))
+    return F.expr(f"coalesce(array_min(zip_with({left}, {right}, (a, b) -> abs(a - b))), {NOT_FOUND})")
 
 
-def contains_any(lowered: Column, phrases: Iterable[str]) -> Column:
-    """Any of the phrases is a substring of the text."""
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | F.contains(lowered, F.lit(phrase))
-    return found
+def contains_any(lowered: str, phrases: Iterable[str]) -> str:
+    """Any of the phrases is a substring of the text, as a condition."""
+    return "(" + " OR ".join(f"contains({lowered}, {lit.string(p)})" for p in phrases) + ")"
 
 
-def prefix_pattern(words: Iterable[str]) -> str:
-    """Matches tokens that may share a stem with one of ``words``.
+def shared_head(stem: str) -> str:
+    """Letters every word with this stem starts with.
 
-    A stem differs from its word in the last two letters at most, so the letters before them
-    decide; irregular forms share at least the first letter.
+    The stemmer rewrites at most the last letter of what becomes the stem, two of them in
+    -bility to -ble and in dying, lying and tying, none in stems of one or two letters.
     """
-    heads = sorted({w[:max(1, len(w) - 2)] for w in words if w})
-    heads = [h for h in heads if not any(h != o and h.startswith(o) for o in heads)]
-    return "^(?:" + "|".join(re.escape(h) for h in heads) + ")"
+    if len(stem) <= 2:
+        return stem
+    return stem[:-2] if stem.endswith("ble") or stem in ("die", "lie", "tie") else stem[:-1]
+
+
+def prefix_pattern(stems: Iterable[str]) -> str:
+    """Matches the tokens that may have one of the stems, by their first letters."""
+    heads = {shared_head(s) for s in stems if s}
+    shortest = sorted(h for h in heads if not any(h != o and h.startswith(o) for o in heads))
+    return "^(?:" + "|".join(re.escape(h) for h in shortest) + ")"

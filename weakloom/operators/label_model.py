@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakloom.functions import literals as lit
 from weakloom.functions.fence import fenced
 from weakloom.operators.labeling import CLASSES
 
@@ -73,19 +74,18 @@ class LabelModel:
     balance: tuple
     classes: tuple = CLASSES
 
-    def _score(self, votes: Column, y: int) -> Column:
-        terms = [F.lit(math.log(self.balance[y]))]
-        for j, table in enumerate(self.given):
-            logs = [0.0, *[math.log(row[y]) for row in table]]
-            if any(logs):
-                terms.append(F.get(F.array(*[F.lit(x) for x in logs]), F.get(votes, F.lit(j))))
-        return functools.reduce(operator.add, terms)
+    def _score(self, votes: str, y: int) -> Column:
+        """Log of the class share plus, per rule, the log-probability of its vote."""
+        logs = [[0.0, *[math.log(row[y]) for row in table]] for table in self.given]
+        terms = [f"{math.log(self.balance[y])!r}D"]
+        terms += [f"get({lit.double_array(row)}, {votes}[{j}])" for j, row in enumerate(logs)]
+        return F.expr(" + ".join(terms))
 
     def with_posterior(self, df: DataFrame, votes: str = "votes", out: str = "proba") -> DataFrame:
         """Add ``ARRAY<DOUBLE>`` of class probabilities; abstaining rules say nothing."""
         kept = [c for c in df.columns if c != out]
         names = [f"_score_{y}" for y in range(len(self.classes))]
-        scored = df.select(*kept, *[self._score(F.col(votes), y).alias(n) for y, n in enumerate(names)])
+        scored = df.select(*kept, *[self._score(votes, y).alias(n) for y, n in enumerate(names)])
         weighted = scored.select(*kept, *[F.exp(F.col(n) - F.greatest(*names)).alias(n) for n in names])
         total = functools.reduce(operator.add, [F.col(n) for n in names])
         return fenced(weighted, kept, {out: F.array(*[F.col(n) / total for n in names])})

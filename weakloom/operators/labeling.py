@@ -8,8 +8,6 @@ is shuffled.
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weakloom.functions import lexicons
+from weakloom.functions import literals as lit
 from weakloom.functions import tokens as tk
 from weakloom.functions.fence import fenced
 from weakloom.operators import stemming
@@ -156,7 +155,7 @@ def with_occurrences(df: DataFrame, text: str, forms: Mapping[str, str], out: st
     """Add the matching tokens of each row."""
     kept = df.columns
     tokenised = df.select(*kept, tk.tokens(F.col(text)).alias("_tokens"))
-    hits = tk.occurrences(F.col("_tokens"), forms) if forms else F.lit(None).cast("array<struct<word:string,at:int>>")
+    hits = tk.occurrences("_tokens", forms) if forms else F.lit(None).cast("array<struct<word:string,at:int>>")
     return tokenised.select(*kept, hits.alias(out))
 
 
@@ -183,10 +182,9 @@ def group_positions(phrases: Sequence[str]) -> Column:
         return F.array().cast("array<int>")
     # One lambda per phrase width rather than one expression per phrase keeps the generated
     # code of the stage below the size the JVM compiles.
-    found = F.array_sort(F.concat(*[
-        tk.first_positions("_at", f"_g{n}", listed) for n, listed in by_width.items()]))
+    found = ", ".join(tk.first_positions("_at", f"_g{n}", listed) for n, listed in by_width.items())
     # Most texts hold no phrase word at all and need no search.
-    return F.when(F.size("_at") > 0, found)
+    return F.expr(f"CASE WHEN size(_at) > 0 THEN array_sort(concat({found})) END")
 
 
 def with_distances(df: DataFrame, rules: Sequence[Rule], lexicon: Lexicon) -> DataFrame:
@@ -209,29 +207,25 @@ def distance_name(left: str, right: str) -> str:
 
 def _votes(frame: DataFrame, kept: Sequence[str], text: str, rules: Sequence[Rule], lexicon: Lexicon) -> DataFrame:
     """Votes from a frame that holds the distances."""
-    lowered = F.col("_lower")
-
-    def base(rule: Rule) -> Column:
+    def condition(rule: Rule) -> str:
         if rule.kind == "near":
-            fires = F.col(distance_name(rule.left, rule.right)) < rule.limit
-        elif rule.kind == "contains":
-            fires = tk.contains_any(lowered, lexicon.raw[rule.left])
-        elif rule.kind == "pattern":
-            fires = lowered.rlike(rule.regex)
-        else:
-            return F.coalesce(rule.build(F.col(text)).cast("int"), F.lit(ABSTAIN))
-        return F.when(fires, F.lit(rule.vote)).otherwise(F.lit(ABSTAIN))
+            return f"{distance_name(rule.left, rule.right)} < {rule.limit}"
+        if rule.kind == "contains":
+            return tk.contains_any("_lower", lexicon.raw[rule.left])
+        return f"_lower RLIKE {lit.string(rule.regex)}"
 
     primary = [r for r in rules if r.kind != "tally"]
-    frame = frame.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    frame = frame.select(*kept, F.array(*[base(r) for r in primary]).alias("_base"))
-    fired = functools.reduce(operator.add, [
-        (F.get("_base", F.lit(i)) > 0).cast("int") for i in range(len(primary))], F.lit(0))
-    frame = frame.select(*kept, "_base", fired.alias("_fired"))
+    custom = {r.name: f"_custom_{i}" for i, r in enumerate(primary) if r.kind == "custom"}
+    frame = frame.select("*", F.lower(F.coalesce(text, F.lit(""))).alias("_lower"), *[
+        r.build(F.col(text)).cast("int").alias(custom[r.name]) for r in primary if r.kind == "custom"])
+    base = [f"coalesce({custom[r.name]}, {ABSTAIN})" if r.kind == "custom"
+            else f"CASE WHEN {condition(r)} THEN {r.vote} ELSE {ABSTAIN} END" for r in primary]
+    frame = frame.select(*kept, F.expr(f"array({', '.join(base)})").alias("_base"))
+    frame = frame.select(*kept, "_base", F.expr("size(filter(_base, v -> v > 0))").alias("_fired"))
     slot = {r.name: i for i, r in enumerate(primary)}
-    return fenced(frame, kept, {"votes": F.array(*[
-        F.when(F.col("_fired") < r.limit, F.lit(r.vote)).otherwise(F.lit(ABSTAIN)) if r.kind == "tally"
-        else F.get("_base", F.lit(slot[r.name])) for r in rules])})
+    votes = [f"CASE WHEN _fired < {r.limit} THEN {r.vote} ELSE {ABSTAIN} END" if r.kind == "tally"
+             else f"_base[{slot[r.name]}]" for r in rules]
+    return fenced(frame, kept, {"votes": F.expr(f"array({', '.join(votes)})")})
 
 
 def vote_matrix(df: DataFrame, text: str, rules: Sequence[Rule], lexicon: Lexicon) -> DataFrame:
@@ -260,6 +254,6 @@ def stemmed_votes_by_join(df: DataFrame, key: str, text: str, rules: Sequence[Ru
 
 def long_votes(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     """One row per key and rule: ``(key, rule_no, rule, vote)``."""
-    names = F.array(*[F.lit(r.name) for r in rules])
+    names = F.expr(lit.string_array(r.name for r in rules))
     return df.select(key, F.posexplode("votes").alias("rule_no", "vote")).select(
         key, "rule_no", F.get(names, F.col("rule_no")).alias("rule"), "vote")

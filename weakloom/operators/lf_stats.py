@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weakloom.functions import literals as lit
 from weakloom.operators.labeling import CLASSES, Rule
 
 
@@ -49,7 +50,7 @@ def lf_summary(patterns: DataFrame, rules: Sequence[Rule], gold: str | None = No
     if gold:
         aggregates += [total(fires & (F.col("vote") == F.col(gold))).alias("correct"),
                        total(fires & (F.col("vote") != F.col(gold))).alias("incorrect")]
-    names = F.array(*[F.lit(r.name) for r in rules])
+    names = F.expr(lit.string_array(r.name for r in rules))
     out = _per_rule(patterns, gold).groupBy("rule_no").agg(*aggregates)
     if gold:
         judged = F.col("correct") + F.col("incorrect")

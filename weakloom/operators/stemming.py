@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weakloom.functions import literals as lit
 from weakloom.functions import tokens as tk
 from weakloom.functions.stem import stem_words
 
@@ -38,7 +39,7 @@ def lexicon_words(groups: Mapping[str, Iterable[str]]) -> list[str]:
 
 def stem_table(spark: SparkSession, words: list[str]) -> dict[str, str]:
     """Stems of a phrase list's words; as small as the list itself."""
-    frame = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("word"))
+    frame = spark.range(1).select(F.explode(F.expr(lit.string_array(words))).alias("word"))
     return {r.word: r.stem for r in stem_words(frame, "word", "stem").collect()}
 
 
@@ -57,7 +58,7 @@ def surface_forms(df: DataFrame, text: str, stems: Mapping[str, str]) -> DataFra
     """
     wanted = sorted(set(stems.values()))
     candidates = vocabulary(df, text, F.col("token").rlike(tk.prefix_pattern(wanted)))
-    return stem_words(candidates, "token", "stem").where(F.col("stem").isin(*wanted))
+    return stem_words(candidates, "token", "stem").where(f"stem IN ({lit.strings(wanted)})")
 
 
 def collect_forms(forms: DataFrame, max_forms: int = MAX_FORMS) -> dict[str, str] | None:
