@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from weakloom.functions import tokens as tk
 from weakloom.functions import vectors
 from weakloom.functions.text import first_words
+from weakloom.operators.skew import salted_join
 from weakloom.session import broadcast_if_small
 
 MAX_BROADCAST_ROWS = 50_000
-SALTS = 32
 
 
 def truncated_tokens(text: Column, max_len: int = vectors.MAX_TOKENS) -> Column:
@@ -32,12 +32,8 @@ def encode_by_lookup(df: DataFrame, key: str, text: str, table: DataFrame, width
     """
     tokenised = df.select(key, F.posexplode_outer(truncated_tokens(F.col(text), max_len)).alias("at", "token"))
     side, small = broadcast_if_small(table.select("token", "vector"), MAX_BROADCAST_ROWS)
-    if small:
-        found = tokenised.join(side, "token", "left")
-    else:
-        spread = side.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        salted = tokenised.withColumn("_salt", F.pmod(F.xxhash64(key, "at"), F.lit(SALTS)).cast("int"))
-        found = salted.join(spread, ["token", "_salt"], "left").drop("_salt")
+    found = (tokenised.join(side, "token", "left") if small
+             else salted_join(tokenised, side, "token", [key, "at"], "left"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), width)
     filled = found.select(key, "at", F.coalesce(F.col("vector").cast("array<float>"), zero).alias("vector"))
     # At most ``max_len`` vectors per key.

@@ -18,27 +18,33 @@ CHUNK = 4096
 
 
 def _chunk_of(order: str, chunk: int) -> Column:
-    return F.floor(F.col(order) / F.lit(chunk)).cast("long")
+    return F.expr(f"{order} div {int(chunk)}")
 
 
-def previous_value(df: DataFrame, group: Sequence[str], order: str, value: str, out: str,
-                   chunk: int = CHUNK) -> DataFrame:
+def with_chunks(df: DataFrame, order: str, chunk: int = CHUNK) -> DataFrame:
+    """Add the ``_chunk`` column the scans below work on.
+
+    Several scans over the same frame share it and thereby one shuffle.
+    """
+    return df.withColumn("_chunk", _chunk_of(order, chunk))
+
+
+def previous_value(df: DataFrame, group: Sequence[str], order: str, value: str, out: str) -> DataFrame:
     """Add the value of the row before, null for the first row of a group.
 
     ``(group, order)`` must be unique.
     """
     keys = [*group, "_chunk"]
-    cut = df.withColumn("_chunk", _chunk_of(order, chunk))
-    last = cut.groupBy(*keys).agg(F.max_by(value, order).alias("_last"))
-    carried = last.withColumn("_carried", F.lag("_last").over(W.partitionBy(*group).orderBy("_chunk")))
-    inside = cut.withColumn("_inside", F.lag(F.struct(value)).over(W.partitionBy(*keys).orderBy(order)))
-    joined = inside.join(carried.drop("_last"), keys, "left")
-    return joined.select(*df.columns, F.when(F.col("_inside").isNotNull(), F.col(f"_inside.{value}"))
-                         .otherwise(F.col("_carried")).alias(out))
+    last = df.groupBy(*keys).agg(F.max_by(value, order).alias("_last"))
+    carried = last.select(*keys, F.lag("_last").over(W.partitionBy(*group).orderBy("_chunk")).alias("_carried"))
+    inside = df.withColumn("_inside", F.lag(F.struct(value)).over(W.partitionBy(*keys).orderBy(order)))
+    return inside.join(carried, keys).select(
+        *df.columns, F.when(F.col("_inside").isNotNull(), F.col(f"_inside.{value}"))
+        .otherwise(F.col("_carried")).alias(out))
 
 
 def running_totals(df: DataFrame, group: Sequence[str], order: str, sums: Mapping[str, str],
-                   totals: Mapping[str, str] | None = None, chunk: int = CHUNK) -> DataFrame:
+                   totals: Mapping[str, str] | None = None) -> DataFrame:
     """Add, for each ``sums[column] = name``, the sum over all earlier rows of the group.
 
     ``totals[column] = name`` adds the sum over the whole group.
@@ -46,8 +52,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str, sums: Mappin
     totals = totals or {}
     keys = [*group, "_chunk"]
     columns = list(dict.fromkeys([*sums, *totals]))
-    cut = df.withColumn("_chunk", _chunk_of(order, chunk))
-    per_chunk = cut.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    per_chunk = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
     earlier_chunks = W.partitionBy(*group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)
     offsets = per_chunk.select(
@@ -55,7 +60,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str, sums: Mappin
         *[F.coalesce(F.sum(f"_sum_{c}").over(earlier_chunks), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_sum_{c}").over(whole).alias(n) for c, n in totals.items()])
     earlier = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    inside = cut.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_in_{c}") for c in sums])
+    inside = df.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_in_{c}") for c in sums])
     return inside.join(offsets, keys).select(
         *df.columns,
         *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(n) for c, n in sums.items()],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weakloom.functions import literals as lit
 from weakloom.functions import tokens as tk
 from weakloom.functions.stem import stem_words
+from weakloom.operators.skew import salted_join
 
 MAX_FORMS = 20_000
 
@@ -74,11 +75,11 @@ def collect_forms(forms: DataFrame, max_forms: int = MAX_FORMS) -> dict[str, str
 def occurrences_by_join(df: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
     """``(key, hits)``: matching tokens of each row found by joining on the token.
 
-    Rows without a match are absent. Only tokens that occur in ``forms`` reach the second
+    Rows without a match are absent. A token found everywhere is spread over tasks. Only tokens that occur in ``forms`` reach the second
     shuffle, and what is gathered per key is a part of that row's own text.
     """
     exploded = df.select(key, F.posexplode(tk.tokens(F.col(text))).alias("at", "token"))
-    matched = exploded.join(forms, "token")
+    matched = salted_join(exploded, forms, "token", [key, "at"])
     return matched.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("stem").alias("word")))).alias("_found")
     ).select(key, F.transform("_found", lambda x: F.struct(x["word"].alias("word"), x["at"].alias("at"))).alias("hits"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weakloom.functions import text as tx
 from weakloom.operators import scan
+from weakloom.session import durable
 
 
 # --- one row per document ---------------------------------------------------------------
@@ -84,19 +85,20 @@ def page_states(df: DataFrame, doc: str = "doc_id", page: str = "page", text: st
                 chunk: int = scan.CHUNK) -> DataFrame:
     """Per page: ``opened`` (a title may start it), lines, kept lines and paragraph ends before
     it, and the number of paragraphs of the document."""
-    slim = _first_state(df, doc, page, text)
-    known = scan.previous_value(slim, [doc], page, "opens_next", "_prev", chunk)
+    # The text is read once for these few numbers per page; every scan below starts from them.
+    slim = scan.with_chunks(durable(_first_state(df, doc, page, text)), page, chunk)
+    known = scan.previous_value(slim, [doc], page, "opens_next", "_prev")
     # The first line of a document is compared with itself.
     opened = F.coalesce(F.col("_prev"), F.col("first_closes"))
     is_title = (F.col("first_title_shaped") & opened).cast("int")
     counted = known.select(
-        doc, page, opened.alias("opened"), "n_lines",
+        doc, page, "_chunk", opened.alias("opened"), "n_lines",
         (F.col("n_kept") - is_title).alias("n_kept"),
         (F.col("n_ends") - is_title * F.col("first_closes").cast("int")).alias("n_ends"))
     return scan.running_totals(
         counted, [doc], page,
         {"n_lines": "lines_before", "n_kept": "kept_before", "n_ends": "ends_before"},
-        {"n_ends": "n_paragraphs"}, chunk)
+        {"n_ends": "n_paragraphs"}).drop("_chunk")
 
 
 def _pages_with_state(df: DataFrame, doc: str, page: str, text: str, chunk: int) -> DataFrame:
@@ -139,9 +141,8 @@ def page_paragraphs(df: DataFrame, doc: str = "doc_id", page: str = "page", text
     """
     carried = [F.col(path).alias("_path")] if path else []
     rest = ["_path"] if path else []
-    states = page_states(df, doc, page, text, chunk)
-    pages = df.select(doc, page, *carried, F.coalesce(text, F.lit("")).alias("_text")).join(
-        states.select(doc, page, "opened", "ends_before", "n_paragraphs"), [doc, page])
+    states = durable(page_states(df, doc, page, text, chunk).select(doc, page, "opened", "ends_before", "n_paragraphs"))
+    pages = df.select(doc, page, *carried, F.coalesce(text, F.lit("")).alias("_text")).join(states, [doc, page])
     split = pages.select(doc, page, *rest, "opened", "ends_before", "n_paragraphs",
                          tx.lines_of(F.col("_text")).alias("_lines"))
     kept = split.select(doc, page, *rest, "ends_before", "n_paragraphs",
@@ -151,8 +152,11 @@ def page_paragraphs(df: DataFrame, doc: str = "doc_id", page: str = "page", text
         # The open tail of a page holds lines unless its last line closed a paragraph.
         (~F.coalesce(tx.closes(F.get("_kept", F.size("_kept") - 1)), F.lit(True))).alias("_tail"),
         tx.paragraph_pieces(F.col("_kept")).alias("_pieces"))
-    exploded = pieces.select(
-        doc, page, *rest, "ends_before", "n_paragraphs", "_tail", F.size("_pieces").alias("_n"),
+    sized = pieces.withColumn("_n", F.size("_pieces"))
+    # There is always a piece. The outer form only keeps Spark from adding a filter on the
+    # array's size that would repeat all of the above.
+    exploded = sized.select(
+        doc, page, *rest, "ends_before", "n_paragraphs", "_tail", "_n",
         F.posexplode_outer("_pieces").alias("_k", "_piece")).select(
         doc, page, *rest, (F.col("ends_before") + F.col("_k")).alias("para_id"), "n_paragraphs", "_tail",
         (F.col("_k") == 0).alias("_head_piece"), (F.col("_k") == F.col("_n") - 1).alias("_last_piece"), "_piece")

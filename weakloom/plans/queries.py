@@ -483,9 +483,9 @@ def vote_conditionals(spark, sf_dir):
 
 def _supervised(spark, sf_dir):
     """Gold votes with posterior and prediction of the closed-form model."""
-    patterns = durable(_patterns(spark, sf_dir, "class"))
-    model = lm.supervised_model(patterns, "class", N_RULES)
-    scored = model.with_posterior(_gold_votes(spark, sf_dir))
+    voted = durable(_gold_votes(spark, sf_dir))
+    model = lm.supervised_model(lf_stats.vote_patterns(voted, "class"), "class", N_RULES)
+    scored = model.with_posterior(voted)
     return scored.withColumn("predicted", model.predict(F.col("proba")))
 
 
@@ -506,9 +506,10 @@ def predicted_classes(spark, sf_dir):
 @query
 def label_model_posteriors(spark, sf_dir):
     """Label model fitted on vote moments, without single gold labels."""
-    patterns = durable(_patterns(spark, sf_dir, "class"))
+    voted = durable(_gold_votes(spark, sf_dir))
+    patterns = durable(lf_stats.vote_patterns(voted, "class"))
     model = lm.fit_label_model(patterns, lm.balance_of(patterns, "class"), N_RULES)
-    scored = model.with_posterior(_gold_votes(spark, sf_dir))
+    scored = model.with_posterior(voted)
     return scored.select("doc_id", *_proba_columns(), model.predict(F.col("proba")).alias("predicted"))
 
 
