@@ -67,7 +67,7 @@ def rank_distance(left: str, right: str) -> Column:
     The longer array is cut to the length of the shorter one: padding with null makes those
     differences null, and the minimum skips them. Missing positions sort last and are null too.
     """
-    return F.expr(f"coalesce(array_min(zip_with({left}, {right}, (a, b) -> abs(a - b))), {NOT_FOUND})")
+    return F.expr(f"coalesce(array_min(zip_with(`{left}`, `{right}`, (a, b) -> abs(a - b))), {NOT_FOUND})")
 
 
 def contains_any(lowered: str, phrases: Iterable[str]) -> str:

@@ -78,7 +78,7 @@ class LabelModel:
         """Log of the class share plus, per rule, the log-probability of its vote."""
         logs = [[0.0, *[math.log(row[y]) for row in table]] for table in self.given]
         terms = [f"{math.log(self.balance[y])!r}D"]
-        terms += [f"get({lit.double_array(row)}, {votes}[{j}])" for j, row in enumerate(logs)]
+        terms += [f"get({lit.double_array(row)}, `{votes}`[{j}])" for j, row in enumerate(logs)]
         return F.expr(" + ".join(terms))
 
     def with_posterior(self, df: DataFrame, votes: str = "votes", out: str = "proba") -> DataFrame:

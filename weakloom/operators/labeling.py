@@ -209,7 +209,7 @@ def _votes(frame: DataFrame, kept: Sequence[str], text: str, rules: Sequence[Rul
     """Votes from a frame that holds the distances."""
     def condition(rule: Rule) -> str:
         if rule.kind == "near":
-            return f"{distance_name(rule.left, rule.right)} < {rule.limit}"
+            return f"`{distance_name(rule.left, rule.right)}` < {rule.limit}"
         if rule.kind == "contains":
             return tk.contains_any("_lower", lexicon.raw[rule.left])
         return f"_lower RLIKE {lit.string(rule.regex)}"

@@ -18,7 +18,7 @@ CHUNK = 4096
 
 
 def _chunk_of(order: str, chunk: int) -> Column:
-    return F.expr(f"{order} div {int(chunk)}")
+    return F.expr(f"`{order}` div {int(chunk)}")
 
 
 def with_chunks(df: DataFrame, order: str, chunk: int = CHUNK) -> DataFrame:

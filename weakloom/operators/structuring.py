@@ -41,7 +41,8 @@ def document_paragraphs(df: DataFrame, doc: str = "doc_id", text: str = "text",
     # on its size that repeats all of the above.
     exploded = pieces.select(doc, *rest, F.posexplode(
         F.slice("_pieces", F.lit(1), F.size("_pieces") - 1)).alias("para_id", "text"))
-    exploded = exploded.withColumn("text", tx.collapse_blanks(F.col("text")))
+    exploded = exploded.select(doc, F.col("para_id").cast("long").alias("para_id"), *rest,
+                               tx.collapse_blanks(F.col("text")).alias("text"))
     if path:
         exploded = with_title_grams(exploded, "_words").select(
             doc, "para_id", tx.remove_headers(F.col("text"), F.col("_grams"), F.col("_short")).alias("text"))

@@ -426,6 +426,7 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
         f"{GOLD_VOTED},\n{POSTERIORS}", "SELECT class, least(floor(round(p, 6) * 20)::INT + 1, 20) AS bin, count(*) AS n FROM proba GROUP BY ALL")
     o["labeling_errors"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, class, predicted FROM majority WHERE class <> predicted")
     o["false_negatives"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, text, class, predicted FROM majority WHERE class <> predicted AND class = 2")
+    o["missed_positives"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, text, class, predicted FROM majority WHERE class <> predicted AND class = 3")
 
     o["truncated_words"] = "SELECT doc_id, array_to_string(string_split(text, ' ')[1:50], ' ') AS text FROM documents"
     short_tokens = TOKENS.replace("text", "array_to_string(string_split(text, ' ')[1:50], ' ')")
@@ -448,6 +449,8 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
     o["feature_labels"] = _with(only_labels, "SELECT doc_id, class, len(embedding)::INT AS width FROM embeddings JOIN labels_class ON vec_id = doc_id")
     o["train_split"] = _with(only_labels, "SELECT doc_id, class FROM labels_class WHERE doc_id >= 0 AND doc_id < 800")
     o["validation_split"] = _with(only_labels, "SELECT doc_id, class FROM labels_class WHERE doc_id >= 800 AND doc_id < 1000")
+    o["noisy_train_split"] = "SELECT doc_id, lang FROM documents WHERE doc_id >= 0 AND doc_id < 15000"
+    o["noisy_validation_split"] = _with(only_labels, "SELECT doc_id, class FROM labels_class WHERE doc_id >= 0 AND doc_id < 1000")
     o["row_losses"] = _with(LOSSES, "SELECT vec_id, round(soft, 6) AS soft, round(weighted, 6) AS weighted, round(hard, 6) AS hard FROM losses")
     o["loss_reductions"] = _with(LOSSES, " UNION ALL ".join(
         f"SELECT '{c}' AS loss, '{n}' AS reduction, round({f}({c}), 6) AS value FROM losses"

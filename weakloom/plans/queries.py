@@ -566,6 +566,12 @@ def false_negatives(spark, sf_dir):
     return wrong.select("doc_id", "text", "class", "predicted")
 
 
+@query
+def missed_positives(spark, sf_dir):
+    wrong = ev.errors(_gold_votes_with_text(spark, sf_dir), "class", "predicted", lb.POSITIVE)
+    return wrong.select("doc_id", "text", "class", "predicted")
+
+
 def _gold_votes_with_text(spark, sf_dir):
     voted = lb.vote_matrix(sd.gold_documents(spark, sf_dir).drop("lang"), "text", RULES, _plain())
     return voted.withColumn("predicted", lf_stats.majority_vote(F.col("votes")))
@@ -642,6 +648,17 @@ def validation_split(spark, sf_dir):
     return em.id_range(sd.gold_labels(spark, sf_dir), "doc_id", em.GOLD_SPLIT[1])
 
 
+@query
+def noisy_train_split(spark, sf_dir):
+    docs = sd.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return em.id_range(docs, "doc_id", em.NOISY_SPLIT[0])
+
+
+@query
+def noisy_validation_split(spark, sf_dir):
+    return em.id_range(sd.gold_labels(spark, sf_dir), "doc_id", em.NOISY_SPLIT[1])
+
+
 def _losses(spark, sf_dir):
     frame = sd.logits_and_targets(spark, sf_dir)
     z, t = F.col("logits"), F.col("target")
