@@ -4,8 +4,9 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from weakloom.plans import oracles, queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = queries.all_queries(), oracles.all_oracles()
 WITHOUT_SQL = {"baseline_model_scores", "end_model_predictions", "end_model_scores", "label_model_posteriors", "noisy_labels"}
 
 
@@ -17,6 +18,7 @@ def con(sf_dir):
 def test_catalogue():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
