@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weakloom.llm import substring_dedup
+from weakloom.llm import packing, substring_dedup, token_file
+from weakloom.llm.tokens import vocabulary_path
+from weakloom.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, count and checksum of each document's ids, read back from the token files."""
+    path = fresh_path(spark, "token-ids")
+    token_file.write_ids(table(spark, sf_dir, "documents"), path, vocabulary_path("byte_bpe_50k.json"), end_id=2)
+    return token_file.checksums(token_file.read_ids(spark, path)).withColumnRenamed("key", "doc_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in each document after removing passages that start in an earlier one."""
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens that hold all documents."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
 def all_queries() -> dict[str, Query]:
