@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weakloom.llm import packing, substring_dedup, token_file
+from weakloom.llm import decontamination, packing, substring_dedup, token_file
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
 
@@ -24,6 +24,12 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.checksums(token_file.read_ids(spark, path)).withColumnRenamed("key", "doc_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages found in each document."""
+    return decontamination.report(
+        decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in each document after removing passages that start in an earlier one."""
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
