@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weakloom.llm import decontamination, packing, substring_dedup, token_file
+from weakloom.llm import decontamination, language_id, packing, substring_dedup, token_file
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
 
@@ -17,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    profiles = language_id.fit(docs.where("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, count and checksum of each document's ids, read back from the token files."""
     path = fresh_path(spark, "token-ids")
