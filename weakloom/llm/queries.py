@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakloom.llm import decontamination, language_id, packing, substring_dedup, token_file
+from weakloom.llm import decontamination, language_id, packing, quality_lines, substring_dedup, token_file
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
 
@@ -49,5 +49,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the quality rules and the verdict on each document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_lines.judge(docs, quality_lines.fit(docs, table(spark, sf_dir, "labels"))).drop("content")
+
+
 def all_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and callable(f)}
