@@ -11,8 +11,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits in the set, as a power of two: 2**26 bits are 8 MB.
-BITS = 26
+#: Bits in the set, as a power of two: 2**27 bits are 16 MB.
+BITS = 27
 
 
 def gather(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:

@@ -12,7 +12,7 @@ Per level one aggregation by window hash (smallest and largest document, combine
 a passage in a third of all documents is one row per task). What repeats goes into a bit set
 of fixed size that lets most spans die before the next level. The last level is exact: of each
 surviving span only the first document is kept, and every other document with it loses it.
-The last comparison uses 96 bits of hash.
+The last comparison uses 96 bits of hash. Texts are shuffled only for documents that lose something.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weakloom.llm import bitmap
+from weakloom.llm.store import stored
 from weakloom.llm.words import BLANK, Words, mix, signed, slices, whole, windows, words_of
 
 WIDTH = 13
@@ -124,25 +125,38 @@ def _digest(words: Words, keep: np.ndarray, begin: int, end: int) -> str:
     return hashlib.sha256(b" ".join(data[a:b].tobytes() for a, b in zip(words.starts[at], words.ends[at]))).hexdigest()
 
 
-def untouched(docs: DataFrame, width: int, sent: list[tuple[int, Broadcast]]) -> DataFrame:
-    """Word count of each document; its hash if no span of it survived, else its text."""
+def digests(docs: DataFrame, width: int, sent: list[tuple[int, Broadcast]]) -> DataFrame:
+    """Per document, as it came: word count, hash of its words, and number and XOR of its surviving spans."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(sent)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = words_of(part.column("text"), BLANK)
-                alive = np.flatnonzero(survivors(words, width, known))
-                touched = np.zeros(part.num_rows, bool)
-                touched[words.row[alive]] = True
+                at, span, _ = _spans(words, survivors(words, width, known), width)
+                border = np.searchsorted(words.row[at], np.arange(part.num_rows + 1))
+                kinds = [np.unique(span[border[i]:border[i + 1]]) for i in range(part.num_rows)]
                 keep = np.ones(len(words.starts), bool)
-                digests = [None if touched[i] else _digest(words, keep, words.first[i], words.first[i + 1])
-                           for i in range(part.num_rows)]
-                texts = part.column("text").take(pa.array(np.arange(part.num_rows), mask=~touched))
+                hashes = [_digest(words, keep, words.first[i], words.first[i + 1]) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(words.first)), pa.array(digests, pa.string()), texts],
-                    ["doc_id", "n_words", "digest", "text"])
+                    [part.column("doc_id"), pa.array(signed(mix(_ids(part).astype(np.int64).view(np.uint64)))),
+                     pa.array(np.diff(words.first)), pa.array(hashes, pa.string()),
+                     pa.array([len(k) for k in kinds], pa.int64()),
+                     pa.array([np.bitwise_xor.reduce(k) if len(k) else 0 for k in kinds], pa.int64())],
+                    ["doc_id", "id_hash", "n_words", "digest", "n_spans", "xor_spans"])
+
+    return docs.mapInArrow(run, "doc_id bigint, id_hash bigint, n_words bigint, digest string, n_spans bigint, "
+                                "xor_spans bigint")
+
+
+def texts_of(docs: DataFrame, flagged: Broadcast) -> DataFrame:
+    """The rows whose id may be among the flagged ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = bitmap.contains(flagged.value, mix(_ids(batch).astype(np.int64).view(np.uint64)))
+            if hit.any():
+                yield batch.filter(pa.array(hit))
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, digest string, text string")
+    return docs.mapInArrow(run, "doc_id bigint, text string")
 
 
 def strip(found: DataFrame, width: int, sent: list[tuple[int, Broadcast]], with_text: bool) -> DataFrame:
@@ -152,28 +166,24 @@ def strip(found: DataFrame, width: int, sent: list[tuple[int, Broadcast]], with_
         for batch in batches:
             for part in slices(batch, "text"):
                 words = words_of(part.column("text"), BLANK)
-                at, span, guard = _spans(words, survivors(words, width, known), width)
+                at, span, _ = _spans(words, survivors(words, width, known), width)
                 border = np.searchsorted(words.row[at], np.arange(part.num_rows + 1))
                 cover = np.zeros(len(words.starts) + 1, np.int64)
                 own = part.column("own")
                 for i in range(part.num_rows):
                     mine = slice(border[i], border[i + 1])
-                    if mine.start == mine.stop:
-                        continue
                     kept = own[i].values
                     gone = np.ones(mine.stop - mine.start, bool)
                     if kept is not None and len(kept):
-                        pairs = _pair(np.asarray(kept.field("span")), np.asarray(kept.field("guard")))
-                        gone = ~np.isin(_pair(span[mine], guard[mine]), pairs)
+                        gone = ~np.isin(span[mine], kept.to_numpy(zero_copy_only=False))
                     np.add.at(cover, at[mine][gone], 1)
                     np.add.at(cover, at[mine][gone] + width, -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 counts = np.concatenate([[0], np.cumsum(~keep)])
                 removed = counts[words.first[1:]] - counts[words.first[:-1]]
-                digests = part.column("digest").to_pylist()
-                digests = [_digest(words, keep, words.first[i], words.first[i + 1]) if d is None else d
-                           for i, d in enumerate(digests)]
-                columns = [part.column("doc_id"), part.column("n_words"), pa.array(removed), pa.array(digests, pa.string())]
+                hashes = [_digest(words, keep, words.first[i], words.first[i + 1]) for i in range(part.num_rows)]
+                columns = [part.column("doc_id"), pa.array(np.diff(words.first)), pa.array(removed),
+                           pa.array(hashes, pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if with_text:
                     columns.append(pa.array([_joined(words, keep, words.first[i], words.first[i + 1])
@@ -185,19 +195,15 @@ def strip(found: DataFrame, width: int, sent: list[tuple[int, Broadcast]], with_
     return found.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + kept)
 
 
-def _pair(span: np.ndarray, guard: np.ndarray) -> np.ndarray:
-    out = np.empty(len(span), [("span", np.int64), ("guard", np.int32)])
-    out["span"], out["guard"] = span, guard
-    return out
-
-
 def _joined(words: Words, keep: np.ndarray, begin: int, end: int) -> str:
     at = begin + np.flatnonzero(keep[begin:end])
     return b" ".join(words.data[a:b].tobytes() for a, b in zip(words.starts[at], words.ends[at])).decode()
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTEST, with_text: bool = True) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, the ``kept`` words.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTEST, with_text: bool = False) -> DataFrame:
+    """Per document: ``doc_id, n_words, n_removed, kept_sha256``.
+
+    ``with_text`` adds the ``kept`` words of every document that lost some (null: nothing was lost).
 
     Words are runs of anything but ASCII white space. Windows are judged on the input. Only
     ``doc_id`` and ``text`` are read; other columns may have any name. Null text has no words. Rows of
@@ -215,7 +221,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTEST
         if not bits.any():
             break
     first = span_rows(slim, width, sent).groupBy("span", "guard").agg(F.min("doc_id").alias("doc_id"))
-    own = first.groupBy("doc_id").agg(F.collect_list(F.struct("span", "guard")).alias("own"))
-    found = untouched(slim, width, sent).join(own, "doc_id", "left")
-    out = strip(found, width, sent, with_text)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))
+    # Dealt by document before the lists are made: lists of one or two spans would weigh more than the spans.
+    own = stored(first.select("doc_id", "span").repartition("doc_id").groupBy("doc_id").agg(
+        F.collect_list("span").alias("own"), F.count("span").alias("n_own"), F.bit_xor("span").alias("xor_own")), "own-spans")
+    seen = digests(slim, width, sent).join(own.select("doc_id", "n_own", "xor_own"), "doc_id", "left")
+    same = (F.col("n_spans") == F.coalesce("n_own", F.lit(0))) & (F.col("xor_spans") == F.coalesce("xor_own", F.lit(0)))
+    seen = stored(seen.withColumn("same", same), "span-digests")
+    changed = seen.where("not same").select("doc_id", "id_hash").distinct()
+    flagged = bitmap.send(docs, bitmap.gather(changed, "id_hash"))
+    lists = changed.select("doc_id").join(own.select("doc_id", "own"), "doc_id", "left")
+    touched = strip(texts_of(slim, flagged).join(lists, "doc_id"), width, sent, with_text)
+    rest = seen.join(changed.select("doc_id"), "doc_id", "left_anti").select(
+        "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("digest").alias("kept_sha256"))
+    return touched.unionByName(rest, allowMissingColumns=True).withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))
