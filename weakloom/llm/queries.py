@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakloom.llm import decontamination, language_id, packing, quality_lines, substring_dedup, token_file
+from weakloom.llm import decontamination, language_id, license_scan, packing, quality_lines, substring_dedup, token_file
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
 
@@ -44,6 +44,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in each document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens that hold all documents."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
