@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakloom.llm import decontamination, language_id, license_scan, packing, quality_lines, substring_dedup, token_file
+from weakloom.llm import decontamination, language_id, license_scan, line_dedup, packing, quality_lines, substring_dedup, token_file
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
 
@@ -33,6 +33,12 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.checksums(token_file.read_ids(spark, path)).withColumnRenamed("key", "doc_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left in each document after removing lines that are near an earlier one."""
+    left = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages found in each document."""
     return decontamination.report(
