@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakloom.llm import chat, decontamination, language_id, license_scan, line_dedup, packing, quality_lines, substring_dedup, token_file
+from weakloom.llm import chat, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_lines, substring_dedup, token_file
 from weakloom.llm.store import stored
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
@@ -61,6 +61,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with nearly the same word 4-grams."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in each document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
