@@ -1,16 +1,96 @@
-"""The whole preparation of a corpus, stage by stage."""
+"""The whole preparation of a corpus: language, lines, near copies, benchmark passages, packing.
+
+Each stage takes ``(spark, docs, sf_dir)``, with ``docs`` holding the columns of ``documents`` (and any others), and
+works on everything the stage before kept. ``run`` writes each result to the shared folder and reads it again.
+
+* language_id drops documents without a letter (or text), for which no language can be told.
+* line_dedup takes out lines that are near an earlier one, and drops documents that lose all lines.
+* near_duplicates keeps, of each group of linked documents, the one with the smallest id, and one row per id. Rows without an id are kept.
+* decontamination drops documents with a passage of a benchmark item.
+* packing returns the pieces of the remaining documents and their places in sequences of 4096 tokens.
+
+SQL cannot express the first and the last stage, so there is no SQL for the whole.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weakloom.llm import decontamination, jaccard_join, language_id, line_dedup, packing
+from weakloom.llm.store import stored
+from weakloom.llm.tokens import vocabulary_path
+
+
+def _aside(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its own columns of these names renamed, and how to name them back."""
+    taken = {c.lower() for c in docs.columns}
+    back = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            free = next(f"{c}_{i}" for i in range(len(taken) + 1) if f"{c}_{i}".lower() not in taken)
+            back[free] = c
+    return docs.withColumnsRenamed({c: free for free, c in back.items()}), back
+
+
+def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language."""
+    known = docs.where(~language_id.held_out(F.col("doc_id")))
+    profiles = language_id.fit(known.select("text", "lang"))
+    own, back = _aside(docs, ("lang_pred", "score"))
+    found = language_id.predict(own, profiles).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.drop("lang_pred", "score").withColumnsRenamed(back)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are near an earlier line."""
+    own, back = _aside(docs, ("n_lines", "n_removed", "n_near"))
+    left = line_dedup.without_repeats(own)
+    left = left.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left.drop("n_lines", "n_removed", "n_near").withColumnsRenamed(back)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked ones."""
+    found = stored(jaccard_join.near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    first = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages. Rows are told apart by id and text."""
+    key = F.xxhash64("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find(docs.select(key.alias("doc_id"), "text"), items)
+    hit = stored(found.where(F.size("items") > 0).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    return docs.join(hit, key == hit["_hit"], "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' tokens in training sequences."""
+    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("language_id", drop_unknown_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Language profiles and token ids cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents after all stages."""
+    """``documents`` through all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
