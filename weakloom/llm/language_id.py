@@ -160,7 +160,7 @@ def distances(profiles: Profiles, row: np.ndarray, gram: np.ndarray, rank: np.nd
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", longest: int = LONGEST) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``.
+    """``docs`` with ``lang_pred`` and ``score`` added.
 
     ``score`` is 1 less the distance as a share of the largest possible one. Null texts and texts without a
     letter get ``und`` and 0, as does every text if there are no profiles. Equal distances go to the first
