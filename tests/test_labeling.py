@@ -14,7 +14,7 @@ AT = {r.name: i for i, r in enumerate(RULES)}
 
 def votes_of(spark, texts, groups=lexicons.POLICY, rules=RULES, stem=False):
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    lexicon = lb.stemmed_lexicon(frame, "text", groups) if stem else lb.plain_lexicon(groups)
+    lexicon = lb.stemmed_lexicon(spark, groups) if stem else lb.plain_lexicon(groups)
     rows = lb.vote_matrix(frame, "text", rules, lexicon).orderBy("id").collect()
     return [r.votes for r in rows]
 
@@ -30,7 +30,7 @@ def test_thirty_five_rules_in_order():
 def test_distances_match_plain_python(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lexicon = lb.plain_lexicon(sd.PHRASES)
-    frame = lb.with_distances(lb.with_occurrences(docs, "text", lexicon.forms), RULES, lexicon)
+    frame = lb.with_distances(lb.with_occurrences(docs, "text", lexicon), RULES, lexicon)
     pairs = {(r.left, r.right) for r in RULES if r.kind == "near"}
     assert len(pairs) == 17
     for row in frame.collect():
@@ -77,15 +77,18 @@ def test_stems_keep_repetitions(spark):
 
 def test_join_form_equals_literal_form(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    literal = lb.vote_matrix(docs, "text", RULES, lb.stemmed_lexicon(docs, "text", sd.PHRASES)).select("doc_id", "votes")
+    literal = lb.vote_matrix(docs, "text", RULES, lb.stemmed_lexicon(spark, sd.PHRASES)).select("doc_id", "votes")
     joined = lb.stemmed_votes_by_join(docs, "doc_id", "text", RULES, sd.PHRASES).select("doc_id", "votes")
     assert literal.exceptAll(joined).count() == 0 and literal.count() == joined.count()
 
 
-def test_too_many_forms_are_reported(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stems = stemming.stem_table(spark, stemming.lexicon_words(sd.PHRASES))
-    assert stemming.collect_forms(stemming.surface_forms(docs, "text", stems), 3) is None
+def test_stemmed_votes_need_no_vocabulary(spark):
+    """Forms that no other table holds count in every table."""
+    groups = {**lexicons.POLICY, "fines": [], "budgets": ["budget"], "implementing": ["implement"]}
+    texts = ["the budgets were implemented", "budgeting and implementations", "implementing a budget", "nothing of the kind"]
+    votes = votes_of(spark, texts, groups, stem=True)
+    assert [v[AT["implementing_x_budget_5"]] for v in votes] == [3, 3, 3, 0]
+    assert [votes_of(spark, [t], groups, stem=True)[0] for t in texts] == votes
 
 
 def test_invariants(spark, sf_dir):

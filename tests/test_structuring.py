@@ -101,16 +101,21 @@ def test_cleaning_steps(spark):
     assert row.path == "../data/processed/processed a.txt"
 
 
-@pytest.mark.parametrize("chunk", [2, 3, 4096])
-def test_row_numbers(spark, chunk):
+def test_row_numbers(spark):
     ids = [0, 1, 5, 6, 7, 40, 41, 999, 1000, 5000]
     frame = spark.createDataFrame([(c, i) for c in "BA" for i in ids], "country string, id long").repartition(5)
-    got = {(r.country, r.id): r.n for r in scan.row_numbers(frame, "id", "n", ["country"], chunk).collect()}
+    got = {(r.country, r.id): r.n for r in scan.row_numbers(frame, "id", "n", ["country"]).collect()}
     assert got == {k: n for n, k in enumerate(sorted((c, i) for c in "AB" for i in ids))}
-    plain = scan.row_numbers(frame.where("country = 'A'"), "id", "n", chunk=chunk)
+    plain = scan.row_numbers(frame.where("country = 'A'"), "id", "n")
     assert [r.id for r in plain.orderBy("n").collect()] == ids
 
 
+def test_row_numbers_of_hashed_ids(spark):
+    frame = spark.range(5000).select(F.xxhash64("id").alias("id"), F.lit("x").alias("text")).repartition(3)
+    got = scan.row_numbers(frame, "id", "n").orderBy("n").collect()
+    assert [r.id for r in got] == sorted(r.id for r in frame.collect()) and [r.n for r in got] == list(range(5000))
+
+
 def test_hot_document_is_cut_into_chunks(spark):
     frame = spark.range(3000).select(
         F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page"),

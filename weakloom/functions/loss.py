@@ -40,7 +40,7 @@ def hard_cross_entropy(logits: Column, label: Column, k: int) -> Column:
 def reduce_loss(df: DataFrame, loss: str, reduction: str = "mean") -> DataFrame:
     """``none`` keeps the rows; ``mean`` divides by the row count, whatever the weights."""
     if reduction not in REDUCTIONS:
-        raise ValueError(f"Unrecognized reduction: {reduction}")
+        raise ValueError(f"reduction must be one of {', '.join(REDUCTIONS)}, not {reduction}")
     if reduction == "none":
         return df
     return df.agg((F.avg if reduction == "mean" else F.sum)(loss).alias(loss))

@@ -1,7 +1,6 @@
-"""English (Porter2) stemming of a word column with Spark expressions.
+"""English (Porter2) stemming with Spark expressions: of a column of words, or of an array of words in a row.
 
-Meant for a column of distinct words, not for running text: a vocabulary is many orders of
-magnitude smaller than the text it comes from. ``weakloom.operators.stemming`` builds it.
+A column of distinct words is the cheaper way where a vocabulary is at hand; the array form needs nothing but the row.
 """
 
 from __future__ import annotations
@@ -62,101 +61,151 @@ def _drop(word: Column, n: Column | int) -> Column:
     return F.left(word, F.length(word) - n)
 
 
-def _ends_in(region: str, word: Column, suffix: Column | int) -> Column:
-    """A suffix of this length lies inside the region that starts at offset ``region``."""
-    return F.length(word) - suffix >= F.col(region)
-
-
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.expr(lit.string_map(table)), key)
 
 
+def _ends_in(x: dict[str, Column], suffix: Column | int) -> Column:
+    """A suffix of this length lies inside region 1."""
+    return F.length(x["w"]) - suffix >= x["r1"]
+
+
+def _ends_in_2(x: dict[str, Column], suffix: Column | int) -> Column:
+    return F.length(x["w"]) - suffix >= x["r2"]
+
+
+def _apostrophes(x):
+    return {"w": F.regexp_replace(F.regexp_replace(x["raw"], "^'", ""), "('s'|'s|')$", "")}
+
+
+def _consonant_y(x):
+    return {"w": F.regexp_replace(F.regexp_replace(x["w"], "^y", "Y"), "([aeiouy])y", "$1Y")}
+
+
+def _head_1(x):
+    return {"h1": F.length(F.regexp_extract(x["w"], REGION_1, 0))}
+
+
+def _head_2(x):
+    return {"h2": F.length(F.regexp_extract(F.substring(x["w"], x["h1"] + 1, F.length(x["w"])), REGION_2, 0))}
+
+
+def _plural(x):
+    w = x["w"]
+    return {
+        "r1": F.when(x["h1"] > 0, x["h1"]).otherwise(F.length(w)),
+        "r2": F.when((x["h1"] > 0) & (x["h2"] > 0), x["h1"] + x["h2"]).otherwise(F.length(w)),
+        "w": F.when(F.endswith(w, F.lit("sses")), _drop(w, 2))
+        .when(w.rlike("(?:ied|ies)$"), F.when(F.length(w) > 4, _drop(w, 2)).otherwise(_drop(w, 1)))
+        .when(w.rlike("(?:us|ss)$"), w)
+        .when(w.rlike("[aeiouy].+s$"), _drop(w, 1))
+        .otherwise(w)}
+
+
+def _ending(suffixes):
+    return lambda x: {"s": _suffix(x["w"], suffixes)}
+
+
+def _is_cut(x):
+    return {"cut": x["w"].rlike(r"[aeiouy].*(?:ingly|edly|ing|ed)$") & ~x["s"].isin("", "eed", "eedly")}
+
+
+def _past(x):
+    w, n = x["w"], F.length(x["s"])
+    return {"w": F.when(x["cut"], _drop(w, n))
+            .when(x["s"].isin("eed", "eedly") & _ends_in(x, n), F.concat(_drop(w, n), F.lit("ee"))).otherwise(w)}
+
+
+def _repair(x):
+    w = x["w"]
+    short = (F.length(w) <= x["r1"]) & (w.rlike(SHORT_END) | w.rlike(SHORT_WHOLE))
+    return {"w": F.when(~x["cut"], w)
+            .when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e")))
+            .when(w.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _drop(w, 1))
+            .when(short, F.concat(w, F.lit("e")))
+            .otherwise(w)}
+
+
+def _final_y(x):
+    return {"w": F.regexp_replace(x["w"], "^(.+[^aeiouy])[yY]$", "$1i")}
+
+
+def _derived(x):
+    """Derivational suffixes in region 1."""
+    w, s, n = x["w"], x["s"], F.length(x["s"])
+    allowed = F.when(s == "ogi", F.endswith(w, F.lit("logi"))).when(s == "li", w.rlike(LI_ENDING)).otherwise(F.lit(True))
+    return {"w": F.when((s != "") & _ends_in(x, n) & allowed, F.concat(_drop(w, n), _lookup(STEP2, s))).otherwise(w)}
+
+
+def _derived_more(x):
+    w, s, n = x["w"], x["s"], F.length(x["s"])
+    allowed = F.when(s == "ative", _ends_in_2(x, n)).otherwise(F.lit(True))
+    return {"w": F.when((s != "") & _ends_in(x, n) & allowed, F.concat(_drop(w, n), _lookup(STEP3, s))).otherwise(w)}
+
+
+def _deleted(x):
+    """Suffixes deleted in region 2."""
+    w, s, n = x["w"], x["s"], F.length(x["s"])
+    allowed = F.when(s == "ion", w.rlike("[st]ion$")).otherwise(F.lit(True))
+    return {"w": F.when((s != "") & _ends_in_2(x, n) & allowed, _drop(w, n)).otherwise(w)}
+
+
+def _final_e_and_l(x):
+    w = x["w"]
+    after_short = (F.length(w) >= 4) & ~F.regexp_replace(w, "e$", "").rlike(SHORT_END)
+    return {"w": F.when(F.endswith(w, F.lit("ll")) & _ends_in_2(x, 1), _drop(w, 1))
+            .when(F.endswith(w, F.lit("e")) & _ends_in_2(x, 1), _drop(w, 1))
+            .when(F.endswith(w, F.lit("e")) & _ends_in(x, 1) & after_short, _drop(w, 1))
+            .otherwise(w)}
+
+
+def _stem(x):
+    return F.when(F.length(x["raw"]) <= 2, x["raw"]).otherwise(
+        F.coalesce(_lookup(IRREGULAR, x["raw"]), F.translate(x["w"], "Y", "y")))
+
+
+#: Each step gives new values of some fields from those of the step before.
+STEPS = (
+    _apostrophes, _consonant_y, _head_1, _head_2, _plural, _ending(("eedly", "ingly", "edly", "eed", "ing", "ed")), _is_cut, _past,
+    _repair, _final_y, _ending(STEP2), _derived, _ending(STEP3), _derived_more, _ending(STEP4), _deleted, _final_e_and_l,
+)
+
+
 def stem_words(df: DataFrame, word: str, out: str) -> DataFrame:
     """``df`` with the stem of column ``word`` added as ``out``.
 
     One ``select`` per step keeps each generated expression small; the steps run in one stage.
     """
     given = df.columns
-    w, s = F.col("_w"), F.col("_s")
-
-    def step(frame: DataFrame, word_expr: Column, suffix: Column | None = None,
-             *extra: Column) -> DataFrame:
-        regions = [c for c in ("_r1", "_r2") if c in frame.columns]
-        cols = [*given, "_raw", *regions, word_expr.alias("_w"), *extra]
-        frame = frame.select(*cols)
-        if suffix is None:
-            return frame
-        return frame.withColumn("_s", suffix)
-
-    t = df.select(*given, F.lower(F.col(word)).alias("_raw"))
-    t = t.withColumn("_w", F.regexp_replace(F.regexp_replace("_raw", "^'", ""), "('s'|'s|')$", ""))
-    t = step(t, F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiouy])y", "$1Y"))
-    t = t.withColumn("_h1", F.length(F.regexp_extract(w, REGION_1, 0)))
-    t = t.withColumn("_h2", F.length(F.regexp_extract(F.substring(w, F.col("_h1") + 1, F.length(w)), REGION_2, 0)))
-    r1 = F.when(F.col("_h1") > 0, F.col("_h1")).otherwise(F.length(w))
-    r2 = F.when((F.col("_h1") > 0) & (F.col("_h2") > 0), F.col("_h1") + F.col("_h2")).otherwise(F.length(w))
-
-    # Plurals.
-    plural = (
-        F.when(F.endswith(w, F.lit("sses")), _drop(w, 2))
-        .when(w.rlike("(?:ied|ies)$"), F.when(F.length(w) > 4, _drop(w, 2)).otherwise(_drop(w, 1)))
-        .when(w.rlike("(?:us|ss)$"), w)
-        .when(w.rlike("[aeiouy].+s$"), _drop(w, 1))
-        .otherwise(w)
-    )
-    t = step(t, plural, _suffix(w, ("eedly", "ingly", "edly", "eed", "ing", "ed")),
-             r1.alias("_r1"), r2.alias("_r2"))
-
-    # Past tenses and gerunds, then repair of what is left.
-    n = F.length(s)
-    cut = w.rlike(r"[aeiouy].*(?:ingly|edly|ing|ed)$") & ~s.isin("", "eed", "eedly")
-    t = t.withColumn("_cut", cut)
-    t = step(t, F.when(F.col("_cut"), _drop(w, n))
-             .when(s.isin("eed", "eedly") & _ends_in("_r1", w, n), F.concat(_drop(w, n), F.lit("ee")))
-             .otherwise(w), None, F.col("_cut"))
-    short = (F.length(w) <= F.col("_r1")) & (w.rlike(SHORT_END) | w.rlike(SHORT_WHOLE))
-    repaired = (
-        F.when(~F.col("_cut"), w)
-        .when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e")))
-        .when(w.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _drop(w, 1))
-        .when(short, F.concat(w, F.lit("e")))
-        .otherwise(w)
-    )
-    t = step(t, repaired)
-
-    # Final y.
-    t = step(t, F.regexp_replace(w, "^(.+[^aeiouy])[yY]$", "$1i"), _suffix(w, STEP2))
-
-    # Derivational suffixes in region 1.
-    allowed = (
-        F.when(s == "ogi", F.endswith(w, F.lit("logi")))
-        .when(s == "li", w.rlike(LI_ENDING))
-        .otherwise(F.lit(True))
-    )
-    t = step(t, F.when((s != "") & _ends_in("_r1", w, n) & allowed,
-                       F.concat(_drop(w, n), _lookup(STEP2, s))).otherwise(w),
-             _suffix(w, STEP3))
-    allowed = F.when(s == "ative", _ends_in("_r2", w, n)).otherwise(F.lit(True))
-    t = step(t, F.when((s != "") & _ends_in("_r1", w, n) & allowed,
-                       F.concat(_drop(w, n), _lookup(STEP3, s))).otherwise(w),
-             _suffix(w, STEP4))
-
-    # Suffixes deleted in region 2.
-    allowed = F.when(s == "ion", w.rlike("[st]ion$")).otherwise(F.lit(True))
-    t = step(t, F.when((s != "") & _ends_in("_r2", w, n) & allowed, _drop(w, n)).otherwise(w))
-
-    # Final e and l.
-    after_short = F.length(w) >= 4
-    after_short = after_short & ~F.regexp_replace(w, "e$", "").rlike(SHORT_END)
-    last = (
-        F.when(F.endswith(w, F.lit("ll")) & _ends_in("_r2", w, 1), _drop(w, 1))
-        .when(F.endswith(w, F.lit("e")) & _ends_in("_r2", w, 1), _drop(w, 1))
-        .when(F.endswith(w, F.lit("e")) & _ends_in("_r1", w, 1) & after_short, _drop(w, 1))
-        .otherwise(w)
-    )
-    t = step(t, last)
-    stem = (
-        F.when(F.length("_raw") <= 2, F.col("_raw"))
-        .otherwise(F.coalesce(_lookup(IRREGULAR, F.col("_raw")), F.translate(w, "Y", "y")))
-    )
-    return fenced(t, given, {out: stem})
+    t, fields = df.select(*given, F.lower(F.col(word)).alias("_raw")), ["raw"]
+    for step in STEPS:
+        now = {n: F.col(f"_{n}") for n in fields}
+        now |= step(now)
+        t, fields = t.select(*given, *[c.alias(f"_{n}") for n, c in now.items()]), list(now)
+    return fenced(t, given, {out: _stem({n: F.col(f"_{n}") for n in fields})})
+
+
+def stem_array(words: Column) -> Column:
+    """``array<struct<word, at>>`` with each word replaced by its stem.
+
+    Each step is a pass over the array, so every field is computed once per word.
+    """
+    def begin(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), F.lower(x["word"]).alias("raw"))
+
+    def passing(step, fields):
+        def run(x: Column) -> Column:
+            now = {n: x[n] for n in fields}
+            return F.struct(x["at"].alias("at"), *[c.alias(n) for n, c in (now | step(now)).items()])
+        return run
+
+    done, fields = F.transform(words, begin), ["raw"]
+    for step in STEPS:
+        done = F.transform(done, passing(step, fields))
+        fields = list(dict.fromkeys([*fields, *_fields_of(step)]))
+    return F.transform(done, lambda x: F.struct(_stem({n: x[n] for n in fields}).alias("word"), x["at"].alias("at")))
+
+
+def _fields_of(step) -> list[str]:
+    """Names of the fields a step gives."""
+    return list(step({n: F.lit("") for n in ("raw", "w", "h1", "h2", "r1", "r2", "s", "cut")}))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weakloom.functions import literals as lit
+from weakloom.functions.stem import stem_array
 
 # Letters, digits and underscore of every script.
 WORD = r"[\p{L}\p{N}_]+"
@@ -26,20 +27,24 @@ def phrase_words(phrase: str) -> list[str]:
     return phrase.split(" ")
 
 
-def occurrences(token_array: str, forms: Mapping[str, str]) -> Column:
-    """``(word, at)`` for every token of the array column found in ``forms``, in text order.
+def occurrences(token_array: str, words: Iterable[str]) -> Column:
+    """``(word, at)`` for every token of the array column found in ``words``, in text order.
 
-    ``forms`` maps a token to the word it stands for: itself, or its stem. Its size is that
-    of the phrase lists, not of the text, and most rows keep only a few entries, so the
+    The list has the size of the phrase lists, not of the text, and most rows keep only a few entries, so the
     searches that follow run on short arrays.
     """
-    kept = (f"filter(transform({token_array}, (t, i) -> named_struct('word', t, 'at', i)), "
-            f"x -> x.word IN ({lit.strings(forms)}))")
-    renamed = {k: v for k, v in forms.items() if k != v}
-    if renamed:
-        kept = (f"transform({kept}, x -> named_struct('word', "
-                f"coalesce(element_at({lit.string_map(renamed)}, x.word), x.word), 'at', x.at))")
-    return F.expr(kept)
+    return F.expr(f"filter(transform({token_array}, (t, i) -> named_struct('word', t, 'at', i)), x -> x.word IN ({lit.strings(words)}))")
+
+
+def stem_occurrences(token_array: str, stems: Iterable[str]) -> Column:
+    """As ``occurrences``, for tokens with one of the stems, which takes the token's place.
+
+    Tokens are stemmed in the row, so no form is missed. Their first letters keep most of them out of it.
+    """
+    stems = list(stems)
+    likely = F.filter(F.transform(token_array, lambda t, i: F.struct(t.alias("word"), i.alias("at"))),
+                      lambda x: x["word"].rlike(prefix_pattern(stems)))
+    return F.filter(stem_array(likely), lambda x: x["word"].isin(stems))
 
 
 def adjacent(words: str, at: str, n: int) -> Column:
@@ -72,7 +77,7 @@ def rank_distance(left: str, right: str) -> Column:
 
 def contains_any(lowered: str, phrases: Iterable[str]) -> str:
     """Any of the phrases is a substring of the text, as a condition."""
-    return "(" + " OR ".join(f"contains({lowered}, {lit.string(p)})" for p in phrases) + ")"
+    return "(" + (" OR ".join(f"contains({lowered}, {lit.string(p)})" for p in phrases) or "false") + ")"
 
 
 def shared_head(stem: str) -> str:

@@ -70,6 +70,9 @@ def apply_end_model(model: LogisticRegressionModel, df: DataFrame, features: str
     flat = F.flatten(features) if flatten else F.col(features)
     scored = model.transform(df.select(*[F.col(c) for c in kept], array_to_vector(flat.cast("array<double>")).alias("features")))
     names = F.array(*[F.lit(c) for c in classes])
-    return scored.select(*kept, vector_to_array("rawPrediction").alias("scores"),
-                         vector_to_array("probability").alias("probability"),
+    # A class above the highest one in training has no score: it gets one that stands for a probability of about zero.
+    scores, probability = vector_to_array("rawPrediction"), vector_to_array("probability")
+    lacking = F.lit(len(classes)) - F.size(scores)
+    return scored.select(*kept, F.concat(scores, F.array_repeat(F.array_min(scores) - 30.0, lacking)).alias("scores"),
+                         F.concat(probability, F.array_repeat(F.lit(0.0), lacking)).alias("probability"),
                          F.get(names, F.col("prediction").cast("int")).alias("predicted"))

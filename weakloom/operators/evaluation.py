@@ -51,10 +51,10 @@ def f1_summary(scores: DataFrame) -> DataFrame:
 
 def label_histogram(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     """``(class, n_gold, n_predicted)``; a class seen on one side only gets 0 on the other."""
-    golds = df.where(F.col(gold).isNotNull()).groupBy(F.col(gold).alias("class")).agg(F.count(F.lit(1)).alias("n_gold"))
-    preds = df.where(F.col(predicted).isNotNull()).groupBy(F.col(predicted).alias("class")).agg(F.count(F.lit(1)).alias("n_predicted"))
-    return golds.join(preds, "class", "full_outer").select(
-        "class", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce("n_predicted", F.lit(0)).alias("n_predicted"))
+    # One pass: what gives the predictions may be costly.
+    both = df.select(F.inline(F.array(F.struct(F.col(gold).cast("int").alias("class"), F.lit(1).alias("_g"), F.lit(0).alias("_p")),
+                                      F.struct(F.col(predicted).cast("int").alias("class"), F.lit(0).alias("_g"), F.lit(1).alias("_p")))))
+    return both.where("class is not null").groupBy("class").agg(F.sum("_g").alias("n_gold"), F.sum("_p").alias("n_predicted"))
 
 
 def probability_histogram(df: DataFrame, proba: str, classes: Sequence[int] = CLASSES, bins: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weakloom.functions import lexicons
@@ -112,33 +112,26 @@ def reduce_words_rule() -> Rule:
 class Lexicon:
     """Phrase groups ready for matching.
 
-    ``raw`` serves the substring rules, ``phrases`` the token rules. ``forms`` maps each
-    token that counts to the word used in ``phrases``.
+    ``raw`` serves the substring rules, ``phrases`` the token rules. ``words`` are the words of ``phrases``: tokens
+    count if they equal one of them or, in a ``stemmed`` lexicon, if their stem does.
     """
 
     raw: Mapping[str, Sequence[str]]
     phrases: Mapping[str, Sequence[str]]
-    forms: Mapping[str, str]
+    words: Sequence[str]
+    stemmed: bool = False
 
 
 def plain_lexicon(groups: Mapping[str, Sequence[str]]) -> Lexicon:
     """Tokens must equal the phrase words."""
     words = {w for ps in groups.values() for p in ps for w in tk.phrase_words(p) if w}
-    return Lexicon(groups, groups, {w: w for w in sorted(words)})
+    return Lexicon(groups, groups, sorted(words))
 
 
-def stemmed_lexicon(df: DataFrame, text: str, groups: Mapping[str, Sequence[str]]) -> Lexicon:
-    """Tokens must share their stem with the phrase words.
-
-    Reads the text once for its vocabulary; keep the result to label further batches of the
-    same vocabulary, or merge the forms of several.
-    """
-    stems = stemming.stem_table(df.sparkSession, stemming.lexicon_words(groups))
-    phrases = stemming.stem_phrases(groups, stems)
-    forms = stemming.collect_forms(stemming.surface_forms(df, text, stems))
-    if forms is None:
-        raise ValueError("too many surface forms for literals: use stemmed_votes_by_join")
-    return Lexicon(groups, phrases, forms)
+def stemmed_lexicon(spark: SparkSession, groups: Mapping[str, Sequence[str]]) -> Lexicon:
+    """Tokens must share their stem with the phrase words. Only the phrase lists are read, so it serves every table and stream."""
+    stems = stemming.stem_table(spark, stemming.lexicon_words(groups))
+    return Lexicon(groups, stemming.stem_phrases(groups, stems), sorted(set(stems.values())), stemmed=True)
 
 
 def _groups_used(rules: Sequence[Rule]) -> list[str]:
@@ -151,11 +144,16 @@ def _check_names(rules: Sequence[Rule]) -> None:
         raise ValueError("rule names must be unique")
 
 
-def with_occurrences(df: DataFrame, text: str, forms: Mapping[str, str], out: str = "_hits") -> DataFrame:
+def with_occurrences(df: DataFrame, text: str, lexicon: Lexicon, out: str = "_hits") -> DataFrame:
     """Add the matching tokens of each row."""
     kept = df.columns
     tokenised = df.select(*kept, tk.tokens(F.col(text)).alias("_tokens"))
-    hits = tk.occurrences("_tokens", forms) if forms else F.lit(None).cast("array<struct<word:string,at:int>>")
+    if not lexicon.words:
+        hits = F.lit(None).cast("array<struct<word:string,at:int>>")
+    elif lexicon.stemmed:
+        hits = tk.stem_occurrences("_tokens", lexicon.words)
+    else:
+        hits = tk.occurrences("_tokens", lexicon.words)
     return tokenised.select(*kept, hits.alias(out))
 
 
@@ -235,17 +233,17 @@ def vote_matrix(df: DataFrame, text: str, rules: Sequence[Rule], lexicon: Lexico
     """
     _check_names(rules)
     kept = df.columns
-    frame = with_occurrences(df, text, lexicon.forms)
+    frame = with_occurrences(df, text, lexicon)
     frame = with_distances(frame, rules, lexicon)
     return _votes(frame, kept, text, rules, lexicon)
 
 
 def stemmed_votes_by_join(df: DataFrame, key: str, text: str, rules: Sequence[Rule],
                           groups: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Stemmed vote matrix without literals, for surface-form tables of any size."""
+    """The same votes with each distinct word of the text stemmed once, at the price of shuffling tokens."""
     _check_names(rules)
     stems = stemming.stem_table(df.sparkSession, stemming.lexicon_words(groups))
-    lexicon = Lexicon(groups, stemming.stem_phrases(groups, stems), {})
+    lexicon = Lexicon(groups, stemming.stem_phrases(groups, stems), sorted(set(stems.values())), stemmed=True)
     hits = stemming.occurrences_by_join(df, key, text, stemming.surface_forms(df, text, stems))
     frame = df.join(hits.withColumnRenamed("hits", "_hits"), key, "left")
     frame = with_distances(frame, rules, lexicon)

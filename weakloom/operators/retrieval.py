@@ -77,12 +77,18 @@ def correct_labels(df: DataFrame, corrections: DataFrame, key: str, column: str)
         F.coalesce("_new", column).alias(column) if c == column else F.col(c) for c in df.columns])
 
 
-def union_countries(tables: Mapping[str, DataFrame], key: str = "id") -> DataFrame:
-    """UNION ALL of per-country tables with the country as a constant column.
+def tag_countries(df: DataFrame, column: str, names: Mapping[str, str], unknown: str = "unknown") -> DataFrame:
+    """Replace ``column`` by ``country``: its name, or the value itself if it has none; no row is lost."""
+    country = F.coalesce(_choose(F.col(column), names), F.col(column), F.lit(unknown))
+    return df.withColumn("country", country).drop(column)
+
+
+def union_countries(tables: Mapping[str, DataFrame], key: str = "id", rest: DataFrame | None = None) -> DataFrame:
+    """UNION ALL of per-country tables with the country as a constant column, and of ``rest``, which has one.
 
     Rows are identified by ``(country, key)``; nothing is re-numbered or overwritten.
     """
-    tagged = [df.withColumn("country", F.lit(name)) for name, df in tables.items()]
+    tagged = [df.withColumn("country", F.lit(name)) for name, df in tables.items()] + ([] if rest is None else [rest])
     out = tagged[0]
     for df in tagged[1:]:
         out = out.unionByName(df)
@@ -103,8 +109,10 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_or
 def rows_at(df: DataFrame, order: str, first: int, last: int | None = None, major: Sequence[str] = (),
             position: str = "position") -> DataFrame:
     """Rows at the 0-based positions ``first`` … ``last`` of the order."""
-    numbered = scan.row_numbers(df, order, position, major)
-    return numbered.where(F.col(position).between(first, first if last is None else last))
+    last = first if last is None else last
+    keys = scan.row_keys(df, order, position, major).where(F.col(position).between(first, last))
+    # As many keys as rows asked for; the table itself is not moved.
+    return df.join(F.broadcast(keys), [*major, order]).select(*df.columns, position)
 
 
 def shape(df: DataFrame) -> DataFrame:

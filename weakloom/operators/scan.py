@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weakloom.session import durable
+
 CHUNK = 4096
 
 
@@ -67,31 +69,28 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str, sums: Mappin
         *totals.values())
 
 
-def row_numbers(df: DataFrame, order: str, out: str, major: Sequence[str] = (),
-                chunk: int = CHUNK) -> DataFrame:
+def row_keys(df: DataFrame, order: str, out: str, major: Sequence[str] = ()) -> DataFrame:
+    """``(major…, order, out)``: the 0-based position of each key in the order ``(major…, order)``.
+
+    The keys are cut into ranges of about equal size, whatever their values, and written to the shared folder. Rows are numbered
+    inside a range; the ranges before it count one row each in the one small sum over all ranges.
+    """
+    by = [*major, order]
+    ranged = df.select(*by).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = durable(ranged.withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_range").orderBy(*by)))
+    return inside.join(F.broadcast(offsets), "_range").select(*by, (F.col("_in") - 1 + F.col("_offset")).alias(out))
+
+
+def row_numbers(df: DataFrame, order: str, out: str, major: Sequence[str] = ()) -> DataFrame:
     """Add the 0-based position of each row in the order ``(major…, order)``.
 
-    ``order`` is an integer column, unique within ``major``; ``major`` are few-valued columns
-    such as a country. Three levels: positions inside a chunk, chunk offsets inside a block of
-    ``chunk`` chunks, block offsets over the table. Only the last level is one task, over one
-    row per ``chunk * chunk`` keys.
+    The two together must be unique and not null.
     """
-    major = list(major)
-    cut = df.withColumn("_chunk", _chunk_of(order, chunk)).withColumn("_block", _chunk_of("_chunk", chunk))
-    chunks = cut.groupBy(*major, "_block", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = chunks.groupBy(*major, "_block").agg(F.sum("_n").alias("_block_n"))
-    block_offsets = blocks.select(
-        *major, "_block",
-        F.coalesce(F.sum("_block_n").over(
-            W.orderBy(*major, "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before_block"))
-    chunk_offsets = chunks.select(
-        *major, "_block", "_chunk",
-        F.coalesce(F.sum("_n").over(
-            W.partitionBy(*major, "_block").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)),
-            F.lit(0)).alias("_before_chunk"))
-    offsets = chunk_offsets.join(block_offsets, [*major, "_block"]).select(
-        *major, "_block", "_chunk", (F.col("_before_chunk") + F.col("_before_block")).alias("_offset"))
-    numbered = cut.withColumn("_in", F.row_number().over(
-        W.partitionBy(*major, "_block", "_chunk").orderBy(order)))
-    return numbered.join(offsets, [*major, "_block", "_chunk"]).select(
-        *df.columns, (F.col("_in") - 1 + F.col("_offset")).alias(out))
+    keys = row_keys(df, order, out, major)
+    if set(df.columns) == {*major, order}:
+        return keys.select(*df.columns, out)
+    return df.join(keys, [*major, order]).select(*df.columns, out)

@@ -12,8 +12,6 @@ from weakloom.functions import tokens as tk
 from weakloom.functions.stem import stem_words
 from weakloom.operators.skew import salted_join
 
-MAX_FORMS = 20_000
-
 
 def vocabulary(df: DataFrame, text: str, keep: Column | None = None) -> DataFrame:
     """Distinct tokens of a text column.
@@ -62,16 +60,6 @@ def surface_forms(df: DataFrame, text: str, stems: Mapping[str, str]) -> DataFra
     return stem_words(candidates, "token", "stem").where(f"stem IN ({lit.strings(wanted)})")
 
 
-def collect_forms(forms: DataFrame, max_forms: int = MAX_FORMS) -> dict[str, str] | None:
-    """The table as a driver-side mapping if it has at most ``max_forms`` rows, else None.
-
-    Only finitely many words reduce to the stem of a phrase word, so this normally holds;
-    beyond it ``occurrences_by_join`` gives the same result through a join.
-    """
-    rows = forms.limit(max_forms + 1).collect()
-    return None if len(rows) > max_forms else {r.token: r.stem for r in rows}
-
-
 def occurrences_by_join(df: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
     """``(key, hits)``: matching tokens of each row found by joining on the token.
 

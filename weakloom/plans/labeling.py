@@ -34,19 +34,14 @@ class FittedLabels:
 
 def fit_labels(gold: DataFrame, text: str = "sentences", label: str = "class",
                rules: Sequence[lb.Rule] | None = None, groups: Mapping[str, Sequence[str]] | None = None,
-               stem: bool = True, vocabulary_of: DataFrame | None = None) -> FittedLabels:
+               stem: bool = True) -> FittedLabels:
     """Votes on the gold table, their summary and the label model.
 
-    Missing gold classes count as neutral. ``vocabulary_of`` is the table whose words decide
-    the surface forms in stemmed mode; give the table to be labelled.
+    Missing gold classes count as neutral. The lexicon depends on the phrase lists alone, so the result labels any table.
     """
     rules = rules or lb.default_rules()
     groups = groups or lexicons.POLICY
-    if stem:
-        source = gold if vocabulary_of is None else vocabulary_of
-        lexicon = lb.stemmed_lexicon(source, text, groups)
-    else:
-        lexicon = lb.plain_lexicon(groups)
+    lexicon = lb.stemmed_lexicon(gold.sparkSession, groups) if stem else lb.plain_lexicon(groups)
     labelled = gold.withColumn(label, retrieval.default_class(F.col(label)))
     # The text is read once; everything below runs on the distinct vote arrays.
     patterns = durable(lf_stats.vote_patterns(lb.vote_matrix(labelled, text, rules, lexicon), label))

@@ -68,7 +68,7 @@ SCORED = """scored AS (SELECT vec_id, label, list_cosine_similarity(embedding::D
 GOLD = """gold AS (SELECT d.doc_id, d.lang, d.text, CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 3
           WHEN quality IS NOT NULL THEN 1 END AS class FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 COUNTRIES = """countries AS (SELECT CASE lang WHEN 'de' THEN 'Germany' WHEN 'en' THEN 'England' WHEN 'es' THEN 'Spain'
-               WHEN 'fr' THEN 'France' END AS country, doc_id, text FROM documents WHERE lang IN ('de', 'en', 'es', 'fr'))"""
+               WHEN 'fr' THEN 'France' ELSE coalesce(lang, 'unknown') END AS country, doc_id, text FROM documents)"""
 
 
 # --- stemming ---------------------------------------------------------------------------------
@@ -382,6 +382,8 @@ def all_oracles() -> dict[str, str]:
     o["vote_matrix_stemmed"] = stemmed
     o["vote_matrix_stemmed_by_join"] = stemmed
     o["vote_matrix_policy_stemmed"] = _with(vote_ctes(lexicons.POLICY, stemmed=True), f"SELECT doc_id, {DIGITS} FROM voted")
+    o["other_table_votes"] = _with(vote_ctes(sd.PHRASES, source="conversations", keys="conv_id, turn", stemmed=True),
+                                   f"SELECT conv_id, turn, {DIGITS} FROM voted")
     o["paragraph_votes"] = _with(
         f"{LINES},\ncleaned AS (SELECT doc_id, para_id, {cleaned('text')} AS text FROM paragraphs),\n"
         + vote_ctes(sd.PHRASES, source="cleaned", keys="doc_id, para_id"), f"SELECT doc_id, para_id, {DIGITS} FROM voted")
@@ -413,9 +415,9 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
         "SELECT doc_id, class AS predicted FROM placed WHERE rank = 1")
     o["confusion_matrix"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT class AS gold, predicted, count(*) AS n FROM majority "
                                                                 "WHERE class IS NOT NULL GROUP BY ALL")
-    o["class_scores"] = _with(f"{GOLD_VOTED},\n{MAJORITY},\n{CLASS_SCORES}",
-                              "SELECT class, hits, wrong, missed, round(precision, 6) AS precision, round(recall, 6) AS recall, "
-                              "round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM class_scores")
+    scores_row = ("SELECT class, hits, wrong, missed, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+                  "round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM class_scores")
+    o["class_scores"] = _with(f"{GOLD_VOTED},\n{MAJORITY},\n{CLASS_SCORES}", scores_row)
     o["f1_summary"] = _with(f"{GOLD_VOTED},\n{MAJORITY},\n{CLASS_SCORES}",
                             "SELECT round(avg(f1), 6) AS f1_macro, round(sum(f1 * (hits + missed)) / sum(hits + missed), 6) AS f1_weighted FROM class_scores")
     o["label_histogram"] = _with(
@@ -424,6 +426,14 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
         "SELECT class, coalesce(n_gold, 0) AS n_gold, coalesce(n_predicted, 0) AS n_predicted FROM g FULL OUTER JOIN p USING (class)")
     o["probability_histogram"] = _with(
         f"{GOLD_VOTED},\n{POSTERIORS}", "SELECT class, least(floor(round(p, 6) * 20)::INT + 1, 20) AS bin, count(*) AS n FROM proba GROUP BY ALL")
+    model = (f"{GOLD_VOTED},\n{POSTERIORS}, placed AS (SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, class) AS rank FROM proba), "
+             "majority AS (SELECT g.doc_id, g.class, p.class AS predicted FROM gold g JOIN placed p ON g.doc_id = p.doc_id AND rank = 1)")
+    o["model_class_scores"] = _with(f"{model},\n{CLASS_SCORES}", scores_row)
+    o["model_label_histogram"] = _with(
+        f"{model}, g AS (SELECT class, count(*) AS n_gold FROM majority WHERE class IS NOT NULL GROUP BY class), "
+        "p AS (SELECT predicted AS class, count(*) AS n_predicted FROM majority GROUP BY predicted)",
+        "SELECT class, coalesce(n_gold, 0) AS n_gold, coalesce(n_predicted, 0) AS n_predicted FROM g FULL OUTER JOIN p USING (class)")
+    o["model_false_negatives"] = _with(model, "SELECT doc_id, class, predicted FROM majority WHERE class <> predicted AND class = 2")
     o["labeling_errors"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, class, predicted FROM majority WHERE class <> predicted")
     o["false_negatives"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, text, class, predicted FROM majority WHERE class <> predicted AND class = 2")
     o["missed_positives"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, text, class, predicted FROM majority WHERE class <> predicted AND class = 3")

@@ -267,16 +267,24 @@ def corrected_labels(spark, sf_dir):
     return retrieval.correct_labels(sd.gold_documents(spark, sf_dir).select("doc_id", "class"), corrections, "doc_id", "class")
 
 
+COUNTRIES = {"de": "Germany", "en": "England", "es": "Spain", "fr": "France"}
+
+
 def _countries(spark, sf_dir):
-    docs = sd.documents(spark, sf_dir, "doc_id", "lang", "text")
-    names = {"de": "Germany", "en": "England", "es": "Spain", "fr": "France"}
-    return retrieval.union_countries(
-        {name: docs.where(F.col("lang") == lang).drop("lang") for lang, name in names.items()}, "doc_id")
+    return retrieval.tag_countries(sd.documents(spark, sf_dir, "doc_id", "lang", "text"), "lang", COUNTRIES)
+
+
+def _united(docs):
+    """The same rows as ``tag_countries``, from one table per named country and one of all others."""
+    tables = {name: docs.where(F.col("lang") == lang).drop("lang") for lang, name in COUNTRIES.items()}
+    others = docs.where(~F.coalesce(F.col("lang").isin(*COUNTRIES), F.lit(False)))
+    return retrieval.union_countries(tables, "doc_id", retrieval.tag_countries(others, "lang", {"": ""}))
 
 
 @query
 def union_countries(spark, sf_dir):
-    return _countries(spark, sf_dir).select("country", "doc_id", F.length("text").alias("n_chars"))
+    docs = sd.documents(spark, sf_dir, "doc_id", "lang", "text").select("doc_id", "lang", F.length("text").alias("n_chars"))
+    return _united(docs).select("country", "doc_id", "n_chars")
 
 
 @query
@@ -327,7 +335,7 @@ def lexicon_forms(spark, sf_dir):
 def phrase_positions(spark, sf_dir):
     """Position of every phrase of the ``budgets`` and ``encouraging`` groups, where it occurs."""
     wanted = [(g, p) for g in ("budgets", "encouraging") for p in sd.PHRASES[g]]
-    frame = lb.with_occurrences(_documents(spark, sf_dir), "text", _plain().forms).drop("text")
+    frame = lb.with_occurrences(_documents(spark, sf_dir), "text", _plain()).drop("text")
     frame = lb.with_phrase_arrays(frame, max(len(tk.phrase_words(p)) for _, p in wanted))
     found = F.array(*[F.struct(F.lit(g).alias("group_name"), F.lit(p).alias("phrase"),
                                tk.first_at("_at", f"_g{len(tk.phrase_words(p))}", p).alias("position")) for g, p in wanted])
@@ -336,7 +344,7 @@ def phrase_positions(spark, sf_dir):
 
 @query
 def pair_distances(spark, sf_dir):
-    frame = lb.with_occurrences(_documents(spark, sf_dir), "text", _plain().forms).drop("text")
+    frame = lb.with_occurrences(_documents(spark, sf_dir), "text", _plain()).drop("text")
     return lb.with_distances(frame, RULES, _plain())
 
 
@@ -389,7 +397,7 @@ def vote_matrix_policy_phrases(spark, sf_dir):
 @query
 def vote_matrix_stemmed(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    lexicon = lb.stemmed_lexicon(docs, "text", sd.PHRASES)
+    lexicon = lb.stemmed_lexicon(spark, sd.PHRASES)
     return lb.vote_matrix(docs, "text", RULES, lexicon).select("doc_id", _digits())
 
 
@@ -402,7 +410,7 @@ def vote_matrix_stemmed_by_join(spark, sf_dir):
 @query
 def vote_matrix_policy_stemmed(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    lexicon = lb.stemmed_lexicon(docs, "text", lexicons.POLICY)
+    lexicon = lb.stemmed_lexicon(spark, lexicons.POLICY)
     return lb.vote_matrix(docs, "text", RULES, lexicon).select("doc_id", _digits())
 
 
@@ -417,12 +425,13 @@ def paragraph_votes(spark, sf_dir):
 # --- statistics, label model, evaluation ------------------------------------------------------
 
 def _gold_votes(spark, sf_dir):
-    gold = sd.gold_documents(spark, sf_dir)
-    return lb.vote_matrix(gold.drop("lang"), "text", RULES, _plain()).drop("text")
+    """Votes are made on the scan; only they, not the texts, meet the labels."""
+    return _voted(spark, sf_dir).join(sd.gold_labels(spark, sf_dir), "doc_id", "left")
 
 
 def _patterns(spark, sf_dir, *by):
-    return lf_stats.vote_patterns(_gold_votes(spark, sf_dir), *by)
+    voted = _gold_votes(spark, sf_dir) if by else _voted(spark, sf_dir)
+    return lf_stats.vote_patterns(voted, *by)
 
 
 def _coverage_columns():
@@ -443,8 +452,8 @@ def lf_summary(spark, sf_dir):
 
 @query
 def lf_summary_gold(spark, sf_dir):
-    gold = sd.gold_documents(spark, sf_dir).drop("lang").withColumn("class", retrieval.default_class(F.col("class")))
-    patterns = lf_stats.vote_patterns(lb.vote_matrix(gold, "text", RULES, _plain()), "class")
+    voted = _gold_votes(spark, sf_dir).withColumn("class", retrieval.default_class(F.col("class")))
+    patterns = lf_stats.vote_patterns(voted, "class")
     return lf_stats.lf_summary(patterns, RULES, "class").select(
         "rule_no", "rule", *_coverage_columns(), "correct", "incorrect", _r("accuracy", "accuracy"))
 
@@ -464,6 +473,13 @@ def majority_vote(spark, sf_dir):
     return _voted(spark, sf_dir).select("doc_id", lf_stats.majority_vote(F.col("votes")).alias("predicted"))
 
 
+@query
+def other_table_votes(spark, sf_dir):
+    """A stemmed lexicon made from the phrase lists alone labels a table that no fit has seen."""
+    turns = sd.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return lb.vote_matrix(turns, "text", RULES, lb.stemmed_lexicon(spark, sd.PHRASES)).select("conv_id", "turn", _digits())
+
+
 @query
 def class_balance(spark, sf_dir):
     return lf_stats.class_balance(sd.gold_documents(spark, sf_dir), "class").select("class", "n", _r("share", "share"))
@@ -516,9 +532,9 @@ def label_model_posteriors(spark, sf_dir):
 @query
 def noisy_labels(spark, sf_dir):
     """The whole labeling plan in stemmed mode: fit on gold documents, label all countries."""
-    gold = sd.gold_documents(spark, sf_dir).where("class is not null").withColumnRenamed("text", "sentences")
+    gold = sd.gold_documents(spark, sf_dir).withColumnRenamed("text", "sentences")
     target = _countries(spark, sf_dir).withColumnRenamed("text", "sentences")
-    fitted = plan.fit_labels(gold, groups=sd.PHRASES, vocabulary_of=target)
+    fitted = plan.fit_labels(gold, groups=sd.PHRASES)
     return fitted.apply(target, "sentences").select("country", "doc_id", _digits(), *_proba_columns(), "predicted")
 
 
@@ -555,6 +571,28 @@ def probability_histogram(spark, sf_dir):
     return ev.probability_histogram(rounded, "proba")
 
 
+def _model_predictions(spark, sf_dir):
+    return _supervised(spark, sf_dir).select("doc_id", "class", "predicted")
+
+
+@query
+def model_class_scores(spark, sf_dir):
+    """As ``class_scores``, for the predictions of the closed-form label model."""
+    scores = ev.class_scores(ev.confusion(_model_predictions(spark, sf_dir), "class", "predicted"))
+    return scores.select("class", "hits", "wrong", "missed", _r("precision", "precision"), _r("recall", "recall"),
+                         _r("f1", "f1"), _r("accuracy", "accuracy"))
+
+
+@query
+def model_label_histogram(spark, sf_dir):
+    return ev.label_histogram(_model_predictions(spark, sf_dir), "class", "predicted")
+
+
+@query
+def model_false_negatives(spark, sf_dir):
+    return ev.errors(_model_predictions(spark, sf_dir), "class", "predicted", lb.NEGATIVE)
+
+
 @query
 def labeling_errors(spark, sf_dir):
     return ev.errors(_majority(spark, sf_dir), "class", "predicted")
@@ -562,19 +600,19 @@ def labeling_errors(spark, sf_dir):
 
 @query
 def false_negatives(spark, sf_dir):
-    wrong = ev.errors(_gold_votes_with_text(spark, sf_dir), "class", "predicted", lb.NEGATIVE)
-    return wrong.select("doc_id", "text", "class", "predicted")
+    return _wrong_texts(spark, sf_dir, lb.NEGATIVE)
 
 
 @query
 def missed_positives(spark, sf_dir):
-    wrong = ev.errors(_gold_votes_with_text(spark, sf_dir), "class", "predicted", lb.POSITIVE)
-    return wrong.select("doc_id", "text", "class", "predicted")
+    return _wrong_texts(spark, sf_dir, lb.POSITIVE)
 
 
-def _gold_votes_with_text(spark, sf_dir):
-    voted = lb.vote_matrix(sd.gold_documents(spark, sf_dir).drop("lang"), "text", RULES, _plain())
-    return voted.withColumn("predicted", lf_stats.majority_vote(F.col("votes")))
+def _wrong_texts(spark, sf_dir, gold_class):
+    """Wrongly predicted documents of a class, with text: only those predicted otherwise meet the labels of the class."""
+    voted = lb.vote_matrix(_documents(spark, sf_dir), "text", RULES, _plain())
+    other = voted.select("doc_id", "text", lf_stats.majority_vote(F.col("votes")).alias("predicted")).where(F.col("predicted") != gold_class)
+    return other.join(sd.gold_labels(spark, sf_dir).where(F.col("class") == gold_class), "doc_id").select("doc_id", "text", "class", "predicted")
 
 
 # --- features and end model -------------------------------------------------------------------

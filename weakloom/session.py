@@ -31,7 +31,7 @@ def build_session(app: str = "weakloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only where the session names none and runs on one machine (tests) a temporary one is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -39,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir: executors do not see each other's disks")
     local = tempfile.mkdtemp(prefix="weakloom-")
     spark.sparkContext.setCheckpointDir(local)
     return local

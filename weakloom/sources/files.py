@@ -28,11 +28,6 @@ def read_texts(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFr
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page texts stored as Parquet with the page schema."""
-    return spark.read.schema(schemas.PAGES).parquet(path)
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.RETRIEVAL) -> DataFrame:
     """CSV with an explicit schema. The header is skipped; columns are taken by position.
 
