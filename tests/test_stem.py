@@ -52,3 +52,21 @@ def test_prefix_filter_keeps_every_form(spark):
 def test_odd_words_pass_through(spark, word):
     frame = spark.createDataFrame([(word,)], "word string")
     assert stem_words(frame, "word", "stem").collect()[0].stem is not None
+
+
+def test_first_letters_lose_no_form(spark):
+    """Forms made of word heads and all suffixes: none is dropped by its first letters before it is stemmed."""
+    from pyspark.sql import functions as F
+
+    from weakloom.functions import tokens as tk
+    from weakloom.functions.stem import STEP2, STEP3, STEP4, stem_array, stem_words
+
+    heads = ["fin", "budg", "possib", "lie", "die", "ty", "dy", "conn", "relat", "hop", "hopp", "cr", "sk", "gener", "univers", "y", "happ"]
+    suffixes = ["", "s", "es", "ies", "ied", "y", "e", "ed", "ing", "ly", "edly", "ingly", "bility", "ble", "ings", *STEP2, *STEP3, *STEP4]
+    words = sorted({h + a + b for h in heads for a in suffixes for b in ("", "s", "ing", "li")})
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = stem_words(frame, "word", "stem").collect()
+    import re
+    assert not [r for r in rows if r.stem and not re.match(tk.prefix_pattern([r.stem]), r.word)]
+    array = frame.select(stem_array(F.array(F.struct("word", F.lit(7).alias("at")))).alias("a"), "word").select("word", F.get("a", 0).alias("x"))
+    assert {r.word: r.x.word for r in array.collect()} == {r.word: r.stem for r in rows}

@@ -8,7 +8,6 @@ IMPLEMENTING = [
     "increase", "offer", "earmark", "obtain", "access", "aid", "promote", "found",
     "create", "initiate",
 ]
-PASSIVE = ["will be"]
 ENCOURAGING = [
     "encourage", "assist", "mobilize", "motivate", "stimulate", "support", "endorse",
     "recommend", "strengthen", "foster", "prompt",

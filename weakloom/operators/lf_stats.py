@@ -65,14 +65,15 @@ def label_coverage(patterns: DataFrame) -> DataFrame:
 
 
 def majority_vote(votes: Column, classes: Sequence[int] = CLASSES) -> Column:
-    """Most frequent class among the votes; the lowest class wins a tie."""
+    """Most frequent class among the votes; the lowest class wins a tie, and no vote gives null."""
     def count_of(wanted: int) -> Column:
         return F.size(F.filter(votes, lambda v: v == wanted))
 
     counts = [count_of(c) for c in classes]
     best = F.greatest(*counts)
-    return functools.reduce(lambda acc, pair: F.when(pair[1] == best, F.lit(pair[0])).otherwise(acc),
-                            reversed(list(zip(classes, counts))), F.lit(None).cast("int"))
+    first = functools.reduce(lambda acc, pair: F.when(pair[1] == best, F.lit(pair[0])).otherwise(acc),
+                             reversed(list(zip(classes, counts))), F.lit(None).cast("int"))
+    return F.when(best > 0, first)
 
 
 def class_balance(df: DataFrame, gold: str) -> DataFrame:

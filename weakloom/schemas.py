@@ -27,8 +27,3 @@ PAGES = T.StructType([
     T.StructField("page", T.IntegerType()),
     T.StructField("text", T.StringType()),
 ])
-
-PROBABILITIES = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("proba", T.ArrayType(T.DoubleType())),
-])
