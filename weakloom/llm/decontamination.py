@@ -186,6 +186,9 @@ def search(shard: Shard, block: TestBlock, counts: np.ndarray, slack: int = 0) -
         window = np.repeat(np.arange(len(of)), size)
         inside = np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size)
         start = shard.positions[np.repeat(shard.begins[term], size) + inside] - np.repeat(rarest, size)
+        if slack:  # the rarest term may itself stand off its place
+            shifts = np.arange(-slack, slack + 1)
+            window, start = np.repeat(window, len(shifts)), (start[:, None] + shifts).ravel()
         doc = np.searchsorted(shard.first, start, side="right") - 1
         ok = (start >= 0) & (doc >= 0)
         ok[ok] = start[ok] + length <= shard.first[np.minimum(doc[ok] + 1, len(shard.first) - 1)]
