@@ -3,15 +3,17 @@
 A line goes when a line before it (by document id, then line number) is the same, or, for lines of ``min_chars``
 and more, at most ``edits`` edits away. What is before a line is judged on the input, not on what is left.
 
-Equal lines are first folded into one, so a line that a third of all documents share is one row. Then each different line is cut into
-``edits + 1`` segments, and each line looks up, for all lengths that may be near, the substrings
+Each line is cut into ``edits + 1`` segments, and looks up, for all lengths that may be near, its substrings
 that can still be a segment of a line within the threshold: after k edits to the left of a segment its place
 differs by k at most, and the edits to the left and right add up (multi-match-aware selection). Lines within the
-threshold share such a substring; candidates are verified by a banded bit-parallel edit distance, which holds the
+threshold share such a substring. Candidates whose letter counts, then whose three-character pieces differ by more than the edits
+can change are dropped; the others are verified by a banded bit-parallel edit distance, which holds the
 2 * edits + 1 diagonals of the matrix in the bits of two integers.
 
-Texts are shuffled to fold equal lines, to fetch the candidates (a small bit set keeps other lines from
-moving), and to take the lines out. No step has one task per line value or per document source.
+Lines are told apart by 128 bits of hash, and one table of hashes serves all steps: equal lines fold into one
+row per task before anything is shuffled, so a line that a third of all documents share weighs nothing. A bit set of
+fixed size, broadcast as a table, drops substrings that are no line's segment (in large data it fills up, and
+more is shuffled; results stay). Texts are shuffled only for candidates and for documents that lose a line.
 """
 
 from __future__ import annotations
@@ -21,51 +23,74 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakloom.functions.fence import fenced
 from weakloom.llm.store import stored
 
 EDITS = 2
 MIN_CHARS = 24
-#: Bits of the set of candidate lines, as a power of two.
+#: Bits of the sets, as powers of two: of keys (a table of 2**20 numbers) and of candidates (a literal of 128 KB).
+KEY_BITS = 26
 SET_BITS = 20
+_NO_ID = -(1 << 63)
+#: Letters counted to tell lines apart before their texts are fetched.
+LETTERS = ("etaoinsh", "rdlucmpg")
+COUNTS = tuple(f"letters_{k}" for k in range(len(LETTERS)))
+#: Characters in the pieces that two lines near each other must mostly share.
+GRAM = 3
 
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of a segment; the last segments take what division leaves over."""
-    parts = edits + 1
-    base, rest = F.floor(length / parts), length % parts
-    longer = F.greatest(F.lit(0), F.lit(number) - (F.lit(parts) - rest))
-    size = base + F.when(F.lit(number) >= F.lit(parts) - rest, 1).otherwise(0)
-    return (base * number + longer + 1).cast("int"), size.cast("int")
+def _key(length: str, number: int, shift: int, parts: int) -> str:
+    """Hash of segment ``number`` of a line with this length, taken ``shift`` characters further on in ``wide``.
 
+    ``wide`` has four bytes per character, so that a piece is found without a walk to it.
+    """
+    start, end = (f"(({length}) * {k} div {parts})" for k in (number, number + 1))
+    return f"xxhash64({length}, {number}, substring(wide, cast(({start} + {shift}) * 4 + 1 AS INT), cast(({end} - {start}) * 4 AS INT)))"
 
-def _key(length: Column, number: int, piece: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(number), piece)
 
+def index_keys(edits: int) -> Column:
+    """Keys of a line's own segments, from the columns ``wide`` and ``length``."""
+    parts = edits + 1
+    return F.expr(f"array({', '.join(_key('length', i, 0, parts) for i in range(parts))})")
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of a line's own segments."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits)
-        keys.append(_key(length, i, F.substring(line, start, size)))
-    return F.array(*keys)
 
+def probe_keys(edits: int) -> Column:
+    """Keys of the substrings that may be segments of a line of the same length or up to ``edits`` characters less.
 
-def probe_keys(line: Column, length: Column, edits: int, min_chars: int) -> Column:
-    """``array<struct<key, shorter>>``: substrings that may be segments of a line ``shorter`` characters shorter."""
-    found = []
+    A line's own segments are left out: they are found among the segments of other lines.
+    """
+    parts, found = edits + 1, []
     for shorter in range(edits + 1):
-        other = length - shorter
-        for i in range(edits + 1):
-            start, size = segment(other, i, edits)
+        for i in range(parts):
             # Segment i (from 0) has at most i edits to its left, or edits - i to its right.
             low = max(-i, shorter - (edits - i))
             high = min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                inside = (other >= min_chars) & (start + shift >= 1) & (start + shift + size - 1 <= length)
-                key = _key(other, i, F.substring(line, start + shift, size))
-                found.append(F.when(inside, F.struct(key.alias("key"), F.lit(shorter).cast("byte").alias("shorter"))))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+            found += [_key(f"length - {shorter}", i, shift, parts) for shift in range(low, high + 1) if shorter or shift]
+    return F.expr(f"array({', '.join(found)})")
+
+
+def letter_counts(line: Column) -> list[Column]:
+    """Counts of the ``LETTERS``, up to 255 each, eight in the bytes of an integer."""
+    def count(letter: str) -> Column:
+        return F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit(""))), F.lit(255)).cast("bigint")
+
+    packed = []
+    for letters in LETTERS:
+        value = F.lit(0).cast("bigint")
+        for k, letter in enumerate(letters):
+            value = value.bitwiseOR(F.shiftleft(count(letter), 8 * k))
+        packed.append(value)
+    return packed
+
+
+def counts_allow(pairs: list[tuple[str, str]], edits: int) -> Column:
+    """Whether letter counts differ by no more than ``edits`` edits can: two per edit."""
+    difference = F.lit(0)
+    for a, b in pairs:
+        for k in range(8):
+            byte_a, byte_b = (F.shiftrightunsigned(c, 8 * k).bitwiseAND(255) for c in (a, b))
+            difference = difference + F.abs(byte_a - byte_b)
+    return difference <= 2 * edits
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -122,34 +147,74 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, text_hash, line_no, line`` of all lines that are not blank."""
-    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+    """``doc_id, row, line_no, id, guard, line`` of all lines that are not blank; ``row`` stands for id and text of the document."""
+    cut = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", text).alias("row"),
                       F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return cut.where(F.trim(F.translate("line", "\t\x0b\x0c\r", "    ")) != "")
+    spoken = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return spoken.select("doc_id", "row", "line_no", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("guard"), "line")
 
 
-def _ids(line: Column) -> tuple[Column, Column]:
-    return F.xxhash64(line).alias("id"), F.xxhash64(line, F.lit(1)).alias("guard")
+def hashed_lines(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFrame:
+    """The lines without their text, with the keys of those long enough."""
+    lines = lines_of(docs, text).withColumn("length", F.char_length("line"))
+    counts = [c.alias(n) for n, c in zip(COUNTS, letter_counts(F.col("line")))]
+    wide = F.when(F.col("length") >= min_chars, F.encode("line", "UTF-32"))
+    lines = lines.select("doc_id", "row", "line_no", "id", "guard", "length", *counts, wide.alias("wide"))
+    return lines.select(
+        "doc_id", "row", "line_no", "id", "guard", *COUNTS,
+        F.when(F.col("wide").isNotNull(), index_keys(edits)).alias("segments"),
+        F.when(F.col("wide").isNotNull(), probe_keys(edits)).alias("probes"))
 
 
-def candidates(kinds: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``a, b``: ids of different lines that share a substring as described above."""
-    long = kinds.where(F.col("length") >= min_chars)
-    index = long.select("id", F.explode(index_keys(F.col("line"), F.col("length"), edits)).alias("key"))
-    probe = long.select(F.col("id").alias("b"), F.explode(probe_keys(F.col("line"), F.col("length"), edits, min_chars)).alias("p"))
-    probe = probe.select("b", "p.key", "p.shorter")
-    # Of two lines of equal length each would find the other.
-    once = (F.col("shorter") > 0) | (F.col("a") < F.col("b"))
-    return index.withColumnRenamed("id", "a").join(probe, "key").where(once).select("a", "b").distinct()
+def _place() -> Column:
+    """Document and line number as one number that a hash aggregation can take the smallest of."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
-def _place(hashed: Column, bits: int) -> Column:
+def _bit(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits)
 
 
-def set_of(ids: DataFrame, column: str, bits: int = SET_BITS) -> Column:
-    """A test for membership in the ids, as a literal of fixed size; ids outside may also pass."""
-    place = _place(F.col(column), bits)
+def bit_table(rows: DataFrame, column: str, bits: int = KEY_BITS) -> DataFrame:
+    """``word, bits``: a set of hashes as at most ``2**(bits - 6)`` rows."""
+    return rows.select(_bit(F.col(column), bits).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits"))
+
+
+def members(rows: DataFrame, column: str, table: DataFrame, bits: int = KEY_BITS) -> DataFrame:
+    """The rows whose hash may be in the set. The broadcast table has a fixed largest size."""
+    bit = _bit(F.col(column), bits)
+    found = rows.withColumn("word", F.shiftright(bit, 6).cast("int")).join(F.broadcast(table), "word")
+    return found.where(F.call_function("shiftrightunsigned", F.col("bits"), bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).drop("word", "bits")
+
+
+def candidates(lines: DataFrame, edits: int) -> DataFrame:
+    """``a, b``: ids of different lines that share a substring as described above, and have the letters for it."""
+    long = lines.where("segments is not null")
+    own = long.select("id", *COUNTS, F.explode("segments").alias("key"))
+    asked = long.select("id", *COUNTS, F.explode("probes").alias("key"))
+    asked = stored(members(asked, "key", bit_table(own, "key")).distinct(), "line-probes")
+    shared = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    own = stored(members(own, "key", bit_table(shared.unionByName(asked.select("key")), "key")).distinct(), "line-segments")
+    asked = asked.withColumn("mutual", F.lit(False)).unionByName(own.withColumn("mutual", F.lit(True)))
+    own = own.withColumnsRenamed({c: f"own_{c}" for c in ("key", "id", *COUNTS)})
+    # The counts are compared inside the join: variants of one line share substrings by the thousand.
+    fit = counts_allow([(c, f"own_{c}") for c in COUNTS], edits)
+    pairs = own.join(asked, (F.col("own_key") == F.col("key")) & (F.col("id") != F.col("own_id"))
+                     & (~F.col("mutual") | (F.col("id") < F.col("own_id"))) & fit)
+    return pairs.select(F.least("id", "own_id").alias("a"), F.greatest("id", "own_id").alias("b")).distinct()
+
+
+def grams(line: Column) -> Column:
+    """Hashes of all pieces of ``GRAM`` characters."""
+    wide = F.encode(line, "UTF-32")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(line) - GRAM)),
+                       lambda k: F.xxhash64(F.substring(wide, k * 4 + 1, F.lit(4 * GRAM))))
+
+
+def set_of(ids: DataFrame, column: str, bits: int = SET_BITS) -> Callable[[Column], Column]:
+    """A test for membership in the ids, with a literal of fixed size; others may also pass."""
+    place = _bit(F.col(column), bits)
     words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 5).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place & 31 AS INT))")).alias("bits"))
     data = bytearray(1 << (bits - 3))
@@ -158,62 +223,68 @@ def set_of(ids: DataFrame, column: str, bits: int = SET_BITS) -> Column:
     literal = F.lit(bytes(data))
 
     def test(hashed: Column) -> Column:
-        at = _place(hashed, bits)
+        at = _bit(hashed, bits)
         byte = F.ascii(F.decode(F.substring(literal, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
         return _right(byte, at.bitwiseAND(7)).bitwiseAND(1) == 1
 
     return test
 
 
-def near_lines(kinds: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, edits: int, text: str) -> DataFrame:
     """``id, guard`` of the lines that have a near line before them."""
-    pairs = stored(candidates(kinds, edits, min_chars), "line-pairs")
-    member = set_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id")
-    texts = kinds.where(member(F.col("id"))).select("id", "guard", "first", F.split("line", "").alias("chars"))
+    pairs = stored(candidates(lines, edits), "line-pairs")
+    member = set_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    texts = lines_of(docs, text).where(member(F.col("id"))).groupBy("id", "guard", "line").agg(F.min(_place()).alias("first"))
+    texts = stored(texts, "candidate-lines")
 
     def side(name: str) -> DataFrame:
-        return texts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("guard", "first", "chars")])
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = both.where(within(F.col("a_chars"), F.col("b_chars"), edits))
+        return texts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("guard", "first", "line")])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.char_length("a_line") - F.char_length("b_line")) <= edits)
+    # Fenced, or the filters would cut the lines anew for every character. An edit changes ``GRAM`` pieces at most.
+    held = ["a", "b", "a_guard", "b_guard", "a_first", "b_first"]
+    cut = fenced(both, [*held, "a_line", "b_line"], {"a_grams": grams(F.col("a_line")), "b_grams": grams(F.col("b_line"))})
+    lost = F.greatest(F.size(F.array_except("a_grams", "b_grams")), F.size(F.array_except("b_grams", "a_grams")))
+    chars = fenced(cut.where(lost <= edits * GRAM), held, {"a_chars": F.split("a_line", ""), "b_chars": F.split("b_line", "")})
+    near = chars.where(within(F.col("a_chars"), F.col("b_chars"), edits))
     later = F.col("a_first") > F.col("b_first")
     return near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"),
                        F.when(later, F.col("a_guard")).otherwise(F.col("b_guard")).alias("guard")).distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
-    """``doc_id, text_hash, line_no, near`` of each line to go; ``near`` if an edited line is before it."""
-    lines = lines_of(docs, text)
-    place = F.struct("doc_id", "text_hash", "line_no")
-    folded = lines.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    kinds = folded.select(*_ids(F.col("line")), "line", "first", "n", F.char_length("line").alias("length"))
-    near = near_lines(kinds, edits, min_chars).withColumn("near", F.lit(True))
-    judged = kinds.select("id", "guard", "first", "n").join(near, ["id", "guard"], "left").withColumn(
-        "near", F.coalesce("near", F.lit(False)))
-    slim = lines.select("doc_id", "text_hash", "line_no", *_ids(F.col("line")))
-    found = slim.join(judged.where(F.col("near") | (F.col("n") > 1)), ["id", "guard"])
-    return found.where(F.col("near") | ~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line_no", "near")
+    """``doc_id, row, line_no, near`` of each line to go; ``near`` if an edited line is before it."""
+    lines = stored(hashed_lines(docs, edits, min_chars, text), "hashed-lines")
+    kinds = lines.groupBy("id", "guard").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
+    near = near_lines(docs, lines, edits, text).withColumn("near", F.lit(True))
+    judged = kinds.join(near, ["id", "guard"], "left").where("near or n > 1")
+    found = lines.select("doc_id", "row", "line_no", "id", "guard").join(judged, ["id", "guard"])
+    gone = F.coalesce("near", F.lit(False)) | (_place() != F.col("first"))
+    return found.where(gone).select("doc_id", "row", "line_no", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines, n_removed, n_near`` added.
 
-    Lines are what ``\\n`` separates. Blank lines are never compared and stay. ``n_near`` counts removed lines whose only
-    earlier likes are edited ones or which have an edited one besides. Null text stays null with 0 lines. Of rows that are equal
-    in id and text all keep the same lines. Rows without an id come before all others. All rows stay;
-    other columns are kept, but columns of the three names are replaced.
+    Lines are what ``\\n`` separates. Blank lines are never compared and stay. ``n_near`` counts removed lines that have an
+    edited line before them. Null text stays null with 0 lines. Rows of one id are one document here, whose lines are ordered by number:
+    at the same place both keep a line. Rows without an id come before all others. All rows stay; other
+    columns are kept, but columns of the three names are replaced.
     """
     kept = docs.drop("n_lines", "n_removed", "n_near")
-    gone = repeated_lines(kept, edits, min_chars, text).groupBy("doc_id", "text_hash").agg(
-        F.collect_set("line_no").alias("_gone"), F.sum(F.col("near").cast("int")).alias("_near")).withColumnsRenamed(
-        {"doc_id": "_id", "text_hash": "_hash"})
-    joined = kept.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    gone = repeated_lines(kept, edits, min_chars, text).groupBy("doc_id", "row").agg(
+        F.collect_set("line_no").alias("_gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("_near"))
+    gone = stored(gone.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "lines-to-go")
+    row, doc_id = F.xxhash64("doc_id", text), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))
+    touched = set_of(gone, "_row")(row)
     lines = F.split(text, "\n")
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines")
+    zero = F.lit(0).cast("bigint")
+    same = kept.where(~touched).select("*", n_lines, zero.alias("n_removed"), zero.alias("n_near"))
+    joined = kept.where(touched).join(gone, (row == F.col("_row")) & (doc_id == F.col("_id")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(
-        *[left.alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("_near", F.lit(0)).cast("bigint").alias("n_near"))
+    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    changed = joined.select(
+        *[left.alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns], n_lines,
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("_near", F.lit(0)).cast("bigint").alias("n_near"))
+    return same.unionByName(changed)
