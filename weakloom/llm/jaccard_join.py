@@ -2,7 +2,8 @@
 
 Sets of equal shingles are folded into one first. Every set indexes its prefix: the tokens of which two
 sets at the threshold must share one, rarest first, so that a passage in very many documents stays out of the prefixes. (How
-frequent a token is, is known for the frequent ones only; any order common to all sets gives right results.) Only lists
+frequent a token is, is known for the most frequent ones, from batches and from first prefixes; any order common to all
+sets gives right results.) Only lists
 of two sets and more matter: which prefix tokens repeat is found by one aggregation and a bit set of fixed size.
 
 The lists are then used without comparing all pairs in them:
@@ -37,8 +38,10 @@ SHINGLE = 4
 PERCENT = 85
 #: Tokens whose frequency is known to the order; more does not change any result.
 FREQUENT = 1 << 18
-#: A token counts as frequent where so many different sets among those of one Arrow batch have it.
+#: A token counts as frequent where so many of the different sets met one after the other have it.
 FREQUENT_IN_BATCH = 4
+#: Tokens of sets looked at together for that; bounds the memory of a worker.
+TOGETHER = 2_000_000
 _NO_ID = (1 << 63) - 1
 
 
@@ -81,7 +84,7 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            tokens = []
+            tokens: list[np.ndarray] = []
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
                 count = np.diff(sets.first)
@@ -92,17 +95,21 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
                         new[i] = True
                 tokens.append(sets.token[new[sets.row]])
                 yield _rows(part.column("doc_id"), count, sets.high, sets.low, None)
-            if tokens:
-                token, count = _frequent(np.sort(np.concatenate(tokens)))
-                yield _rows(None, count, None, None, token)
+                if sum(map(len, tokens)) >= TOGETHER:
+                    yield _rows(None, *_frequent(tokens))
+                    tokens = []
+            yield _rows(None, *_frequent(tokens))
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, high bigint, low bigint, token bigint")
 
 
-def _frequent(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(tokens: list[np.ndarray]) -> tuple[np.ndarray, None, None, np.ndarray]:
+    """How many of the sets have each frequent token."""
+    ordered = np.concatenate([np.zeros(0, np.uint64), *tokens])
+    ordered.sort()
     far = FREQUENT_IN_BATCH - 1
-    some = np.unique(ordered[far:][ordered[far:] == ordered[:-far]])
-    return some, np.searchsorted(ordered, some, side="right") - np.searchsorted(ordered, some)
+    some = np.unique(ordered[far:][ordered[far:] == ordered[:len(ordered) - far]])
+    return np.searchsorted(ordered, some, side="right") - np.searchsorted(ordered, some), None, None, some
 
 
 def _rows(doc_id, n, high, low, token) -> pa.RecordBatch:
@@ -121,9 +128,10 @@ class Order(NamedTuple):
     rank: np.ndarray
 
 
-def order_of(surveyed: DataFrame) -> Order:
-    counts = surveyed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+def order_of(counts: DataFrame) -> Order:
+    """The order from ``token, n``, which may hold a token more than once."""
+    best = counts.groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token")
+    found = best.limit(FREQUENT).toArrow()
     token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     rank = np.empty(len(token), np.int64)
     rank[np.lexsort((token, n))] = np.arange(1, len(token) + 1)
@@ -164,8 +172,8 @@ def prefix_tokens(docs: DataFrame, order: Broadcast, width: int, percent: int) -
     return docs.mapInArrow(run, "token bigint, high bigint")
 
 
-def indexed_sets(docs: DataFrame, order: Broadcast, repeated: Broadcast, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, tokens, places, items`` of documents with a prefix token that other sets have too."""
+def postings_of(docs: DataFrame, order: Broadcast, repeated: Broadcast, width: int, percent: int) -> DataFrame:
+    """``doc_id, n, token, place`` of the prefix tokens that may be repeated; ``weight`` counts those of the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -173,21 +181,48 @@ def indexed_sets(docs: DataFrame, order: Broadcast, repeated: Broadcast, width:
                 at, place = prefixes(sets, order.value, percent)
                 hit = bitmap.contains(repeated.value, sets.token[at])
                 at, place = at[hit], place[hit]
-                some = np.unique(sets.row[at])
-                if not len(some):
-                    continue
-                border = np.searchsorted(sets.row[at], some).tolist() + [len(at)]
-                size = np.diff(sets.first)[some]
-                items = np.repeat(sets.first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                row = sets.row[at]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(some)), pa.array(size),
-                     pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(signed(sets.token[at]))),
-                     pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(place)),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
-                                              pa.array(signed(sets.token[items])))],
-                    ["doc_id", "n", "tokens", "places", "items"])
+                    [part.column("doc_id").take(pa.array(row)), pa.array(np.diff(sets.first)[row]), pa.array(signed(sets.token[at])),
+                     pa.array(place), pa.array(np.bincount(row, minlength=part.num_rows)[row])],
+                    ["doc_id", "n", "token", "place", "weight"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, tokens array<bigint>, places array<bigint>, items array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, token bigint, place bigint, weight bigint")
+
+
+def _repeated(tokens: DataFrame) -> DataFrame:
+    """``token, n``: prefix tokens of two different sets or more, and how often they occur."""
+    return tokens.groupBy("token").agg(F.min("high").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("n")).where(
+        "least < most").select("token", "n")
+
+
+def hashed_id(doc_id: np.ndarray) -> np.ndarray:
+    return mix(doc_id.astype(np.int64).view(np.uint64))
+
+
+def with_hash(ids: DataFrame) -> DataFrame:
+    """Add the hash of ``doc_id`` that ``items_of`` looks up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(hashed_id(batch.column("doc_id").to_numpy())))], ["id_hash"])
+
+    return ids.mapInArrow(run, "id_hash bigint")
+
+
+def items_of(docs: DataFrame, wanted: Broadcast, width: int) -> DataFrame:
+    """``doc_id, n, items``: the whole sets of the documents whose hashed id may be among the wanted ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = bitmap.contains(wanted.value, hashed_id(batch.column("doc_id").to_numpy()))
+            for part in slices(batch.filter(pa.array(hit)), "text"):
+                sets = shingle_sets(part.column("text"), width)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(sets.first)),
+                     pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(signed(sets.token)))],
+                    ["doc_id", "n", "items"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, items array<bigint>")
 
 
 def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -195,8 +230,12 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (n_a + n_b) * percent
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, n_a, n_b, overlap`` of pairs of documents, from their whole sets."""
+def compared(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``a, b, n_a, n_b, overlap`` of pairs of documents, from the whole sets of just these documents."""
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    wanted = bitmap.gather(with_hash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "id_hash")
+    sets = stored(items_of(docs, docs.sparkSession.sparkContext.broadcast(wanted), width), "sets")
+
     def side(name: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("items").alias(f"items_{name}"))
 
@@ -204,17 +243,15 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).cast("bigint").alias("overlap"))
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
+def links(postings: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` that give the same components as all links between the sets."""
-    postings = sets.select("doc_id", "n", F.size("tokens").alias("weight"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
-    postings = postings.select("doc_id", "n", "weight", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
     # Round one: every set against the leaders of its lists.
     top = F.max(F.struct("weight", (-F.col("doc_id")).alias("id"), "n", "place"))
-    leaders = postings.groupBy("token").agg(top.alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    leaders = postings.groupBy("token").agg(top.alias("top"))
     fit = _reaches(F.least(F.col("n") - F.col("place"), F.col("top.n") - F.col("top.place")), F.col("n"), F.col("top.n"), percent)
     pairs = postings.join(leaders, "token").where(fit & (F.col("doc_id") != -F.col("top.id"))).select(
-        F.col("doc_id").alias("a"), (-F.col("top.id")).alias("b")).distinct()
-    first = stored(compared(pairs, sets), "leader-pairs")
+        F.col("doc_id").alias("a"), (-F.col("top.id")).alias("b"))
+    first = stored(compared(pairs, docs, width), "leader-pairs")
     linked = first.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent))
     label = components(linked.select("a", "b"))
     # Round two: lists that hold several components, in blocks of one leader each.
@@ -232,22 +269,24 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     x, y = (blocks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"]) for s in "xy")
     may = (F.col("least_x") * percent <= F.col("most_y") * 100) & (F.col("least_y") * percent <= F.col("most_x") * 100)
     may &= _reaches(F.least("left_x", "left_y"), F.col("least_x"), F.col("least_y"), percent)
-    block_pairs = x.join(y, "token").where((F.col("leader_x") < F.col("leader_y")) & (F.col("component_x") != F.col("component_y")) & may)
-    block_pairs = block_pairs.groupBy("leader_x", "leader_y").agg(
+    block_rows = stored(x.join(y, "token").where(
+        (F.col("leader_x") < F.col("leader_y")) & (F.col("component_x") != F.col("component_y")) & may), "block-rows")
+    block_pairs = block_rows.groupBy("leader_x", "leader_y").agg(
         F.min("least_x").alias("least_x"), F.min("least_y").alias("least_y"), F.max("beyond_x").alias("beyond_x"), F.max("beyond_y").alias("beyond_y"))
-    heads = compared(block_pairs.select(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")), sets)
+    heads = compared(block_pairs.select(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")), docs, width)
     heads = stored(heads.join(block_pairs.withColumnsRenamed({"leader_x": "a", "leader_y": "b"}), ["a", "b"]), "block-pairs")
     second = heads.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     bound = F.col("overlap") + F.col("beyond_x") + F.col("beyond_y")
     left = heads.where(_reaches(bound, F.col("least_x"), F.col("least_y"), percent) & (F.col("beyond_x") + F.col("beyond_y") > 0)).select(
         F.col("a").alias("leader_x"), F.col("b").alias("leader_y"), "overlap")
+    left = block_rows.select("token", "leader_x", "leader_y").join(left, ["leader_x", "leader_y"])
     x, y = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in open_lists.columns if c != "token"]) for s in "xy")
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    expanded = x.join(left, "leader_x").join(y, ["token", "leader_y"]).where(
+    expanded = x.join(left, ["token", "leader_x"]).join(y, ["token", "leader_y"]).where(
         (F.col("component_x") != F.col("component_y")) & _reaches(rest, F.col("n_x"), F.col("n_y"), percent)
         & _reaches(F.col("overlap") + F.col("beyond_x") + F.col("beyond_y"), F.col("n_x"), F.col("n_y"), percent))
-    expanded = expanded.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
-    third = compared(expanded, sets).where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    expanded = expanded.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+    third = compared(expanded, docs, width).where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     return linked.select("a", "b").unionByName(second).unionByName(third)
 
 
@@ -263,15 +302,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text"))
     surveyed = stored(survey(slim, width), "shingle-survey")
-    order = spark.sparkContext.broadcast(order_of(surveyed))
+    frequent = surveyed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
     members = surveyed.where("token is null").drop("token")
     classes = stored(members.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node")), "set-classes")
-    repeated = prefix_tokens(slim, order, width, percent).groupBy("token").agg(
-        F.min("high").alias("least"), F.max("high").alias("most")).where("least < most")
-    bits = spark.sparkContext.broadcast(bitmap.gather(repeated, "token"))
-    sets = stored(indexed_sets(slim, order, bits, width, percent), "indexed-sets")
-    sets = sets.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    label = components(links(sets, percent))
+    # The first prefixes only serve to count: what is frequent in them, too, goes to the end for the second ones.
+    order = spark.sparkContext.broadcast(order_of(frequent))
+    counted = _repeated(prefix_tokens(slim, order, width, percent))
+    order = spark.sparkContext.broadcast(order_of(frequent.unionByName(counted)))
+    bits = spark.sparkContext.broadcast(bitmap.gather(_repeated(prefix_tokens(slim, order, width, percent)), "token"))
+    nodes = classes.select(F.col("node").alias("doc_id"))
+    postings = stored(postings_of(slim, order, bits, width, percent), "postings").join(nodes, "doc_id", "left_semi")
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    postings = stored(postings.join(lists, "token", "left_semi"), "lists")
+    label = components(links(postings, slim, width, percent))
     joined = members.join(classes, ["high", "low"], "left").join(label, "node", "left")
     found = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return joined.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the working memory, a longer text forms a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,7 +96,7 @@ def words_of(texts: pa.Array, separators: np.ndarray, fold: bool = False) -> Wor
 def hash_words(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(data))[inside]
+    place = np.flatnonzero(inside)
     lengths = ends - starts
     place -= np.repeat(starts, lengths)
     longest = int(lengths.max())
