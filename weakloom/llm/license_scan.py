@@ -135,7 +135,7 @@ def scan(docs: DataFrame, phrases: dict[str, tuple[str, ...]] = PHRASES, templat
     cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", words_of(F.col("text")).alias("words"))
     placed = cut.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.size("words").cast("bigint").alias("n_words"),
-        phrase_places(F.col("words")).alias("places"),
+        phrase_places(F.col("words"), phrases).alias("places"),
         F.when(F.arrays_overlap("words", F.array(*map(F.lit, index.prefix_tokens))), F.col("text")).alias("text"))
     placed = stored(placed, "license-candidates")
     hits = find_templates(placed.where("text is not null"), index, ("doc_id", "text_hash"))
