@@ -54,6 +54,33 @@ def test_jaccard_groups(spark):
         assert plain.as_rows(found, "doc_id", "n_shingles", "component_id") == plain.jaccard(rows, percent)
 
 
+def test_jaccard_appended_and_cut(spark):
+    """Members that are subsets or supersets of their leader still have to be compared with other blocks."""
+    pick, rows = random.Random(0), []
+    footer = [f"f{k}" for k in range(20)]
+    for family in range(12):
+        base = plain.prose(1000 + family, 103, 10**6).split()
+        changed = list(base)
+        changed[pick.randrange(20, 80)] = "changed"
+        for words in (base + footer[:15], base, changed, base[:-15], changed[:-14], base + footer, changed[13:]):
+            if len(rows) % 7 < 3 or pick.random() < 0.5:
+                rows.append((len(rows), " ".join(words), "aa"))
+    for percent in (85, 80):
+        found = jaccard_join.near_duplicates(plain.odd_documents(spark, rows), percent=percent)
+        assert plain.as_rows(found, "doc_id", "n_shingles", "component_id") == plain.jaccard(rows, percent)
+
+
+def test_jaccard_subsets_of_a_leader(spark):
+    """The leader X holds s; t is near s and not near X."""
+    rows, footer = [], [f"f{k}" for k in range(15)]
+    for family in range(40):
+        s = [f"{family}s{k}" for k in range(103)]
+        t = s[:50] + [f"{family}t"] + s[51:]
+        rows += [(3 * family, " ".join(s + footer), "aa"), (3 * family + 1, " ".join(s), "aa"), (3 * family + 2, " ".join(t), "aa")]
+    found = jaccard_join.near_duplicates(plain.odd_documents(spark, rows))
+    assert plain.as_rows(found, "doc_id", "n_shingles", "component_id") == plain.jaccard(rows)
+
+
 def test_components(spark):
     pick = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 160)] + [(pick.randrange(90), pick.randrange(90)) for _ in range(70)]

@@ -13,7 +13,8 @@ The lists are then used without comparing all pairs in them:
 * Round two cuts each list that still holds several components into blocks, one per leader, with the smallest
   and largest size and the lowest position of its sets. A pair of blocks is skipped if sizes or positions rule out the
   overlap, or if the answer of the leaders does: with X and Y compared, a set like X has at most
-  |X & Y| plus what it has beyond X in common with Y. Blocks that are left are expanded.
+  |X & Y| plus what it has beyond X in common with Y. So it is if the leaders turn out to be linked, or if both
+  blocks hold nothing but their leaders. Blocks that are left are expanded.
 
 A skipped pair is below the threshold or inside one component, so no link between components is lost.
 """
@@ -265,25 +266,32 @@ def links(postings: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     open_lists = stored(known.join(mixed.select("token"), "token", "left_semi"), "open-lists")
     blocks = open_lists.groupBy("token", "leader").agg(
         F.min("component").alias("component"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.max(F.col("n") - F.col("place")).alias("left"), F.max("beyond").alias("beyond"))
+        F.max(F.col("n") - F.col("place")).alias("left"), F.max("beyond").alias("beyond"),
+        F.max(F.col("doc_id") != F.col("leader")).alias("more"))
     x, y = (blocks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"]) for s in "xy")
     may = (F.col("least_x") * percent <= F.col("most_y") * 100) & (F.col("least_y") * percent <= F.col("most_x") * 100)
     may &= _reaches(F.least("left_x", "left_y"), F.col("least_x"), F.col("least_y"), percent)
     block_rows = stored(x.join(y, "token").where(
         (F.col("leader_x") < F.col("leader_y")) & (F.col("component_x") != F.col("component_y")) & may), "block-rows")
     block_pairs = block_rows.groupBy("leader_x", "leader_y").agg(
-        F.min("least_x").alias("least_x"), F.min("least_y").alias("least_y"), F.max("beyond_x").alias("beyond_x"), F.max("beyond_y").alias("beyond_y"))
+        F.min("least_x").alias("least_x"), F.min("least_y").alias("least_y"), F.max("beyond_x").alias("beyond_x"), F.max("beyond_y").alias("beyond_y"),
+        F.max(F.col("more_x") | F.col("more_y")).alias("more"))
     heads = compared(block_pairs.select(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")), docs, width)
     heads = stored(heads.join(block_pairs.withColumnsRenamed({"leader_x": "a", "leader_y": "b"}), ["a", "b"]), "block-pairs")
     second = heads.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    # Members without anything beyond their leader were not compared either; only leaders alone are done.
+    merged = components(linked.select("a", "b").unionByName(second))
+    for s in "ab":
+        heads = heads.join(merged.select(F.col("node").alias(s), F.col("component").alias(f"merged_{s}")), s, "left").withColumn(
+            f"merged_{s}", F.coalesce(f"merged_{s}", s))
     bound = F.col("overlap") + F.col("beyond_x") + F.col("beyond_y")
-    left = heads.where(_reaches(bound, F.col("least_x"), F.col("least_y"), percent) & (F.col("beyond_x") + F.col("beyond_y") > 0)).select(
+    left = heads.where(_reaches(bound, F.col("least_x"), F.col("least_y"), percent) & F.col("more") & (F.col("merged_a") != F.col("merged_b"))).select(
         F.col("a").alias("leader_x"), F.col("b").alias("leader_y"), "overlap")
     left = block_rows.select("token", "leader_x", "leader_y").join(left, ["leader_x", "leader_y"])
     x, y = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in open_lists.columns if c != "token"]) for s in "xy")
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     expanded = x.join(left, ["token", "leader_x"]).join(y, ["token", "leader_y"]).where(
-        (F.col("component_x") != F.col("component_y")) & _reaches(rest, F.col("n_x"), F.col("n_y"), percent)
+        ((F.col("doc_id_x") != F.col("leader_x")) | (F.col("doc_id_y") != F.col("leader_y"))) & _reaches(rest, F.col("n_x"), F.col("n_y"), percent)
         & _reaches(F.col("overlap") + F.col("beyond_x") + F.col("beyond_y"), F.col("n_x"), F.col("n_y"), percent))
     expanded = expanded.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
     third = compared(expanded, docs, width).where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
