@@ -1,5 +1,6 @@
 """Language id, license scan, quality rules, the pipeline and the registered queries."""
 
+import math
 import re
 import sys
 from collections import Counter
@@ -95,6 +96,38 @@ def test_templates_are_found_at_the_threshold(spark):
             assert found[i] == ",".join(sorted(want)), (threshold, t)
 
 
+def wrapped(words, width, mark=""):
+    """Lines of ``width`` words with a comment mark."""
+    return "\n".join(mark + " ".join(words[k:k + width]) for k in range(0, len(words), width))
+
+
+def test_wrapped_notices_are_found(spark):
+    """Notices over several lines, commented, cut and spread, against all runs of the template's length over the threshold."""
+    rows, pick = [(0, "# You may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#  http", None)], np.random.default_rng(4)
+    for _, t in license_scan.TEMPLATES:
+        for mark, drop, extra in (("", 0, 0), (" * ", 1, 0), ("// ", 2, 0), ("dnl ", 0, 0), ("# ", 0, 3)):
+            held = t.split()
+            for _ in range(drop):
+                held.pop(int(pick.integers(len(held))))
+            for _ in range(extra):
+                held.insert(int(pick.integers(1, len(held))), "x")
+            rows.append((len(rows), "before it\n" + wrapped(held, int(pick.integers(2, 9)), mark) + "\n\nand after it\n" * 2, None))
+    rows.append((len(rows), "\n".join(" filler" * 30 + " " + w for w in license_scan.TEMPLATES[2][1].split()), None))
+    for threshold in (0.9, 0.6):
+        found = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan(plain.odd_documents(spark, rows), {"none": ("no", "phrase")}, threshold=threshold).collect()}
+        for i, t, _ in rows:
+            words, want, best = plain.alnum_words(t), set(), 0.0
+            for label, template in license_scan.TEMPLATES:
+                held, span = set(template.split()), math.ceil(len(template.split()) / threshold - 1e-9)
+                blocks = [plain.alnum_words(line) for line in t.split("\n")] + [words[k:k + span] for k in range(len(words))]
+                most = max(len(held & set(b)) for b in blocks) / len(held)
+                if most >= threshold - 1e-9:
+                    want.add(label)
+                    best = max(best, most)
+            assert found[i] == (",".join(sorted(want)), round(best, 9)), (threshold, t)
+        assert found[0][0] == "apache" and (threshold < 0.9 or found[len(rows) - 1][0] == "")
+
+
 def test_licenses_stay_in_the_engine(spark):
     plan = license_scan.scan(plain.odd_documents(spark))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))

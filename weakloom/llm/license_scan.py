@@ -1,13 +1,16 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notice templates.
 
-Everything is DataFrame functions. Texts are cut into words by one ``split``. A block is a line. A template is found in a
-block that has at least ``threshold`` of its distinct words.
+Everything is DataFrame functions. Texts are cut into words by one ``split``. A block is a line, or any run of ``span``
+words in a row whatever line breaks and comment marks stand between them; ``span`` is the length of the template over
+the threshold, so as many words may be put in as may be missing. A template is found in a block that has at least
+``threshold`` of its distinct words.
 
 The join orders tokens by how many documents have them, rarest first. A block that meets the threshold must
 have one of the first ``size - need + 1`` tokens of the template (prefix filter), at least ``need`` template tokens
 (length filter), and after the first common token enough tokens left on both sides (positional filter). Only
 documents with a prefix token keep their text beyond the scan, and only their blocks are joined; what passes
 the filters is verified by intersecting the sets. Templates are few and fixed, so their index is broadcast.
+Runs are looked for around each prefix token of a document: all runs that hold it lie within ``span`` words of it.
 """
 
 from __future__ import annotations
@@ -96,12 +99,21 @@ class TemplateIndex:
             need = -(-round(threshold * len(ranks) * 1000) // 1000)
             for place, r in enumerate(ranks[:len(ranks) - need + 1]):
                 self.rows.append((r, number, label, place, len(ranks), need, ranks))
+        self.words = tokens
+        self.spans = [-(-round(len(t.split()) / threshold * 1000) // 1000) for _, t in templates]
         self.prefix_tokens = sorted({tokens[row[0]] for row in self.rows})
 
     def table(self, like: DataFrame) -> DataFrame:
         return like.sparkSession.createDataFrame(
             self.rows, "token int, template int, label string, place int, size int, need int, ranks array<int>")
 
+    def span_table(self, like: DataFrame) -> DataFrame:
+        """For each prefix token, the templates as words and the length of their runs."""
+        rows = [(self.words[r], number, label, need, self.spans[number], [self.words[x] for x in ranks])
+                for r, number, label, _, _, need, ranks in self.rows]
+        return like.sparkSession.createDataFrame(
+            rows, "token string, template int, label string, need int, span int, held array<string>")
+
     def ranks_of(self, words: Column) -> Column:
         """Sorted ranks of the template tokens in a block."""
         order = F.create_map(*[F.lit(x) for pair in self.rank.items() for x in pair])
@@ -121,6 +133,28 @@ def find_templates(texts: DataFrame, index: TemplateIndex, keys: Sequence[str])
         *keys, "line", "template", "label", (overlap / F.col("size")).alias("containment")).distinct()
 
 
+def find_runs(texts: DataFrame, index: TemplateIndex, keys: Sequence[str]) -> DataFrame:
+    """``keys, template, label, containment`` of the best run of words of ``texts`` (``keys, text``) that meets the threshold.
+
+    Only texts of several lines are looked at: a run inside one line has no more of a template than the line.
+    """
+    words = texts.where(F.instr("text", "\n") > 0).select(*keys, words_of(F.col("text")).alias("words"))
+    at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("token"))),
+                  lambda p: p["token"].isin(index.prefix_tokens))
+    # What lies within the longest run of a prefix token; its own place in that is ``i``.
+    far = max(index.spans, default=1) - 1
+    probes = words.select(*keys, "words", F.explode(at).alias("p")).select(
+        *keys, "p.token", F.least("p.i", F.lit(far)).alias("i"),
+        F.slice("words", F.greatest(F.col("p.i") - far, F.lit(0)) + 1, F.lit(2 * far + 1)).alias("around"))
+    near = probes.join(F.broadcast(index.span_table(texts)), "token")
+    low = F.greatest(F.col("i") - F.col("span") + 1, F.lit(0))
+    near = near.where(F.size(F.array_intersect("around", "held")) >= F.col("need"))
+    # The runs that hold the token begin at ``low`` to ``i``.
+    common = F.transform(F.sequence(low, F.col("i")), lambda s: F.size(F.array_intersect(F.slice("around", s + 1, F.col("span")), F.col("held"))))
+    best = near.select(*keys, "template", "label", "need", F.size("held").alias("size"), F.array_max(common).alias("overlap"))
+    return best.where("overlap >= need").select(*keys, "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
+
+
 def scan(docs: DataFrame, phrases: dict[str, tuple[str, ...]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
          threshold: float = THRESHOLD) -> DataFrame:
     """Per document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
@@ -138,7 +172,8 @@ def scan(docs: DataFrame, phrases: dict[str, tuple[str, ...]] = PHRASES, templat
         phrase_places(F.col("words"), phrases).alias("places"),
         F.when(F.arrays_overlap("words", F.array(*map(F.lit, index.prefix_tokens))), F.col("text")).alias("text"))
     placed = stored(placed, "license-candidates")
-    hits = find_templates(placed.where("text is not null"), index, ("doc_id", "text_hash"))
+    candidates, keys = placed.where("text is not null"), ("doc_id", "text_hash")
+    hits = find_templates(candidates, index, keys).drop("line").unionByName(find_runs(candidates, index, keys))
     found = hits.groupBy("doc_id", "text_hash").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best")).withColumnsRenamed(
         {"doc_id": "_id", "text_hash": "_hash"})
