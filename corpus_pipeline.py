@@ -56,7 +56,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked ones."""
-    found = stored(jaccard_join.near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
+    found = stored(jaccard_join.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80), "near-duplicates")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     first = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.where("doc_id is null"))
