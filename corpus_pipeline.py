@@ -5,7 +5,8 @@ works on everything the stage before kept. ``run`` writes each result to the sha
 
 * language_id drops documents without a letter (or text), for which no language can be told.
 * line_dedup takes out lines that are near an earlier one, and drops documents that lose all lines.
-* near_duplicates keeps, of each group of linked documents, the one with the smallest id, and one row per id. Rows without an id are kept.
+* near_duplicates keeps, of each group of linked texts, the row with the smallest id, and the first of those without an id. Texts are
+  told apart by id and text; ties go to the smallest hash of these two, then of the whole row.
 * decontamination drops documents with a passage of a benchmark item.
 * packing returns the pieces of the remaining documents and their places in sequences of 4096 tokens.
 
@@ -55,11 +56,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones."""
-    found = stored(jaccard_join.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80), "near-duplicates")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    """The row with the smallest id of each group of linked texts, and the first of those without an id."""
+    key = F.xxhash64("doc_id", "text")
+    row = F.xxhash64(*[F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind])
+    found = jaccard_join.near_duplicates(docs.select(key.alias("doc_id"), "text"), width=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    rows = docs.select(key.alias("_key"), "doc_id", row.alias("_row")).groupBy("_key", "doc_id").agg(F.min("_row").alias("_row"))
+    first = rows.join(found, "_key").groupBy("component_id", F.col("doc_id").isNull()).agg(
+        F.min(F.struct("doc_id", "_key", "_row")).alias("first"))
+    kept = stored(first.select("first._key", "first._row"), "near-duplicates")
+    left = docs.join(kept, (key == kept["_key"]) & (row == kept["_row"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
