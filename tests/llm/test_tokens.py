@@ -108,6 +108,14 @@ def test_packing(spark):
     assert packing.pack_documents(plain.odd_documents(spark, []), vocabulary_path(WORDS), 1).count() == 0
 
 
+def test_equal_rows_spread_over_groups(spark):
+    pieces = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(3).alias("length"), F.lit(7).cast("bigint").alias("ids_crc32"))
+    found = packing.pack(pieces, capacity=16, group_rows=400)
+    sizes = [r["count"] for r in found.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 4000 and max(sizes) < 800
+    assert found.columns == [*pieces.columns, "sequence_id", "offset"]
+
+
 def plain_squares(lengths, capacity):
     """Try every place and count the squares."""
     gaps, out = [], []

@@ -94,20 +94,23 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of at most ``capacity`` tokens.
 
-    ``pieces`` are read twice. Equal pieces are placed one after the other; an empty table stays empty.
+    ``pieces`` are computed once and stored with a number of the row, so that equal rows spread over the groups, too.
+    Equal pieces of a group are placed one after the other; an empty table stays empty.
     """
+    columns = pieces.columns
+    pieces = durable(pieces.withColumn("pack_salt", F.monotonically_increasing_id()))
     groups = max(1, round(pieces.count() / group_rows))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "pack_salt"), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"),
                                ("ids_crc32", "ascending")])
         sequence, offset = sum_of_squares(table["length"].to_numpy(), capacity)
         base = np.int64(table["pack_group"][0].as_py()) << np.int64(32)
-        return (table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(base + sequence))
+        return (table.drop_columns(["pack_group", "pack_salt"]).append_column("sequence_id", pa.array(base + sequence))
                 .append_column("offset", pa.array(offset)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in columns)
     return dealt.groupBy("pack_group").applyInArrow(run, schema + ", sequence_id bigint, offset bigint")
 
 
@@ -117,4 +120,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, keep_blanks: b
 
     Only ``doc_id`` and ``text`` are read. Rows with the same id, or none, are packed as rows of their own.
     """
-    return pack(durable(token_pieces(docs, vocabulary, end_id, keep_blanks, capacity)), capacity)
+    return pack(token_pieces(docs, vocabulary, end_id, keep_blanks, capacity), capacity)
