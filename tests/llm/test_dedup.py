@@ -168,6 +168,12 @@ def test_proximity(spark):
     assert hits == {0: [1], 1: [1, 2, 3], 4: [1, 2, 3, 4]}
 
 
+def test_proximity_stays_in_the_document(spark):
+    docs = spark.createDataFrame([(1, "x a b c"), (2, "d y z w"), (3, "x a b c"), (4, "x a b c d")], "doc_id bigint, text string").coalesce(1)
+    found = decontamination.find(docs, benchmark(spark, [(1, "a b c d")]), slack=1)
+    assert [r.doc_id for r in found.collect() if r["items"]] == [4]
+
+
 def test_no_items(spark):
     found = decontamination.report(decontamination.find(plain.odd_documents(spark), benchmark(spark, [(1, None)])))
     assert found.where("contaminated").count() == 0 and found.count() == len(plain.odd_rows())

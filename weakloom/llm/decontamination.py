@@ -158,9 +158,12 @@ def _terms_of(shard: Shard, hashes: np.ndarray) -> np.ndarray:
 
 
 def _near(shard: Shard, term: np.ndarray, position: np.ndarray, slack: int) -> np.ndarray:
-    """Whether each term has a position within ``slack`` of the given one."""
-    low = np.searchsorted(shard.keys, term * shard.step + np.maximum(position - slack, 0))
-    top = np.minimum(position + slack, shard.step - 1)
+    """Whether each term has a position within ``slack`` of the given one, in the same document."""
+    low, top = position, position
+    if slack:
+        doc = np.searchsorted(shard.first, position, side="right") - 1
+        low, top = np.maximum(position - slack, shard.first[doc]), np.minimum(position + slack, shard.first[doc + 1] - 1)
+    low = np.searchsorted(shard.keys, term * shard.step + low)
     return (low < len(shard.keys)) & (shard.keys[np.minimum(low, len(shard.keys) - 1)] <= term * shard.step + top)
 
 
@@ -193,7 +196,7 @@ def search(shard: Shard, block: TestBlock, counts: np.ndarray, slack: int = 0) -
         ok = (start >= 0) & (doc >= 0)
         ok[ok] = start[ok] + length <= shard.first[np.minimum(doc[ok] + 1, len(shard.first) - 1)]
         window, start = window[ok], start[ok]
-        for k in range(1, length):
+        for k in range(0 if slack else 1, length):  # a shift may have left the document of the rarest term
             if not len(window):
                 break
             offset = order[window, k]
