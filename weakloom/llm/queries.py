@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakloom.llm import chat, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_lines, substring_dedup, token_file
+from weakloom.llm import chat, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_lines, spelling, substring_dedup, token_file
 from weakloom.llm.store import stored
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
@@ -82,5 +82,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.judge(docs, quality_lines.fit(docs, table(spark, sf_dir, "labels"))).drop("content")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and more frequent forms."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and callable(f)}
