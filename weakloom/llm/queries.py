@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakloom.llm import chat, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_lines, spelling, substring_dedup, token_file
+from weakloom.llm import chat, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_lines, spelling, substring_dedup, token_file, vector_graph, whitening
 from weakloom.llm.store import stored
 from weakloom.llm.tokens import vocabulary_path
 from weakloom.session import fresh_path
@@ -87,5 +87,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading components of all embeddings, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of one label with nearly the same direction."""
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and callable(f)}
