@@ -70,6 +70,52 @@ GOLD = """gold AS (SELECT d.doc_id, d.lang, d.text, CASE WHEN toxic = 1 THEN 2 W
 COUNTRIES = """countries AS (SELECT CASE lang WHEN 'de' THEN 'Germany' WHEN 'en' THEN 'England' WHEN 'es' THEN 'Spain'
                WHEN 'fr' THEN 'France' ELSE coalesce(lang, 'unknown') END AS country, doc_id, text FROM documents)"""
 
+# --- hidden states ----------------------------------------------------------------------------
+
+def _any_of(column: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({column}, {q(p)})" for p in phrases) + ")"
+
+
+def state_ctes(model) -> str:
+    """CTEs up to ``fwd`` and ``bwd``, scaled, and ``obs`` with the likelihood of each paragraph's symbol per state."""
+    low, states = f"lower({cleaned('text')})", range(model.n_states)
+    symbol = (f"{_any_of(low, sd.PHRASES['specific_incentives'])}::INT + 2 * {_any_of(low, sd.PHRASES['negative_nouns'])}::INT "
+              f"+ 4 * (length({cleaned('text')}) >= {sd.LONG_PARAGRAPH})::INT")
+    seen = ", ".join(f"{[float(x) for x in row]}[o + 1] AS b{i}" for i, row in enumerate(model.emit))
+    total = " + ".join(f"x{i}" for i in states)
+    scaled = ", ".join(f"x{i} / ({total}) AS a{i}" for i in states)
+    most = "greatest(" + ", ".join(f"x{i}" for i in states) + ")"
+    begin = ", ".join(f"{p!r} * b{i} AS x{i}" for i, p in enumerate(model.start))
+    forward = ", ".join("(" + " + ".join(f"f.a{i} * {model.step[i][j]!r}" for i in states) + f") * o.b{j} AS x{j}" for j in states)
+    backward = ", ".join("(" + " + ".join(f"{model.step[i][j]!r} * o.b{j} * n.c{j}" for j in states) + f") AS x{i}" for i in states)
+    return f"""{DOC_LINES},
+sym AS (SELECT doc_id, para_id AS t, {symbol} AS o FROM paragraphs),
+obs AS MATERIALIZED (SELECT doc_id, t, o, {seen} FROM sym),
+ends AS MATERIALIZED (SELECT doc_id, max(t) AS last FROM obs GROUP BY doc_id),
+fwd AS (SELECT doc_id, t, {scaled} FROM (SELECT doc_id, t, {begin} FROM obs WHERE t = 0)
+        UNION ALL
+        SELECT doc_id, t, {scaled} FROM (SELECT o.doc_id, o.t, {forward} FROM fwd f JOIN obs o ON o.doc_id = f.doc_id AND o.t = f.t + 1)),
+bwd AS (SELECT doc_id, last AS t, {", ".join(f"1.0::DOUBLE AS c{i}" for i in states)} FROM ends
+        UNION ALL
+        SELECT doc_id, t, {", ".join(f"x{i} / {most} AS c{i}" for i in states)} FROM (
+        SELECT o.doc_id, o.t - 1 AS t, {backward} FROM bwd n JOIN obs o ON o.doc_id = n.doc_id AND o.t = n.t WHERE n.t > 0)),
+gamma AS MATERIALIZED (SELECT doc_id, t, o, {", ".join(f"a{i} * c{i} / (" + " + ".join(f"a{k} * c{k}" for k in states) + f") AS g{i}" for i in states)}
+          FROM fwd JOIN bwd USING (doc_id, t) JOIN obs USING (doc_id, t))"""
+
+
+def state_update_sql(model, smoothing: float) -> str:
+    states, symbols = range(model.n_states), range(model.n_symbols)
+    step = {(i, j): f"a{i} * {model.step[i][j]!r} * b{j} * c{j}" for i in states for j in states}
+    total = " + ".join(step.values())
+    pairs = " UNION ALL ".join(f"SELECT 'step' AS part, {i} AS i, {j} AS j, sum({x} / ({total})) AS n FROM moves" for (i, j), x in step.items())
+    starts = " UNION ALL ".join(f"SELECT 'start', 0, {i}, sum(g{i}) FROM gamma WHERE t = 0" for i in states)
+    emits = " UNION ALL ".join(f"SELECT 'emit', {i}, {k}, coalesce(sum(g{i}) FILTER (o = {k}), 0) FROM gamma" for i in states for k in symbols)
+    return f"""WITH RECURSIVE {state_ctes(model)},
+moves AS MATERIALIZED (SELECT {", ".join(f"f.a{i}, b{i}, c{i}" for i in states)} FROM fwd f JOIN obs o ON o.doc_id = f.doc_id AND o.t = f.t + 1
+          JOIN bwd n ON n.doc_id = o.doc_id AND n.t = o.t),
+counts AS (SELECT part, i, j, n + {smoothing} AS n FROM ({pairs} UNION ALL {starts} UNION ALL {emits}))
+SELECT part, i, j, round(n / sum(n) OVER (PARTITION BY part, i), 6) AS p FROM counts"""
+
 
 # --- stemming ---------------------------------------------------------------------------------
 
@@ -438,6 +484,10 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
     o["false_negatives"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, text, class, predicted FROM majority WHERE class <> predicted AND class = 2")
     o["missed_positives"] = _with(f"{GOLD_VOTED},\n{MAJORITY}", "SELECT doc_id, text, class, predicted FROM majority WHERE class <> predicted AND class = 3")
 
+    o["paragraph_states"] = f"WITH RECURSIVE {state_ctes(sd.STATES)}\nSELECT doc_id, t AS para_id, " + ", ".join(
+        f"round(g{i}, 6) AS p_{i}" for i in range(sd.STATES.n_states)) + " FROM gamma"
+    o["state_update"] = state_update_sql(sd.STATES, 0.001)
+
     o["truncated_words"] = "SELECT doc_id, array_to_string(string_split(text, ' ')[1:50], ' ') AS text FROM documents"
     short_tokens = TOKENS.replace("text", "array_to_string(string_split(text, ' ')[1:50], ' ')")
     o["truncated_tokens"] = f"SELECT doc_id, array_to_string(({short_tokens})[1:50], ' ') AS tokens FROM documents"

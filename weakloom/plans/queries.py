@@ -14,6 +14,7 @@ from weakloom.functions import tokens as tk
 from weakloom.operators import end_model as em
 from weakloom.operators import evaluation as ev
 from weakloom.operators import features as ft
+from weakloom.operators import hmm
 from weakloom.operators import label_model as lm
 from weakloom.operators import labeling as lb
 from weakloom.operators import lf_stats, retrieval, stemming
@@ -615,6 +616,37 @@ def _wrong_texts(spark, sf_dir, gold_class):
     return other.join(sd.gold_labels(spark, sf_dir).where(F.col("class") == gold_class), "doc_id").select("doc_id", "text", "class", "predicted")
 
 
+# --- hidden states of paragraphs ---------------------------------------------------------------
+
+def _paragraph_chunks(spark, sf_dir):
+    paragraphs = st.document_paragraphs(_documents(spark, sf_dir))
+    return hmm.chunked(paragraphs.select("doc_id", "para_id", sd.paragraph_symbol(F.col("text")).alias("symbol")), "doc_id", "para_id", "symbol")
+
+
+@query
+def paragraph_states(spark, sf_dir):
+    """Forward-backward over the paragraphs of every document."""
+    found = hmm.state_posteriors(_paragraph_chunks(spark, sf_dir), sd.STATES)
+    return found.select(F.col("doc").alias("doc_id"), F.col("place").alias("para_id"),
+                        *[F.round(F.get("proba", F.lit(i)), 6).alias(f"p_{i}") for i in range(3)])
+
+
+@query
+def state_update(spark, sf_dir):
+    """The parameters after one round of training."""
+    model = hmm.updated(hmm.expected_counts(_paragraph_chunks(spark, sf_dir), sd.STATES), 0.001)
+    rows = [("start", 0, j, p) for j, p in enumerate(model.start)]
+    rows += [(name, i, j, p) for name, table in (("step", model.step), ("emit", model.emit)) for i, row in enumerate(table) for j, p in enumerate(row)]
+    return spark.createDataFrame(rows, "part string, i int, j int, p double").select("part", "i", "j", _r("p", "p"))
+
+
+@query
+def state_likelihoods(spark, sf_dir):
+    """The log-likelihood before each of four rounds of training and after the last."""
+    _, found = hmm.fit_states(_paragraph_chunks(spark, sf_dir), sd.STATES, rounds=4)
+    return spark.createDataFrame(list(enumerate(found)), "round int, log_likelihood double")
+
+
 # --- features and end model -------------------------------------------------------------------
 
 @query

@@ -6,10 +6,14 @@ below, made of words that do.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weakloom.functions.lexicons import with_negative_all
+from weakloom.operators.hmm import HiddenStates
 from weakloom.operators.labeling import NEGATIVE, NEUTRAL, POSITIVE
 from weakloom.operators.stemming import vocabulary
 from weakloom.sources import files
@@ -34,6 +38,16 @@ PHRASES = with_negative_all({
 THRESHOLD = 0.10
 
 
+# Three hidden states over the eight symbols of ``paragraph_symbol``.
+STATES = HiddenStates(
+    start=(0.5, 0.3, 0.2),
+    step=((0.8, 0.15, 0.05), (0.1, 0.7, 0.2), (0.05, 0.25, 0.7)),
+    emit=((0.30, 0.20, 0.15, 0.05, 0.15, 0.05, 0.05, 0.05), (0.05, 0.05, 0.05, 0.25, 0.05, 0.10, 0.15, 0.30),
+          (0.10, 0.15, 0.10, 0.15, 0.10, 0.20, 0.10, 0.10)))
+# Characters from which a paragraph counts as long.
+LONG_PARAGRAPH = 60
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +78,13 @@ def title_path(text: Column) -> Column:
     return F.concat(F.lit("../data/raw/"), F.array_join(F.slice(F.split(text, " ", -1), 1, 5), " "), F.lit(".pdf"))
 
 
+def paragraph_symbol(text: Column) -> Column:
+    """0 to 7: whether a paragraph holds a specific incentive (1), a negative noun (2), and is long (4)."""
+    low = F.lower(text)
+    hold = [functools.reduce(operator.or_, [low.contains(p) for p in PHRASES[g]]) for g in ("specific_incentives", "negative_nouns")]
+    return hold[0].cast("int") + 2 * hold[1].cast("int") + 4 * (F.length(text) >= LONG_PARAGRAPH).cast("int")
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> Column:
     """The embedding with id 0 as a scalar subquery."""
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").scalar()
