@@ -100,6 +100,15 @@ class LabelModel:
         return spark.createDataFrame(rows, "rule_no int, vote int, class int, p double")
 
 
+def model_from_table(weights: DataFrame, balance: Sequence[float], classes: Sequence[int] = CLASSES) -> LabelModel:
+    """The model stored as ``weights``; a vote or class the table lacks counts as next to impossible."""
+    slot, rows = {c: i for i, c in enumerate(classes)}, weights.collect()
+    given = np.full((max((r.rule_no for r in rows), default=-1) + 1, len(classes), len(classes)), MARGIN)
+    for r in rows:
+        given[r.rule_no, r.vote - 1, slot[r["class"]]] = r.p
+    return LabelModel(frozen(given), tuple(balance), tuple(classes))
+
+
 def predicted_class(proba: Column, classes: Sequence[int] = CLASSES) -> Column:
     """Most probable class; the lowest class wins a tie."""
     best = F.array_max(proba)
@@ -115,7 +124,7 @@ def supervised_model(patterns: DataFrame, gold: str, n_rules: int, classes: Sequ
     for r in table:
         if r.vote > 0:
             given[r.rule_no, slot[r.vote], slot[r["class"]]] = r.p
-    return LabelModel(_frozen(given), balance_of(patterns, gold, classes), tuple(classes))
+    return LabelModel(frozen(given), balance_of(patterns, gold, classes), tuple(classes))
 
 
 def balance_of(patterns: DataFrame, gold: str, classes: Sequence[int] = CLASSES) -> tuple:
@@ -131,9 +140,11 @@ def balance_of(patterns: DataFrame, gold: str, classes: Sequence[int] = CLASSES)
 def fit_label_model(patterns: DataFrame, balance: Sequence[float], n_rules: int,
                     classes: Sequence[int] = CLASSES, epochs: int = EPOCHS,
                     learning_rate: float = LEARNING_RATE, seed: int = SEED,
-                    start_precision: float = 0.7) -> LabelModel:
+                    start_precision: float = 0.7, independent: np.ndarray | None = None) -> LabelModel:
     """Match the second moments of the votes, without gold labels for single rows.
 
+    ``independent`` says for each pair of rules whether its moments are used (all pairs, if not given); others are taken as unknown.
+
     For rules that are independent given the class, E[votes votes^T] off the per-rule blocks
     equals ``mu diag(balance) mu^T``, and the single-vote shares equal ``mu balance``. Both are
     fitted by gradient descent on the driver; the problem has ``rules * classes`` rows whatever
@@ -147,8 +158,8 @@ def fit_label_model(patterns: DataFrame, balance: Sequence[float], n_rules: int,
         a, b = r.rule_i * k + slot[r.vote_i], r.rule_j * k + slot[r.vote_j]
         moments[a, b] = moments[b, a] = r.p
     single = np.diag(moments).copy()
-    block = np.arange(size) // k
-    other_rule = (block[:, None] != block[None, :]).astype(float)
+    apart = ~np.eye(n_rules, dtype=bool) if independent is None else independent & ~np.eye(n_rules, dtype=bool)
+    other_rule = np.kron(apart, np.ones((k, k)))
     p = np.asarray(balance, dtype=float)
 
     own = np.tile(np.eye(k), (n_rules, 1))
@@ -161,9 +172,16 @@ def fit_label_model(patterns: DataFrame, balance: Sequence[float], n_rules: int,
         grad = -4.0 * residual @ (mu * p) + 2.0 * np.outer(mu @ p - single, p)
         velocity = 0.9 * velocity - learning_rate * grad
         mu = mu + velocity
+    # The descent weighs many pairs against each single share; the shares themselves are known, so they are met in the end.
     mu = np.clip(mu, MARGIN, 1 - MARGIN)
-    return LabelModel(_frozen(mu.reshape(n_rules, k, k)), tuple(float(x) for x in p), tuple(classes))
+    low, high = np.zeros(size), np.full(size, 1 / MARGIN)
+    for _ in range(60):
+        middle = (low + high) / 2
+        over = np.clip(mu * middle[:, None], MARGIN, 1 - MARGIN) @ p > single
+        low, high = np.where(over, low, middle), np.where(over, middle, high)
+    mu = np.clip(mu * low[:, None], MARGIN, 1 - MARGIN)
+    return LabelModel(frozen(mu.reshape(n_rules, k, k)), tuple(float(x) for x in p), tuple(classes))
 
 
-def _frozen(given: np.ndarray) -> tuple:
+def frozen(given: np.ndarray) -> tuple:
     return tuple(tuple(tuple(float(x) for x in row) for row in table) for table in given)

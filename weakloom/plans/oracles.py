@@ -454,8 +454,26 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
         "SELECT a.rule_no AS rule_i, a.vote AS vote_i, b.rule_no AS rule_j, b.vote AS vote_j, "
         "round(count(*) / (SELECT count(*) FROM documents), 6) AS p FROM long a JOIN long b ON a.doc_id = b.doc_id AND a.rule_no <= b.rule_no "
         "WHERE a.vote > 0 AND b.vote > 0 GROUP BY ALL")
+    o["vote_covariance"] = _with(
+        f"{VOTED},\n{LONG},\ncast_votes AS (SELECT doc_id, rule_no, vote FROM long WHERE vote > 0),\n"
+        "singles AS (SELECT rule_no, vote, count(*) / (SELECT count(*) FROM documents) AS p FROM cast_votes GROUP BY ALL),\n"
+        "together AS (SELECT a.rule_no AS rule_i, a.vote AS vote_i, b.rule_no AS rule_j, b.vote AS vote_j, count(*) / (SELECT count(*) FROM documents) AS p "
+        "FROM cast_votes a JOIN cast_votes b ON a.doc_id = b.doc_id GROUP BY ALL)",
+        "SELECT a.rule_no AS rule_i, a.vote AS vote_i, b.rule_no AS rule_j, b.vote AS vote_j, round(coalesce(c.p, 0) - a.p * b.p, 6) AS covariance "
+        "FROM singles a JOIN singles b ON a.rule_no < b.rule_no OR (a.rule_no = b.rule_no AND a.vote <= b.vote) "
+        "LEFT JOIN together c ON c.rule_i = a.rule_no AND c.vote_i = a.vote AND c.rule_j = b.rule_no AND c.vote_j = b.vote")
+    o["pair_vote_moments"] = _with(
+        f"{VOTED},\n{LONG},\ncast_votes AS (SELECT doc_id, rule_no, vote FROM long WHERE vote > 0)",
+        'SELECT a.rule_no AS "left", b.rule_no AS "right", a.vote AS vote_left, b.vote AS vote_right, c.rule_no AS rule, c.vote, '
+        "round(count(*) / (SELECT count(*) FROM documents), 6) AS p FROM cast_votes a JOIN cast_votes b ON a.doc_id = b.doc_id "
+        "AND b.rule_no = a.rule_no + 1 JOIN cast_votes c ON c.doc_id = a.doc_id AND c.rule_no <> a.rule_no AND c.rule_no <> b.rule_no "
+        "WHERE a.rule_no < 20 AND a.rule_no % 2 = 0 GROUP BY ALL")
+    o["fitted_shares"] = _with(
+        f"{VOTED},\n{LONG}", "SELECT rule_no, vote, round(count(*) / (SELECT count(*) FROM documents), 6) AS share, TRUE AS close FROM long "
+                             "WHERE vote > 0 GROUP BY ALL")
     o["vote_conditionals"] = _with(f"{GOLD_VOTED},\n{CONDITIONALS}", "SELECT rule_no, vote, class, round(p, 6) AS p FROM conditionals")
     o["posteriors"] = _with(f"{GOLD_VOTED},\n{POSTERIORS}", f"SELECT {POSTERIOR_ROW} FROM proba GROUP BY doc_id")
+    o["stored_model_posteriors"] = o["posteriors"]
     o["predicted_classes"] = _with(
         f"{GOLD_VOTED},\n{POSTERIORS}, placed AS (SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, class) AS rank FROM proba)",
         "SELECT doc_id, class AS predicted FROM placed WHERE rank = 1")

@@ -18,6 +18,7 @@ from weakloom.operators import hmm
 from weakloom.operators import label_model as lm
 from weakloom.operators import labeling as lb
 from weakloom.operators import lf_stats, retrieval, stemming
+from weakloom.operators import rule_structure as rs
 from weakloom.operators import structuring as st
 from weakloom.plans import corpus, training
 from weakloom.plans import labeling as plan
@@ -530,6 +531,81 @@ def label_model_posteriors(spark, sf_dir):
     return scored.select("doc_id", *_proba_columns(), model.predict(F.col("proba")).alias("predicted"))
 
 
+# The narrow and the wide form of each distance rule.
+NESTED_RULES = [(i, i + 1) for i in range(0, 20, 2)]
+
+
+@query
+def vote_covariance(spark, sf_dir):
+    covariances = rs.vote_covariance(durable(_patterns(spark, sf_dir)))
+    return covariances.select("rule_i", "vote_i", "rule_j", "vote_j", _r("covariance", "covariance"))
+
+
+@query
+def pair_vote_moments(spark, sf_dir):
+    """Shares of rows where a rule votes beside both forms of a distance rule."""
+    return rs.pair_vote_moments(durable(_patterns(spark, sf_dir)), NESTED_RULES).select(
+        "left", "right", "vote_left", "vote_right", "rule", "vote", _r("p", "p"))
+
+
+@query
+def rule_dependencies(spark, sf_dir):
+    """Rules whose votes go together more than the class explains."""
+    names = [r.name for r in RULES]
+    found = rs.dependencies(durable(_patterns(spark, sf_dir)), N_RULES)
+    return spark.createDataFrame([(names[d.left], names[d.right], round(float(d.strength), 4), d.used) for d in found],
+                                 "left string, right string, strength double, used boolean")
+
+
+def _dependent(spark, sf_dir):
+    """Gold votes, and the label model that knows which rules depend on each other."""
+    voted = durable(_gold_votes(spark, sf_dir))
+    patterns = durable(lf_stats.vote_patterns(voted, "class"))
+    return voted, rs.fit_dependent_model(patterns, lm.balance_of(patterns, "class"), N_RULES)
+
+
+@query
+def dependent_posteriors(spark, sf_dir):
+    voted, model = _dependent(spark, sf_dir)
+    scored = model.with_posterior(voted)
+    return scored.select("doc_id", *_proba_columns(), model.predict(F.col("proba")).alias("predicted"))
+
+
+@query
+def fitted_shares(spark, sf_dir):
+    """Share of each vote, and whether the fitted model gives the same share (to 0.02)."""
+    patterns = durable(lf_stats.vote_patterns(_gold_votes(spark, sf_dir), "class"))
+    model = lm.fit_label_model(patterns, lm.balance_of(patterns, "class"), N_RULES)
+    share = F.sum(F.col("p") * F.get(F.array(*[F.lit(x) for x in model.balance]), F.col("class") - 1))
+    fitted = model.weights(spark).groupBy("rule_no", "vote").agg(share.alias("fitted"))
+    single = lm.vote_moments(patterns).where("rule_i = rule_j").select(F.col("rule_i").alias("rule_no"), F.col("vote_i").alias("vote"), "p")
+    return single.join(fitted, ["rule_no", "vote"]).select("rule_no", "vote", _r("p", "share"), (F.abs(F.col("p") - F.col("fitted")) < 0.02).alias("close"))
+
+
+@query
+def fitted_class_scores(spark, sf_dir):
+    """As ``class_scores``, for the label model fitted without gold labels of rows, with and without dependent rules."""
+    voted, dependent = _dependent(spark, sf_dir)
+    patterns = durable(lf_stats.vote_patterns(voted, "class"))
+    plain = lm.fit_label_model(patterns, dependent.balance, N_RULES)
+    parts = []
+    for name, model in (("independent", plain), ("dependent", dependent)):
+        predicted = model.with_posterior(voted).select("class", model.predict(F.col("proba")).alias("predicted"))
+        parts.append(ev.class_scores(ev.confusion(predicted, "class", "predicted")).withColumn("model", F.lit(name)))
+    scores = parts[0].unionByName(parts[1])
+    return scores.select("model", "class", "hits", "wrong", "missed", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"),
+                         _r("accuracy", "accuracy"))
+
+
+@query
+def stored_model_posteriors(spark, sf_dir):
+    """Posteriors of the closed-form model after it was stored and read back."""
+    voted = durable(_gold_votes(spark, sf_dir))
+    path = fresh_path(spark, "label-model")
+    rs.write_model(spark, lm.supervised_model(lf_stats.vote_patterns(voted, "class"), "class", N_RULES), path)
+    return rs.read_model(spark, path).with_posterior(voted).select("doc_id", *_proba_columns())
+
+
 @query
 def noisy_labels(spark, sf_dir):
     """The whole labeling plan in stemmed mode: fit on gold documents, label all countries."""
