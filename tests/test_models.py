@@ -104,6 +104,34 @@ def test_noise_aware_training(spark):
     assert predictions.agg(F.avg("loss")).first()[0] < math.log(3)
 
 
+def test_experiments_keep_rows_apart(spark, planted):
+    """No row a model is judged on is among those it learned from, and both beat answering the class balance."""
+    vectors = planted.where("id < 2000").select(
+        "id", "votes", F.when(F.col("id") % 4 == 0, F.col("class")).alias("class"), F.col("class").alias("_true")).withColumn(
+        "features", F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (F.when(i == F.col("_true"), 2.0).otherwise(0.0)
+                                                                          + F.rand(3)).cast("float"))).drop("_true").cache()
+    baseline = training.gold_experiment(vectors, "id", max_iter=20, reg=0.01)
+    noisy, model = training.noisy_experiment(vectors, "id", 7, max_iter=20, reg=0.01)
+    assert (baseline.train.count(), baseline.predictions.count()) == (400, 100)
+    assert baseline.train.agg(F.max("id")).first()[0] < baseline.predictions.agg(F.min("id")).first()[0]
+    assert (noisy.train.count(), noisy.predictions.count()) == (1500, 500)
+    for done in (baseline, noisy):
+        assert done.train.join(done.predictions, "id").count() == 0
+        assert done.scores.first().accuracy > 0.8
+        guess = training.balance_loss(done.train, done.predictions).first().loss
+        assert done.validation_loss.first().loss < guess < 2
+    assert noisy.train.agg(F.count("class")).first()[0] == 0 and "proba" in noisy.train.columns
+    assert len(model.given) == 7
+
+
+def test_leading_share(spark):
+    frame = spark.createDataFrame([(i * 7 % 11, "x") for i in range(11)], "k int, _x string")
+    for share, n in ((0.8, 8), (0.0, 0), (1.0, 11)):
+        first, rest = em.leading_share(frame, "k", share)
+        assert sorted(r.k for r in first.collect()) == list(range(n)) and rest.count() == 11 - n
+        assert first.columns == frame.columns
+
+
 def test_features(spark):
     docs = spark.createDataFrame([(1, "Red blue  red"), (2, None), (3, "w " * 60)], "id int, text string")
     table = spark.createDataFrame([("red", [1.0, 2.0]), ("w", [3.0, 3.0])], "token string, vector array<float>")
@@ -111,12 +139,16 @@ def test_features(spark):
     assert all(len(f) == 50 for f in small.values())
     assert small[1][:4] == [[1.0, 2.0], [0.0, 0.0], [1.0, 2.0], [0.0, 0.0]]
     assert small[2] == [[0.0, 0.0]] * 50 and small[3] == [[3.0, 3.0]] * 50
-    limit, ft.MAX_BROADCAST_ROWS = ft.MAX_BROADCAST_ROWS, 1
+    limit, ft.TABLE_BYTES = ft.TABLE_BYTES, 1
     try:
         salted = {r.id: r.features for r in ft.encode_by_lookup(docs, "id", "text", table, 2).collect()}
     finally:
-        ft.MAX_BROADCAST_ROWS = limit
+        ft.TABLE_BYTES = limit
     assert salted == small
+    plan = ft.encode_by_lookup(docs, "id", "text", table, 2)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    empty = ft.encode_by_lookup(docs, "id", "text", table.where("false"), 2).collect()
+    assert len(empty) == 3 and all(r.features == [[0.0, 0.0]] * 50 for r in empty)
     model = {r.id: r.features for r in ft.encode_by_model(
         docs, "id", "text", lambda ts: [np.ones((len(t.split(" ")), 2)) for t in ts], 2).collect()}
     assert sum(map(sum, model[1])) == 8.0 and len(model[3]) == 50

@@ -34,3 +34,9 @@ def to_rows(flat: Column, length: int = MAX_TOKENS, width: int = WIDTH) -> Colum
     """Cut a flat vector into ``length`` rows of ``width`` values."""
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
                        lambda i: F.slice(flat, i * width + 1, width))
+
+
+def mean_row(rows: Column, width: int) -> Column:
+    """The mean of the rows of a matrix."""
+    total = F.aggregate(rows, F.array_repeat(F.lit(0.0), width), lambda s, row: F.zip_with(s, row, lambda x, y: x + y.cast("double")))
+    return F.transform(total, lambda x: (x / F.greatest(F.size(rows), F.lit(1))).cast("float"))

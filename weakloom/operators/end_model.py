@@ -28,6 +28,18 @@ def id_range(df: DataFrame, key: str, bounds: tuple[int, int]) -> DataFrame:
     return df.where((F.col(key) >= bounds[0]) & (F.col(key) < bounds[1]))
 
 
+def leading_share(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """``df`` cut in two by the order of a unique key: the first ``share`` of the rows, and the rest.
+
+    Only keys are numbered. The row that a border falls on belongs to the second part.
+    """
+    numbered = durable(scan.row_keys(df, key, "_position"))
+    n = numbered.count()
+    first = numbered.select(F.col(key).alias("_key"), (F.col("_position") < F.lit(int(share * n))).alias("_first"))
+    marked = df.join(first, F.col(key) == F.col("_key")).drop("_key")
+    return marked.where("_first").drop("_first"), marked.where("not _first").drop("_first")
+
+
 def with_labels(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Features and labels of the same row."""
     return features.join(labels, key)
@@ -51,13 +63,15 @@ def weighted_rows(df: DataFrame, features: str, proba: str, flatten: bool = Fals
         F.col("weight") > 0).select("features", F.col("_class").cast("double").alias("label"), "weight")
 
 
-def fit_end_model(rows: DataFrame, max_iter: int = 50, reg: float = 0.0, cut_lineage: bool = True) -> LogisticRegressionModel:
-    """Multinomial logistic regression on weighted rows.
+def fit_end_model(df: DataFrame, features: str, proba: str, flatten: bool = False, max_iter: int = 50,
+                  reg: float = 0.0) -> LogisticRegressionModel:
+    """Multinomial logistic regression on soft labels.
 
-    The rows are written to the shared folder once, so a lost executor re-reads them rather
-    than repeating the joins that made them in each of the many passes.
+    One row per matrix, its values as floats, is written to the shared folder once, so a lost executor re-reads it rather than
+    repeating the joins that made it in each of the many passes; the rows per class are made from it by the trainer's reads.
     """
-    data = durable(rows) if cut_lineage else rows
+    flat = F.flatten(features) if flatten else F.col(features)
+    data = weighted_rows(durable(df.select(flat.cast("array<float>").alias("_flat"), F.col(proba).alias("_proba"))), "_flat", "_proba")
     trainer = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg,
                                  standardization=True)
     return trainer.fit(data)

@@ -386,6 +386,11 @@ def all_oracles() -> dict[str, str]:
     o["best_per_label"] = _with(
         f"{SCORED}, placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY results DESC, vec_id) AS rank FROM scored)",
         "SELECT label, vec_id, rank, round(results, 6) AS results FROM placed WHERE rank <= 5")
+    pairs = ("SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score "
+             "FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
+    o["query_neighbours"] = (f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
+                             f"ORDER BY score DESC, vec_id) AS rank FROM ({pairs})) WHERE rank <= 10")
+    o["index_recall"] = "SELECT count(*) AS n_queries, TRUE AS enough FROM embeddings WHERE vec_id % 100 = 0"
     o["manual_labels"] = "SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
     o["table_shape"] = ("SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM (DESCRIBE documents)) AS n_columns")
     o["table_head"] = "SELECT doc_id, lang, text FROM documents ORDER BY doc_id LIMIT 5"
@@ -536,6 +541,15 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
     o["batched_validation_loss"] = _with(
         f"{LOSSES}, placed AS (SELECT hard, (row_number() OVER (ORDER BY vec_id) - 1) // 50 AS batch FROM losses), "
         "means AS (SELECT avg(hard) AS m FROM placed GROUP BY batch)", "SELECT round(avg(m), 6) AS val_loss FROM means")
+    held_out = (f"{only_labels}, gold AS (SELECT doc_id, class FROM labels_class JOIN documents USING (doc_id)), "
+                "placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM gold), "
+                "judged AS (SELECT 'gold' AS experiment, doc_id, class FROM placed WHERE place >= floor(0.8 * n) "
+                "UNION ALL SELECT 'noisy', doc_id, class FROM placed)")
+    o["experiment_rows"] = _with(
+        f"{held_out}, learned AS (SELECT 'gold' AS experiment, count(*) AS n_train FROM placed WHERE place < floor(0.8 * n) UNION ALL "
+        "SELECT 'noisy', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels_class))",
+        "SELECT experiment, n_train, count(*) AS n_judged, 0 AS n_both FROM learned JOIN judged USING (experiment) GROUP BY ALL")
+    o["experiment_checks"] = _with(held_out, "SELECT experiment, doc_id, class, TRUE AS adds_up, TRUE AS is_best, TRUE AS has_loss FROM judged")
     o["weighted_training_rows"] = _with(
         f"{GOLD_VOTED},\n{POSTERIORS}", "SELECT (class - 1)::DOUBLE AS label, count(*) AS n, round(sum(p), 6) AS weight FROM proba "
                                         "JOIN embeddings ON vec_id = doc_id WHERE p > 0 GROUP BY class")

@@ -19,6 +19,7 @@ from weakloom.operators import label_model as lm
 from weakloom.operators import labeling as lb
 from weakloom.operators import lf_stats, retrieval, stemming
 from weakloom.operators import rule_structure as rs
+from weakloom.operators import search
 from weakloom.operators import structuring as st
 from weakloom.plans import corpus, training
 from weakloom.plans import labeling as plan
@@ -237,6 +238,44 @@ def best_per_label(spark, sf_dir):
         "label", "vec_id", "rank", _r("results", "results"))
 
 
+def _asked(spark, sf_dir):
+    """All embeddings, and those with an id divisible by 100 as queries."""
+    rows = sd.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rows, rows.where("vec_id % 100 = 0")
+
+
+def _ranked_neighbours(found):
+    return found.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), "rank", _r("score", "score"))
+
+
+@query
+def query_neighbours(spark, sf_dir):
+    """The ten nearest of all embeddings for many query vectors at once."""
+    return _ranked_neighbours(search.nearest(*_asked(spark, sf_dir), 10, "vec_id", "embedding"))
+
+
+def _indexed(spark, sf_dir):
+    rows, asked = _asked(spark, sf_dir)
+    index = search.build_index(rows, "vec_id", "embedding")
+    probes = search.probes_needed(index, asked, 10, "vec_id", "embedding")
+    return rows, asked, search.search_index(index, asked, 10, "vec_id", "embedding", probes)
+
+
+@query
+def indexed_neighbours(spark, sf_dir):
+    """The same through the index of cells, with as many probes as the audited queries need."""
+    return _ranked_neighbours(_indexed(spark, sf_dir)[2])
+
+
+@query
+def index_recall(spark, sf_dir):
+    """Whether the index finds nine of ten true neighbours of all queries."""
+    rows, asked, found = _indexed(spark, sf_dir)
+    exact = search.nearest(rows, asked, 10, "vec_id", "embedding")
+    recall = search.recall_of(durable(found), exact)
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("enough", F.lit(recall >= 0.9))
+
+
 @query
 def manual_labels(spark, sf_dir):
     return retrieval.attach_labels(_documents(spark, sf_dir).select("doc_id"), sd.table(spark, sf_dir, "labels"), "doc_id")
@@ -847,29 +886,72 @@ def weighted_training_rows(spark, sf_dir):
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("weight"), "weight"))
 
 
-def _trained(spark, sf_dir, soft: bool):
-    data = durable(_soft_features(spark, sf_dir))
-    gold = data.where("class is not null")
-    if not soft:
-        data = gold.withColumn("proba", loss.one_hot(em.zero_based(F.col("class")), 3))
-    return training.train_and_score(data, gold, "doc_id", max_iter=20, reg=0.01)
+def _experiment_rows(spark, sf_dir):
+    """Every document with its vector, its votes and its class, if it has one."""
+    voted = _gold_votes(spark, sf_dir).select("doc_id", "votes", "class")
+    return durable(voted.join(sd.document_vectors(spark, sf_dir), "doc_id"))
+
+
+def _experiments(spark, sf_dir):
+    """Both experiments, by name: gold rows alone, and the label model's answers on the rows without a class."""
+    rows = _experiment_rows(spark, sf_dir)
+    return {"gold": training.gold_experiment(rows, "doc_id", max_iter=20, reg=0.01),
+            "noisy": training.noisy_experiment(rows, "doc_id", N_RULES, max_iter=20, reg=0.01)[0]}
+
+
+def _named_union(parts):
+    out = None
+    for name, part in parts:
+        named = part.withColumn("experiment", F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 @query
 def end_model_predictions(spark, sf_dir):
-    """Noise-aware model: trained on soft labels, applied to gold rows."""
-    predictions, _ = _trained(spark, sf_dir, True)
-    return predictions.select("doc_id", "class", "predicted", _r("loss", "loss"))
+    """Noise-aware model: trained on the label model's answers, applied to gold rows it has not seen."""
+    done = training.noisy_experiment(_experiment_rows(spark, sf_dir), "doc_id", N_RULES, max_iter=20, reg=0.01)[0]
+    return done.predictions.select("doc_id", "class", "predicted", _r("loss", "loss"))
 
 
 @query
 def end_model_scores(spark, sf_dir):
-    _, scores = _trained(spark, sf_dir, True)
-    return scores
+    return training.noisy_experiment(_experiment_rows(spark, sf_dir), "doc_id", N_RULES, max_iter=20, reg=0.01)[0].scores
 
 
 @query
 def baseline_model_scores(spark, sf_dir):
-    """The same classifier trained on gold labels."""
-    _, scores = _trained(spark, sf_dir, False)
-    return scores
+    """The same classifier trained on the first four fifths of the gold rows, judged on the last."""
+    return training.gold_experiment(_experiment_rows(spark, sf_dir), "doc_id", max_iter=20, reg=0.01).scores
+
+
+@query
+def experiment_rows(spark, sf_dir):
+    """Rows each experiment learns from and is judged on, and how many are in both."""
+    parts = []
+    for name, done in _experiments(spark, sf_dir).items():
+        ids, judged = done.train.select("doc_id"), done.predictions.select("doc_id")
+        both = ids.join(judged, "doc_id").agg(F.count(F.lit(1)).alias("n_both"))
+        n = judged.agg(F.count(F.lit(1)).alias("n_judged"))
+        parts.append((name, ids.agg(F.count(F.lit(1)).alias("n_train"), F.lit(n.scalar()).alias("n_judged"),
+                                    F.lit(both.scalar()).alias("n_both"))))
+    return _named_union(parts)
+
+
+@query
+def experiment_checks(spark, sf_dir):
+    """What must hold of any trained model: probabilities add up to 1, the prediction has the highest, each judged row has one answer."""
+    best = F.get(F.array(*[F.lit(c) for c in lb.CLASSES]), (F.array_position("probability", F.array_max("probability")) - 1).cast("int"))
+    total = F.aggregate("probability", F.lit(0.0), lambda s, x: s + x)
+    return _named_union(
+        (name, done.predictions.select("doc_id", "class", (F.abs(total - 1) < 1e-9).alias("adds_up"), (best == F.col("predicted")).alias("is_best"),
+                                       (F.col("loss") >= 0).alias("has_loss")))
+        for name, done in _experiments(spark, sf_dir).items())
+
+
+@query
+def experiment_losses(spark, sf_dir):
+    """Loss in batches on the rows each model has not seen, beside that of answering the mean of its training labels."""
+    return _named_union(
+        (name, done.validation_loss.select(_r("loss", "val_loss"), _r(training.balance_loss(done.train, done.predictions).scalar(), "balance_loss")))
+        for name, done in _experiments(spark, sf_dir).items())

@@ -12,7 +12,9 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weakloom.functions import vectors
 from weakloom.functions.lexicons import with_negative_all
+from weakloom.operators import features as ft
 from weakloom.operators.hmm import HiddenStates
 from weakloom.operators.labeling import NEGATIVE, NEUTRAL, POSITIVE
 from weakloom.operators.stemming import vocabulary
@@ -111,3 +113,9 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = vocabulary(table(spark, sf_dir, "benchmark"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"))
     return words.withColumn("_id", F.length("token") * 5).join(vectors, "_id").select("token", "vector")
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, features)``: the mean vector of a document's first tokens."""
+    matrices = ft.encode_by_lookup(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", token_vectors(spark, sf_dir), 64)
+    return matrices.select("doc_id", vectors.mean_row(F.col("features"), 64).alias("features"))
