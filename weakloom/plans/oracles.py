@@ -116,6 +116,31 @@ moves AS MATERIALIZED (SELECT {", ".join(f"f.a{i}, b{i}, c{i}" for i in states)}
 counts AS (SELECT part, i, j, n + {smoothing} AS n FROM ({pairs} UNION ALL {starts} UNION ALL {emits}))
 SELECT part, i, j, round(n / sum(n) OVER (PARTITION BY part, i), 6) AS p FROM counts"""
 
+# --- topics -------------------------------------------------------------------------------------
+
+TOPIC_TERMS = f"""words AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
+entries AS MATERIALIZED (SELECT doc_id, term, count(*) AS n FROM words GROUP BY ALL),
+chosen AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS place FROM entries GROUP BY term HAVING count(*) >= 2
+           ORDER BY count(*) DESC, term LIMIT 300)"""
+
+
+def topic_round_sql(n_topics: int, steps: int, smoothing: float) -> str:
+    ks = range(n_topics)
+    start = ", ".join(f"1 + ('0x' || left(md5(term || ' {k}'), 4))::INT / 65536.0 AS w{k}" for k in ks)
+    scaled = ", ".join(f"w{k} / sum(w{k}) OVER () AS f{k}" for k in ks)
+    ctes = [TOPIC_TERMS, f"weights AS (SELECT term, {start} FROM chosen)", f"shares AS MATERIALIZED (SELECT term, {scaled} FROM weights)",
+            f"e0 AS MATERIALIZED (SELECT doc_id, term, n, {', '.join(f'f{k}' for k in ks)}, {', '.join(f'{1 / n_topics}::DOUBLE AS m{k}' for k in ks)} "
+            "FROM entries JOIN shares USING (term))"]
+    total = " + ".join(f"m{k} * f{k}" for k in ks)
+    for step in range(1, steps + 1):
+        mixed = ", ".join(f"sum(n * m{k} * f{k} / ({total})) / sum(n) AS m{k}" for k in ks)
+        ctes.append(f"x{step} AS (SELECT doc_id, {mixed} FROM e{step - 1} GROUP BY doc_id)")
+        ctes.append(f"e{step} AS MATERIALIZED (SELECT doc_id, term, n, {', '.join(f'f{k}' for k in ks)}, {', '.join(f'x{step}.m{k}' for k in ks)} "
+                    f"FROM e{step - 1} JOIN x{step} USING (doc_id))")
+    sums = " UNION ALL ".join(f"SELECT {k} AS topic, term, sum(n * m{k} * f{k} / ({total})) + {smoothing} AS s FROM e{steps} GROUP BY term" for k in ks)
+    ctes.append(f"sums AS ({sums})")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT topic, term, round(s / sum(s) OVER (PARTITION BY topic), 6) AS share FROM sums"
+
 
 # --- stemming ---------------------------------------------------------------------------------
 
@@ -509,6 +534,8 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
 
     o["paragraph_states"] = f"WITH RECURSIVE {state_ctes(sd.STATES)}\nSELECT doc_id, t AS para_id, " + ", ".join(
         f"round(g{i}, 6) AS p_{i}" for i in range(sd.STATES.n_states)) + " FROM gamma"
+    o["topic_vocabulary"] = f"WITH {TOPIC_TERMS} SELECT place::INT AS place, term FROM chosen"
+    o["topic_round"] = topic_round_sql(4, 2, 0.01)
     o["state_update"] = state_update_sql(sd.STATES, 0.001)
 
     o["truncated_words"] = "SELECT doc_id, array_to_string(string_split(text, ' ')[1:50], ' ') AS text FROM documents"

@@ -21,6 +21,7 @@ from weakloom.operators import lf_stats, retrieval, stemming
 from weakloom.operators import rule_structure as rs
 from weakloom.operators import search
 from weakloom.operators import structuring as st
+from weakloom.operators import topics as tp
 from weakloom.plans import corpus, training
 from weakloom.plans import labeling as plan
 from weakloom.plans import standins as sd
@@ -762,6 +763,36 @@ def state_likelihoods(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(found)), "round int, log_likelihood double")
 
 
+# --- topics -----------------------------------------------------------------------------------
+
+N_TOPICS, N_TERMS = 4, 300
+
+
+@query
+def topic_vocabulary(spark, sf_dir):
+    """The terms in most documents, in order."""
+    words = tp.vocabulary(_documents(spark, sf_dir), "text", N_TERMS)
+    return spark.createDataFrame(list(enumerate(words)), "place int, term string")
+
+
+@query
+def topic_round(spark, sf_dir):
+    """Shares of the terms after one round in which documents take two steps to their mixture."""
+    docs = _documents(spark, sf_dir)
+    words = tp.vocabulary(docs, "text", N_TERMS)
+    model = tp.start_topics(spark, words, N_TOPICS, steps=2)
+    sums, _ = tp.term_sums(tp.counted(docs, "doc_id", "text", words), model)
+    return tp.next_topics(model, sums).table(spark).select("topic", "term", _r("share", "share"))
+
+
+@query
+def topic_mixtures(spark, sf_dir):
+    """Topics of all documents after ten rounds."""
+    model, counts, _ = tp.fit_topics(_documents(spark, sf_dir), "doc_id", "text", N_TOPICS, rounds=10, terms=2000)
+    return tp.mixtures(counts, model).select(F.col("key").alias("doc_id"), F.posexplode("mixture").alias("topic", "share")).select(
+        "doc_id", "topic", _r("share", "share"))
+
+
 # --- features and end model -------------------------------------------------------------------
 
 @query
