@@ -6,8 +6,10 @@
    that are not nearer to each other, on all levels up to its own.
 4. Every vector queries every shard of its label, a block of queries and a graph per task: down the levels to an entry, then a beam on the
    lowest level. A beam that is still full of links is widened for its query. Audited queries of the block are compared with all
-   vectors of the shard, and while too few of their links were found all beams of the block are widened, at last to the whole shard.
-5. Pairs found are verified by cosine in double precision, and links are united into components.
+   vectors of the shard, and while too few of their links were found all beams of the block are widened. Beams are widened once to
+   ``WIDER`` times their width and then to the whole shard.
+5. Pairs found are verified by cosine in double precision. A task passes on one row per linked vector, not the pairs: how many it is
+   linked to, and a vector its links lead to, which are then united into components.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SHARD, BLOCK = 2048, 1024
 LINKS, BUILD_BEAM = 12, 48
 #: First beam of a query, audited queries per block, and the share of their links that must be found.
 BEAM, AUDITED, RECALL = 48, 128, 0.99
+#: How many times wider the second beam is; after it, vectors are compared with the whole shard.
+WIDER = 4
 #: Search is done in single precision; pairs this far below the threshold are verified too.
 SLACK = 1e-4
 
@@ -128,28 +132,29 @@ def build(vectors: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed:
     at = 1
     while at < n:
         batch = order[at:at + max(1, at // 4)]
-        for level in range(len(tables) - 1, -1, -1):
+        # All levels are searched before any is linked: nodes of this batch are no way to each other yet.
+        searched = []
+        for level in range(len(tables)):
             own = batch[levels[batch] >= level]
             if len(own):
-                _insert(g, level, own, beam)
+                searched.append((level, own, *_beam(g, level, units[own], _entries(g, units[own], level), beam)))
+        for level, own, found, near in searched:
+            _link(g, level, own, found, near, beam)
         at += len(batch)
     return g
 
 
-def _insert(g: Graph, level: int, own: np.ndarray, beam: int) -> None:
-    """Link the nodes ``own`` on a level with each other and with those that stand there."""
+def _link(g: Graph, level: int, own: np.ndarray, found: np.ndarray, near: np.ndarray, beam: int) -> None:
+    """Link the nodes ``own`` on a level with each other and with those ``found`` there."""
     table = g.links[level]
-    found, near = _beam(g, level, g.units[own], _entries(g, g.units[own], level), beam)
     among = g.units[own] @ g.units[own].T
     np.fill_diagonal(among, -np.inf)
     added: dict[int, list[int]] = {}
     for i, node in enumerate(own):
-        others = (found[i] >= 0) & (found[i] != node)  # a node on several levels arrives at itself
-        nodes, sims = found[i][others], near[i][others]
+        nodes, sims = found[i][found[i] >= 0], near[i][found[i] >= 0]
         few = np.argsort(-among[i], kind="stable")[:beam]
         few = few[np.isfinite(among[i][few])]
-        fresh = few[~np.isin(own[few], nodes)]
-        nodes, sims = np.concatenate([nodes, own[fresh]]), np.concatenate([sims, among[i][fresh]])
+        nodes, sims = np.concatenate([nodes, own[few]]), np.concatenate([sims, among[i][few]])
         best = np.argsort(-sims, kind="stable")[:beam]
         taken = _spread(g.units, node, nodes[best], sims[best], table.shape[1] // 2 if level == 0 else table.shape[1])
         table[node, :len(taken)] = taken
@@ -178,7 +183,8 @@ def search(g: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM, au
     some = np.unique(np.linspace(0, len(units) - 1, min(audited, len(units))).astype(int))
     true = units[some] @ g.units.T >= lowest
     entries = _entries(g, units, 0)
-    left, width = np.arange(len(units)), min(beam, size)
+    beam = min(beam, size)
+    left, width = np.arange(len(units)), beam
     pairs: dict[int, np.ndarray] = {}
     hit = 0
     while len(left):
@@ -196,7 +202,8 @@ def search(g: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM, au
             if hit < recall * true.sum():
                 left = np.arange(len(units))
             if len(left):
-                width = min(size, 2 * width)
+                # A far wider beam costs more than comparing with every vector.
+                width = min(size, WIDER * beam) if width == beam else size
     query = np.repeat(np.arange(len(units)), [len(pairs[i]) for i in range(len(units))])
     node = np.concatenate([pairs[i] for i in range(len(units))]) if len(units) else np.zeros(0, np.int32)
     return query, node, (int(true.sum()), hit, width)
@@ -216,82 +223,124 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 
 def _built(table: pa.Table) -> pa.Table:
-    """The graph of one shard, and its vectors as queries, as bytes. Rows are put in the order of their nodes, so any task builds the same."""
+    """The graph of one shard as bytes. Rows are put in the order of their nodes, so any task builds the same graph."""
     table = table.sort_by("node").combine_chunks()
     width = table["width"][0].as_py()
     vectors = pc.list_flatten(table["vector"]).to_numpy().reshape(-1, width)
     if (vectors.astype(np.float32) == vectors).all():
         vectors = vectors.astype(np.float32)
     g = build(vectors.astype(np.float64))
-    nodes = table["node"].to_numpy()
-    packed = _pack(nodes=nodes, vectors=vectors, levels=g.levels, entry=np.array([g.entry]), **{f"links{i}": x for i, x in enumerate(g.links)})
+    packed = _pack(nodes=table["node"].to_numpy(), sizes=table["size"].to_numpy(), vectors=vectors, levels=g.levels, entry=np.array([g.entry]),
+                   **{f"links{i}": x for i, x in enumerate(g.links)})
     return pa.table({"label": table["label"][:1], "width": table["width"][:1], "shard": table["shard"][:1],
-                     "graph": pa.array([packed], pa.binary()), "asking": pa.array([_pack(nodes=nodes, vectors=vectors)], pa.binary())})
+                     "graph": pa.array([packed], pa.binary())})
 
 
-def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+class Shard(NamedTuple):
+    graph: Graph
+    vectors: np.ndarray
+    nodes: np.ndarray
+    sizes: np.ndarray
+
+
+def _unpacked(data: bytes) -> Shard:
     with np.load(io.BytesIO(data)) as held:
-        return {name: held[name] for name in held.files}
-
-
-_ANSWER = "a bigint, b bigint, expected bigint, found bigint, beam bigint"
-
-
-def _asked(threshold: float, beam: int):
-    """Queries of one shard to the graph of one shard: pairs of nodes, and a row of audit figures per block."""
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        held, asking = _unpacked(left["graph"][0].as_py()), _unpacked(right["asking_"][0].as_py())
-        vectors, queries = held["vectors"].astype(np.float64), asking["vectors"].astype(np.float64)
-        links = [held[f"links{i}"] for i in range(sum(name.startswith("links") for name in held))]
-        g = Graph(_units(vectors), held["levels"], links, int(held["entry"][0]))
-        low, high, audits = [], [], []
-        for start in range(0, len(queries), BLOCK):
-            block = queries[start:start + BLOCK]
-            i, j, audit = search(g, block, threshold, beam)
-            near = cosines(block[i], vectors[j]) >= threshold
-            a, b = asking["nodes"][start + i[near]], held["nodes"][j[near]]
-            low.append(np.minimum(a, b)[a != b])
-            high.append(np.maximum(a, b)[a != b])
-            audits.append(audit)
-        n = sum(map(len, low))
+        links = [held[f"links{i}"] for i in range(sum(name.startswith("links") for name in held.files))]
+        vectors = held["vectors"].astype(np.float64)
+        return Shard(Graph(_units(vectors), held["levels"], links, int(held["entry"][0])), vectors, held["nodes"], held["sizes"])
+
+
+def _queried(held: Shard, asking: Shard, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Pairs of rows of ``asking`` and ``held`` verified in double precision, and the audits of the blocks."""
+    rows, found, audits = [], [], []
+    for start in range(0, len(asking.vectors), BLOCK):
+        block = asking.vectors[start:start + BLOCK]
+        i, j, audit = search(held.graph, block, threshold, beam)
+        near = cosines(block[i], held.vectors[j]) >= threshold
+        rows.append(start + i[near])
+        found.append(j[near])
+        audits.append(audit)
+    return np.concatenate(rows), np.concatenate(found), audits
+
+
+def _smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest one reached over the links ``a, b``."""
+    out = np.arange(n)
+    while True:
+        new = out.copy()
+        np.minimum.at(new, a, out[b])
+        np.minimum.at(new, b, out[a])
+        new = new[new]
+        if (new == out).all():
+            return out
+        out = new
+
+
+_ANSWER = "node bigint, root bigint, others bigint, expected bigint, found bigint, beam bigint"
+
+
+def _met(threshold: float, beam: int):
+    """Both shards of a pair query each other's graph. Each vector with links is returned once, with the sizes of what it is linked to and
+    the first vector its links reach here, however many links a group of near vectors has; then a row of audit figures per block."""
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, same = _unpacked(left["graph"][0].as_py()), left["shard"][0] == left["other"][0]
+        y = x if same else _unpacked(right["graph_"][0].as_py())
+        j, i, audits = _queried(x, y, threshold, beam)
+        if same:
+            i, j = np.concatenate([i, j]), np.concatenate([j, i])
+            i, j = i[i != j], j[i != j]
+        else:
+            more, others, second = _queried(y, x, threshold, beam)
+            i, j, audits = np.concatenate([i, more]), np.concatenate([j, others]), audits + second
+        pair = np.unique(i.astype(np.int64) * len(y.nodes) + j)
+        i, j = np.divmod(pair, len(y.nodes))
+        nodes = x.nodes if same else np.concatenate([x.nodes, y.nodes])
+        shift, weight = 0 if same else len(x.nodes), np.zeros(len(nodes), np.int64)
+        np.add.at(weight, i, y.sizes[j])
+        if not same:
+            np.add.at(weight, j + shift, x.sizes[i])
+        linked = np.flatnonzero(weight)
+        root = _smallest_reached(len(nodes), i, j + shift)
+        n, none = len(linked), [None] * len(audits)
         figures = [pa.array([None] * n + [audit[k] for audit in audits], pa.int64()) for k in range(3)]
-        none = np.full(len(audits), -1)
-        return pa.table([pa.array(np.concatenate([*low, none])), pa.array(np.concatenate([*high, none])), *figures],
-                        ["a", "b", "expected", "found", "beam"])
+        return pa.table([pa.array([*nodes[linked].tolist(), *none], pa.int64()), pa.array([*nodes[root[linked]].tolist(), *none], pa.int64()),
+                         pa.array([*weight[linked].tolist(), *none], pa.int64()), *figures],
+                        ["node", "root", "others", "expected", "found", "beam"])
 
-    return ask
+    return meet
 
 
 def links_of(classes: DataFrame, threshold: float, beam: int = BEAM, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """``(links, audits)`` over ``classes (node, label, vector)``: pairs ``a < b`` of one label, and what the audits of all blocks found.
+    """``(reached, audits)`` over ``classes (node, label, vector, size)``.
 
-    A task holds one graph and the vectors of one shard, whatever the label's size. Each graph is sent once per shard of its label.
+    ``reached (node, root, others)`` has a row per node and pair of shards in which it has links: the sizes it is linked to there and a node its
+    links lead to. A task holds the graphs of two shards, whatever the label's size; each graph is sent once per shard of its label.
     """
     sized = classes.withColumn("width", F.size("vector"))
     space = F.xxhash64("label", "width").alias("space")
     counts = sized.groupBy("label", "width").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards")).select(space, "shards")
     # A label with most of the rows is dealt over salted copies of its one count.
     dealt = salted_join(sized.select("*", space), counts, "space", ["node"]).select(
-        "node", "label", "width", "vector", F.pmod(F.xxhash64("node"), "shards").alias("shard"))
+        "node", "label", "width", "vector", "size", F.pmod(F.xxhash64("node"), "shards").alias("shard"))
     kind = sized.schema["label"].dataType.simpleString()
-    graphs = stored(dealt.groupBy("label", "width", "shard").applyInArrow(
-        _built, f"label {kind}, width int, shard bigint, graph binary, asking binary"), "graphs")
-    names = graphs.select("label", "width", "shard")
-    held = graphs.drop("asking").join(names.withColumnRenamed("shard", "asker"), ["label", "width"])
-    asking = graphs.drop("graph").withColumnRenamed("shard", "asker").join(names, ["label", "width"])
-    asking = asking.select(*[F.col(c).alias(f"{c}_") for c in asking.columns])
-    by = ["label", "width", "shard", "asker"]
-    answers = stored(held.groupBy(*by).cogroup(asking.groupBy(*[f"{c}_" for c in by])).applyInArrow(_asked(threshold, beam), _ANSWER), "links")
-    return answers.where("expected is null").select("a", "b").distinct(), answers.where("expected is not null").select("expected", "found", "beam")
+    graphs = stored(dealt.groupBy("label", "width", "shard").applyInArrow(_built, f"label {kind}, width int, shard bigint, graph binary"), "graphs")
+    names = graphs.select("label", "width", F.col("shard").alias("_shard"))
+    left = graphs.join(names, ["label", "width"]).where("shard <= _shard").withColumnRenamed("_shard", "other")
+    right = graphs.withColumnRenamed("shard", "other").join(names, ["label", "width"]).where("_shard <= other").withColumnRenamed("_shard", "shard")
+    by = ["label", "width", "shard", "other"]
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in [*by, "graph"]])
+    met = left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInArrow(_met(threshold, beam), _ANSWER)
+    answers = stored(met, "links")
+    return answers.where("expected is null").select("node", "root", "others"), answers.where("expected is not null").select("expected", "found", "beam")
 
 
 def audited_links(classes: DataFrame, threshold: float, beam: int = BEAM, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``links_of`` with beams wide enough for the audits of all tasks together."""
     while True:
-        links, audits = links_of(classes, threshold, beam, shard)
+        reached, audits = links_of(classes, threshold, beam, shard)
         total = audits.agg(F.sum("expected").alias("expected"), F.sum("found").alias("found")).first()
         if not total.expected or total.found >= RECALL * total.expected or beam >= shard:
-            return links, audits
+            return reached, audits
         beam *= 2
 
 
@@ -318,11 +367,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     folded = marked.groupBy("mark", "check").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("size"),
                                                  F.min("key").alias("least"))
     classes = stored(folded.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    links, _ = audited_links(classes.select("node", "label", "vector"), threshold, beam, shard)
+    reached, _ = audited_links(classes.select("node", "label", "vector", "size"), threshold, beam, shard)
     sizes = classes.select("node", "size", "least")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beside = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
-    united = stored(graph.components(links), "vector-components")
+    beside = reached.groupBy("node").agg(F.sum("others").alias("others"))
+    united = stored(graph.components(reached.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
     placed = sizes.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     judged = placed.join(least, "component").join(beside, "node", "left").select(
