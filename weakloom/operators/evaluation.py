@@ -23,21 +23,21 @@ def _ratio(a, b):
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
-def class_scores(counts: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """Per class: hits, wrong and missed predictions, precision, recall, F1, and the overall accuracy.
+def class_scores(counts: DataFrame, classes: Sequence[int] = CLASSES, by: Sequence[str] = ()) -> DataFrame:
+    """Per class (and per ``by``, if given): hits, wrong and missed predictions, precision, recall, F1, and the overall accuracy.
 
     A ratio without a denominator is 0.
     """
     per_class = counts.select("*", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
     is_gold, is_pred = F.col("gold") == F.col("class"), F.col("predicted") == F.col("class")
-    sums = per_class.groupBy("class").agg(
+    sums = per_class.groupBy(*by, "class").agg(
         F.sum(F.when(is_gold & is_pred, F.col("n")).otherwise(0)).alias("hits"),
         F.sum(F.when(~is_gold & is_pred, F.col("n")).otherwise(0)).alias("wrong"),
         F.sum(F.when(is_gold & ~is_pred, F.col("n")).otherwise(0)).alias("missed"),
         (F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     hits, wrong, missed = F.col("hits"), F.col("wrong"), F.col("missed")
     return sums.select(
-        "class", "hits", "wrong", "missed",
+        *by, "class", "hits", "wrong", "missed",
         _ratio(hits, hits + wrong).alias("precision"), _ratio(hits, hits + missed).alias("recall"),
         _ratio(2 * hits, 2 * hits + wrong + missed).alias("f1"), "accuracy")
 

@@ -141,6 +141,25 @@ def topic_round_sql(n_topics: int, steps: int, smoothing: float) -> str:
     ctes.append(f"sums AS ({sums})")
     return "WITH " + ",\n".join(ctes) + "\nSELECT topic, term, round(s / sum(s) OVER (PARTITION BY topic), 6) AS share FROM sums"
 
+# --- phrases ----------------------------------------------------------------------------------
+
+def phrase_spans_sql() -> str:
+    grams, marks = [], []
+    for n in (2, 3, 4):
+        joined = " || ' ' || ".join(f"t[i + {k}]" for k in range(n))
+        marks.append(f"SELECT DISTINCT {joined} AS phrase, {n} AS size FROM (SELECT t, unnest(range(1, len(t) - {n - 2})) AS i FROM bench)")
+        grams.append(f"SELECT doc_id, i - 1 AS begin, {n} AS size, {joined} AS phrase FROM (SELECT doc_id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM tok)")
+    return f"""WITH bench AS (SELECT {TOKENS} AS t FROM benchmark), tok AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents),
+marks AS MATERIALIZED ({" UNION ALL ".join(marks)}), grams AS ({" UNION ALL ".join(grams)}),
+hits AS MATERIALIZED (SELECT g.doc_id, g.begin, g.size FROM grams g JOIN marks m ON g.phrase = m.phrase AND g.size = m.size),
+best AS (SELECT doc_id, begin, max(size) AS size FROM hits GROUP BY ALL),
+lists AS (SELECT doc_id, list({{'e': size::BIGINT, 's': [begin::BIGINT]}} ORDER BY begin) AS c FROM best GROUP BY doc_id),
+chosen AS (SELECT doc_id, list_reduce(list_prepend({{'e': 0::BIGINT, 's': []::BIGINT[]}}, c),
+           lambda a, x: CASE WHEN x.s[1] >= a.e THEN {{'e': x.s[1] + x.e, 's': list_append(a.s, x.s[1])}} ELSE a END).s AS s FROM lists),
+spans AS (SELECT doc_id, unnest(s) AS begin FROM chosen)
+SELECT doc_id, begin::INT AS begin, size::INT AS size, array_to_string(t[begin + 1:begin + size], ' ') AS phrase, 'words_' || size AS label
+FROM spans JOIN best USING (doc_id, begin) JOIN tok USING (doc_id)"""
+
 
 # --- stemming ---------------------------------------------------------------------------------
 
@@ -339,6 +358,21 @@ class_scores AS (SELECT *, coalesce(hits / nullif(hits + wrong, 0), 0) AS precis
                  coalesce(hits / nullif(hits + missed, 0), 0) AS recall,
                  coalesce(2 * hits / nullif(2 * hits + wrong + missed, 0), 0) AS f1 FROM per_class)"""
 
+# --- slices -----------------------------------------------------------------------------------
+
+SLICED = f"""{GOLD_VOTED.replace("d.doc_id, d.lang, d.text", "d.doc_id, d.lang, d.n_chars, d.text")},
+{MAJORITY},
+facts AS (SELECT v.doc_id, v.class, m.predicted, g.lang, g.n_chars, list_filter(v.votes, lambda x: x > 0) AS c
+          FROM voted v JOIN majority m USING (doc_id) JOIN gold g USING (doc_id)),
+parts AS (SELECT doc_id, class, predicted, unnest(list_filter([CASE WHEN lang = 'en' THEN 'english' END, CASE WHEN lang = 'de' THEN 'german' END,
+          CASE WHEN n_chars >= 2000 THEN 'long' END, CASE WHEN n_chars < 500 THEN 'short' END, CASE WHEN len(c) >= 10 THEN 'many_votes' END,
+          CASE WHEN len(list_distinct(c)) > 1 THEN 'conflict' END], lambda s: s IS NOT NULL)) AS slice FROM facts)"""
+SLICE_SCORES = """SELECT slice, class, hits, wrong, missed, round(coalesce(hits / nullif(hits + wrong, 0), 0), 6) AS precision,
+round(coalesce(hits / nullif(hits + missed, 0), 0), 6) AS recall, round(coalesce(2 * hits / nullif(2 * hits + wrong + missed, 0), 0), 6) AS f1,
+round(accuracy, 6) AS accuracy FROM (SELECT slice, k.class::INT AS class, count(*) FILTER (p.class = k.class AND predicted = k.class) AS hits,
+count(*) FILTER (p.class <> k.class AND predicted = k.class) AS wrong, count(*) FILTER (p.class = k.class AND predicted <> k.class) AS missed,
+avg((p.class = predicted)::INT) AS accuracy FROM parts p, range(1, 4) k(class) WHERE p.class IS NOT NULL GROUP BY ALL)"""
+
 # --- losses -----------------------------------------------------------------------------------
 
 LOSSES = """raw AS (SELECT vec_id, label % 3 AS hard_label, [embedding[i]::DOUBLE * 10 for i in [1, 2, 3]] AS z,
@@ -534,6 +568,17 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
 
     o["paragraph_states"] = f"WITH RECURSIVE {state_ctes(sd.STATES)}\nSELECT doc_id, t AS para_id, " + ", ".join(
         f"round(g{i}, 6) AS p_{i}" for i in range(sd.STATES.n_states)) + " FROM gamma"
+    o["phrase_spans"] = phrase_spans_sql()
+    o["slice_scores"] = _with(SLICED, SLICE_SCORES)
+    order = "CASE {0}.slice " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(
+        ("english", "german", "long", "short", "many_votes", "conflict"))) + " END"
+    o["slice_overlaps"] = _with(SLICED, 'SELECT a.slice AS "left", b.slice AS "right", count(*) AS n FROM parts a JOIN parts b ON a.doc_id = b.doc_id '
+                                        f"AND {order.format('a')} <= {order.format('b')} GROUP BY ALL")
+    o["slice_weights"] = _with(
+        f"{SLICED}, judged AS (SELECT doc_id, (class <> predicted)::INT AS wrong FROM facts WHERE class IS NOT NULL), "
+        "residuals AS (SELECT slice, avg(wrong) / (SELECT avg(wrong) FROM judged) - 1 AS residual FROM parts JOIN judged USING (doc_id) GROUP BY slice)",
+        "SELECT doc_id, round(1 + coalesce(sum(greatest(residual, 0)), 0), 6) AS weight FROM judged LEFT JOIN parts USING (doc_id) "
+        "LEFT JOIN residuals USING (slice) GROUP BY doc_id")
     o["topic_vocabulary"] = f"WITH {TOPIC_TERMS} SELECT place::INT AS place, term FROM chosen"
     o["topic_round"] = topic_round_sql(4, 2, 0.01)
     o["state_update"] = state_update_sql(sd.STATES, 0.001)

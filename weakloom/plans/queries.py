@@ -18,8 +18,10 @@ from weakloom.operators import hmm
 from weakloom.operators import label_model as lm
 from weakloom.operators import labeling as lb
 from weakloom.operators import lf_stats, retrieval, stemming
+from weakloom.operators import phrase_spans as ps
 from weakloom.operators import rule_structure as rs
 from weakloom.operators import search
+from weakloom.operators import slices as sl
 from weakloom.operators import structuring as st
 from weakloom.operators import topics as tp
 from weakloom.plans import corpus, training
@@ -763,6 +765,52 @@ def state_likelihoods(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(found)), "round int, log_likelihood double")
 
 
+# --- phrases and slices -------------------------------------------------------------------------
+
+@query
+def phrase_spans(spark, sf_dir):
+    """All runs of two to four words of the benchmark texts, in all documents."""
+    listed = ps.windows_of(sd.table(spark, sf_dir, "benchmark"), "text", (2, 3, 4))
+    label = F.concat(F.lit("words_"), F.size(F.split("phrase", " ")).cast("string"))
+    found = ps.find_phrases(_documents(spark, sf_dir), "doc_id", "text", listed.withColumn("label", label))
+    return found.select("doc_id", "begin", "size", "phrase", "label")
+
+
+SLICES = {
+    "english": "lang = 'en'", "german": "lang = 'de'", "long": "n_chars >= 2000", "short": "n_chars < 500",
+    "many_votes": "size(filter(votes, v -> v > 0)) >= 10", "conflict": "size(array_distinct(filter(votes, v -> v > 0))) > 1",
+}
+
+
+def _sliced(spark, sf_dir):
+    """Majority votes with the slices of each document; texts do not leave the scan."""
+    docs = sd.documents(spark, sf_dir, "doc_id", "text", "lang", "n_chars")
+    voted = lb.vote_matrix(docs, "text", RULES, _plain()).select("doc_id", "lang", "n_chars", "votes")
+    marked = sl.with_slices(voted, SLICES).select("doc_id", "slices", lf_stats.majority_vote(F.col("votes")).alias("predicted"))
+    return marked.join(sd.gold_labels(spark, sf_dir), "doc_id", "left")
+
+
+@query
+def slice_scores(spark, sf_dir):
+    scores = sl.slice_scores(_sliced(spark, sf_dir), "class", "predicted", list(SLICES))
+    return scores.select("slice", "class", "hits", "wrong", "missed", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"),
+                         _r("accuracy", "accuracy"))
+
+
+@query
+def slice_overlaps(spark, sf_dir):
+    return sl.slice_overlaps(_sliced(spark, sf_dir), list(SLICES))
+
+
+@query
+def slice_weights(spark, sf_dir):
+    """Training weights of the documents with a class, from the slices in which the majority vote is wrong more often."""
+    marked = durable(_sliced(spark, sf_dir).where("class is not null"))
+    marked = marked.withColumn("wrong", (F.col("predicted") != F.col("class")).cast("double"))
+    residuals = sl.slice_residuals(marked, "wrong", list(SLICES))
+    return sl.residual_weights(marked, residuals, len(SLICES)).select("doc_id", _r("weight", "weight"))
+
+
 # --- topics -----------------------------------------------------------------------------------
 
 N_TOPICS, N_TERMS = 4, 300
