@@ -17,6 +17,44 @@ def test_retrieval_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
+def test_csv_in_pieces(spark, tmp_path):
+    """Without newlines in fields a file is read by many tasks."""
+    rows = [(str(i), f"name, {i}", "12", 'a "quoted" text ' * 20, i / 7, "x" * 50, "3") for i in range(2000)]
+    files.write_csv(spark.createDataFrame(rows, schemas.RETRIEVAL).coalesce(1), str(tmp_path / "csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        split = files.read_csv(spark, str(tmp_path / "csv"), multi_line=False)
+        assert split.rdd.getNumPartitions() > 4 and sorted(map(tuple, split.collect())) == sorted(rows)
+        assert files.read_csv(spark, str(tmp_path / "csv")).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_text_folders_are_bounded(spark, tmp_path):
+    frame = spark.range(3000).select((F.col("id") % 700).alias("doc_id"), F.col("id").alias("para_id"),
+                                     F.concat(F.lit("a\tb "), F.col("id").cast("string")).alias("text")).repartition(5)
+    files.write_texts(frame, str(tmp_path / "out"), folders=4)
+    assert len(list((tmp_path / "out").glob("folder=*"))) == 4
+    back = files.read_text_folders(spark, str(tmp_path / "out"))
+    assert sorted((int(r.doc), r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in frame.collect())
+    for folder in (tmp_path / "out").glob("folder=*"):
+        lines = [line.split("\t", 1) for part in sorted(folder.glob("part-*")) for line in part.read_text().splitlines()]
+        seen = [(int(doc), int(text.split(" ")[1])) for doc, text in lines]
+        assert seen == sorted(seen)
+
+
+def test_texts_are_not_shuffled(spark, sf_dir):
+    """Votes and picked keys meet the labels; the texts stay where they are read."""
+    from weakloom.plans import queries
+    for name in ("row_preview", "noisy_labels"):
+        plan = queries.all_queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+        physical = plan[plan.index("== Physical Plan =="):]
+        below = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+        assert not any("text#" in line for line in below)
+        for line in physical.splitlines():
+            assert not ("Exchange" in line and "RoundRobin" in line)
+
+
 def test_inputs_and_texts(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"x")
     (tmp_path / "b.txt").write_text("one\ntwo")

@@ -36,15 +36,23 @@ def occurrences(token_array: str, words: Iterable[str]) -> Column:
     return F.expr(f"filter(transform({token_array}, (t, i) -> named_struct('word', t, 'at', i)), x -> x.word IN ({lit.strings(words)}))")
 
 
-def stem_occurrences(token_array: str, stems: Iterable[str]) -> Column:
-    """As ``occurrences``, for tokens with one of the stems, which takes the token's place.
+def stem_forms(token_array: str, stems: Iterable[str]) -> Column:
+    """Map of the tokens of the array that have one of the stems to that stem.
 
-    Tokens are stemmed in the row, so no form is missed. Their first letters keep most of them out of it.
+    Each distinct token of a row is looked at once; one pattern over first letters keeps most of them out of the stemmer.
     """
     stems = list(stems)
-    likely = F.filter(F.transform(token_array, lambda t, i: F.struct(t.alias("word"), i.alias("at"))),
-                      lambda x: x["word"].rlike(prefix_pattern(stems)))
-    return F.filter(stem_array(likely), lambda x: x["word"].isin(stems))
+    likely = F.filter(F.array_distinct(token_array), lambda t: t.rlike(prefix_pattern(stems)))
+    # The stemmer carries a second field along; here it is the token itself.
+    stemmed = F.filter(stem_array(F.transform(likely, lambda t: F.struct(t.alias("word"), t.alias("at")))), lambda x: x["word"].isin(stems))
+    return F.map_from_entries(F.transform(stemmed, lambda x: F.struct(x["at"].alias("key"), x["word"].alias("value"))))
+
+
+def stem_occurrences(token_array: str, forms: str) -> Column:
+    """As ``occurrences``, for the tokens of a row that are in its map ``forms``; the stem takes the token's place."""
+    placed = F.transform(token_array, lambda t, i: F.struct(F.element_at(F.col(forms), t).alias("word"), i.alias("at")))
+    return F.when(F.size(forms) > 0, F.filter(placed, lambda x: x["word"].isNotNull())).otherwise(
+        F.array().cast("array<struct<word:string,at:int>>"))
 
 
 def adjacent(words: str, at: str, n: int) -> Column:

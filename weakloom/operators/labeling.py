@@ -151,7 +151,9 @@ def with_occurrences(df: DataFrame, text: str, lexicon: Lexicon, out: str = "_hi
     if not lexicon.words:
         hits = F.lit(None).cast("array<struct<word:string,at:int>>")
     elif lexicon.stemmed:
-        hits = tk.stem_occurrences("_tokens", lexicon.words)
+        # A stage of its own: the stems of a row are made before its tokens are looked up in them.
+        tokenised = tokenised.select(*kept, "_tokens", tk.stem_forms("_tokens", lexicon.words).alias("_forms"))
+        hits = tk.stem_occurrences("_tokens", "_forms")
     else:
         hits = tk.occurrences("_tokens", lexicon.words)
     return tokenised.select(*kept, hits.alias(out))

@@ -106,12 +106,17 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_or
     return a.join(b, position)
 
 
+def keys_at(df: DataFrame, order: str, first: int, last: int | None = None, major: Sequence[str] = (),
+            position: str = "position") -> DataFrame:
+    """``(major…, order, position)`` at the 0-based positions ``first`` … ``last`` of the order; reads only these columns."""
+    return scan.row_keys(df, order, position, major).where(F.col(position).between(first, first if last is None else last))
+
+
 def rows_at(df: DataFrame, order: str, first: int, last: int | None = None, major: Sequence[str] = (),
             position: str = "position") -> DataFrame:
     """Rows at the 0-based positions ``first`` … ``last`` of the order."""
-    last = first if last is None else last
-    keys = scan.row_keys(df, order, position, major).where(F.col(position).between(first, last))
     # As many keys as rows asked for; the table itself is not moved.
+    keys = keys_at(df, order, first, last, major, position)
     return df.join(F.broadcast(keys), [*major, order]).select(*df.columns, position)
 
 

@@ -6,7 +6,7 @@ the Spark side; only phrase lists and rule parameters come from the same tables.
 
 from __future__ import annotations
 
-from weakloom.functions import lexicons, stem
+from weakloom.functions import lexicons
 from weakloom.operators import labeling as lb
 from weakloom.plans import standins as sd
 
@@ -163,6 +163,27 @@ FROM spans JOIN best USING (doc_id, begin) JOIN tok USING (doc_id)"""
 
 # --- stemming ---------------------------------------------------------------------------------
 
+# Fixed values of the published algorithm, written down here once more so that a wrong entry in the library shows.
+PAIRS_2 = ("ational ate, tional tion, enci ence, anci ance, abli able, entli ent, izer ize, ization ize, ation ate, ator ate, alism al, aliti al, alli al, "
+           "fulness ful, ousli ous, ousness ous, iveness ive, iviti ive, biliti ble, bli ble, ogi og, fulli ful, lessli less, li -")
+PAIRS_3 = "ational ate, tional tion, alize al, icate ic, iciti ic, ical ic, ful -, ness -, ative -"
+ENDINGS_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+IRREGULAR = ("skis ski, skies sky, dying die, lying lie, tying tie, idly idl, gently gentl, ugly ugli, early earli, only onli, singly singl, sky sky, "
+             "news news, howe howe, atlas atlas, cosmos cosmos, bias bias, andes andes, inning inning, innings inning, outing outing, outings outing, "
+             "canning canning, cannings canning, herring herring, herrings herring, earring earring, earrings earring, proceed proceed, "
+             "proceeds proceed, proceeded proceed, proceeding proceed, exceed exceed, exceeds exceed, exceeded exceed, exceeding exceed, "
+             "succeed succeed, succeeds succeed, succeeded succeed, succeeding succeed")
+
+
+def _pairs(text: str) -> dict[str, str]:
+    """Suffix (or word) and what takes its place; the longest first, as the longest suffix counts."""
+    table = {a: b.strip("-") for a, b in (pair.split() for pair in text.split(","))}
+    return dict(sorted(table.items(), key=lambda x: -len(x[0])))
+
+
+STEP2, STEP3, STEP4 = _pairs(PAIRS_2), _pairs(PAIRS_3), sorted(ENDINGS_4, key=len, reverse=True)
+
+
 def _any(suffixes) -> str:
     return "(" + "|".join(suffixes) + ")$"
 
@@ -197,21 +218,21 @@ s6 AS (SELECT token, r1, r2, CASE WHEN NOT gone THEN w WHEN regexp_matches(w, '(
        ELSE w END AS w FROM s5),
 s7 AS (SELECT token, r1, r2, CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$')
        THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM s6),
-s8 AS (SELECT *, regexp_extract(w, '{_any(stem.STEP2)}', 0) AS s FROM s7),
+s8 AS (SELECT *, regexp_extract(w, '{_any(STEP2)}', 0) AS s FROM s7),
 s9 AS (SELECT token, r1, r2, CASE WHEN s = '' OR NOT {in1} THEN w WHEN s = 'ogi' AND w NOT LIKE '%logi' THEN w
        WHEN s = 'li' AND NOT regexp_matches(w, '[cdeghkmnrt]li$') THEN w
-       ELSE {cut} || {_case(stem.STEP2, "s")} END AS w FROM s8),
-s10 AS (SELECT *, regexp_extract(w, '{_any(stem.STEP3)}', 0) AS s FROM s9),
+       ELSE {cut} || {_case(STEP2, "s")} END AS w FROM s8),
+s10 AS (SELECT *, regexp_extract(w, '{_any(STEP3)}', 0) AS s FROM s9),
 s11 AS (SELECT token, r1, r2, CASE WHEN s = '' OR NOT {in1} OR (s = 'ative' AND NOT {in2}) THEN w
-        ELSE {cut} || {_case(stem.STEP3, "s")} END AS w FROM s10),
-s12 AS (SELECT *, regexp_extract(w, '{_any(stem.STEP4)}', 0) AS s FROM s11),
+        ELSE {cut} || {_case(STEP3, "s")} END AS w FROM s10),
+s12 AS (SELECT *, regexp_extract(w, '{_any(STEP4)}', 0) AS s FROM s11),
 s13 AS (SELECT token, r1, r2, CASE WHEN s = '' OR NOT {in2} OR (s = 'ion' AND NOT regexp_matches(w, '[st]ion$'))
         THEN w ELSE {cut} END AS w FROM s12),
 s14 AS (SELECT token, CASE WHEN w LIKE '%ll' AND length(w) - 1 >= r2 THEN left(w, length(w) - 1)
         WHEN w LIKE '%e' AND length(w) - 1 >= r2 THEN left(w, length(w) - 1)
         WHEN w LIKE '%e' AND length(w) - 1 >= r1 AND length(w) >= 4
         AND NOT regexp_matches(left(w, length(w) - 1), '{short}') THEN left(w, length(w) - 1) ELSE w END AS w FROM s13),
-stems AS (SELECT token, coalesce({_case(stem.IRREGULAR, "token")},
+stems AS (SELECT token, coalesce({_case(_pairs(IRREGULAR), "token")},
           CASE WHEN length(token) <= 2 THEN token ELSE replace(w, 'Y', 'y') END) AS stem FROM s14)"""
 
 

@@ -96,8 +96,8 @@ def matrix_round_trip(spark, sf_dir):
 @query
 def text_sink_round_trip(spark, sf_dir):
     path = fresh_path(spark, "texts")
-    files.write_texts(corpus.prepare_corpus(_conversations(spark, sf_dir)), path)
-    return spark.read.schema("value string, doc_id long").text(path).select("doc_id", F.col("value").alias("text"))
+    files.write_texts(corpus.prepare_corpus(_conversations(spark, sf_dir)), path, folders=16)
+    return files.read_text_folders(spark, path).select(F.col("doc").cast("long").alias("doc_id"), "text")
 
 
 # --- text structuring ---------------------------------------------------------------------
@@ -345,8 +345,10 @@ def row_lookup(spark, sf_dir):
 
 @query
 def row_preview(spark, sf_dir):
-    gold = sd.gold_documents(spark, sf_dir).select("doc_id", "class", "text")
-    return retrieval.rows_at(gold, "doc_id", 50, 51)
+    # Two keys are picked and meet their labels before any text is read.
+    docs = sd.table(spark, sf_dir, "documents").select("doc_id", "text")
+    picked = retrieval.keys_at(docs, "doc_id", 50, 51).join(sd.gold_labels(spark, sf_dir), "doc_id", "left")
+    return docs.join(F.broadcast(picked), "doc_id").select("doc_id", "class", "text", "position")
 
 
 # --- labeling rules -------------------------------------------------------------------------
@@ -651,10 +653,12 @@ def stored_model_posteriors(spark, sf_dir):
 @query
 def noisy_labels(spark, sf_dir):
     """The whole labeling plan in stemmed mode: fit on gold documents, label all countries."""
-    gold = sd.gold_documents(spark, sf_dir).withColumnRenamed("text", "sentences")
-    target = _countries(spark, sf_dir).withColumnRenamed("text", "sentences")
-    fitted = plan.fit_labels(gold, groups=sd.PHRASES)
-    return fitted.apply(target, "sentences").select("country", "doc_id", _digits(), *_proba_columns(), "predicted")
+    lexicon = plan.lexicon_of(spark, sd.PHRASES)
+    # The texts are read once and stay in the scan; gold rows and the rows to label are the same documents.
+    voted = durable(lb.vote_matrix(_countries(spark, sf_dir), "text", RULES, lexicon).select("country", "doc_id", "votes"))
+    labelled = voted.join(sd.gold_labels(spark, sf_dir), "doc_id", "left")
+    fitted = plan.fit_votes(labelled.select("class", "votes"), "class", RULES, lexicon)
+    return fitted.apply_votes(voted).select("country", "doc_id", _digits(), *_proba_columns(), "predicted")
 
 
 def _majority(spark, sf_dir):
