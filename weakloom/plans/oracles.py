@@ -140,6 +140,28 @@ def topic_round_sql(n_topics: int, steps: int, smoothing: float) -> str:
     sums = " UNION ALL ".join(f"SELECT {k} AS topic, term, sum(n * m{k} * f{k} / ({total})) + {smoothing} AS s FROM e{steps} GROUP BY term" for k in ks)
     ctes.append(f"sums AS ({sums})")
     return "WITH " + ",\n".join(ctes) + "\nSELECT topic, term, round(s / sum(s) OVER (PARTITION BY topic), 6) AS share FROM sums"
+# --- sentence vectors ---------------------------------------------------------------------------
+
+TOKEN_WEIGHTS = f"""words AS MATERIALIZED (SELECT doc_id, unnest({TOKENS}) AS token FROM documents),
+weights AS MATERIALIZED (SELECT token, count(*) / (SELECT count(*) FROM words) AS share FROM words GROUP BY token)"""
+
+
+def sentence_vectors_sql(width: int, rounds: int) -> str:
+    ctes = [TOKEN_WEIGHTS, f"vocabulary AS (SELECT DISTINCT unnest({TOKENS}) AS token FROM benchmark)",
+            "vectors AS (SELECT token, embedding::DOUBLE[] AS v FROM vocabulary JOIN embeddings ON vec_id = 5 * length(token))",
+            f"weighted AS MATERIALIZED (SELECT token, i - 1 AS i, v[i] * (0.001 / (0.001 + share)) AS x FROM vectors JOIN weights USING (token), range(1, {width + 1}) r(i))",
+            "found AS MATERIALIZED (SELECT doc_id, i, avg(x) AS x FROM words JOIN weighted USING (token) GROUP BY ALL)",
+            f"means AS MATERIALIZED (SELECT d.doc_id, r.i, coalesce(f.x, 0) AS x FROM documents d CROSS JOIN range({width}) r(i) "
+            "LEFT JOIN found f ON f.doc_id = d.doc_id AND f.i = r.i)",
+            f"u0 AS (SELECT i, 1 / sqrt({width}) AS u FROM range({width}) r(i))"]
+    for k in range(1, rounds + 1):
+        ctes.append(f"s{k} AS MATERIALIZED (SELECT doc_id, sum(x * u) AS s FROM means JOIN u{k - 1} USING (i) GROUP BY doc_id)")
+        ctes.append(f"w{k} AS MATERIALIZED (SELECT i, sum(x * s) AS w FROM means JOIN s{k} USING (doc_id) GROUP BY i)")
+        ctes.append(f"u{k} AS MATERIALIZED (SELECT i, w / sqrt((SELECT sum(w * w) FROM w{k})) AS u FROM w{k})")
+    ctes.append(f"along AS MATERIALIZED (SELECT doc_id, sum(x * u) AS s FROM means JOIN u{rounds} USING (i) GROUP BY doc_id)")
+    return ("WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, i::INT AS at, round(x - u * s, 6) AS value FROM means JOIN u{rounds} USING (i) "
+            "JOIN along USING (doc_id)")
+
 
 # --- phrases ----------------------------------------------------------------------------------
 
@@ -589,6 +611,8 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
 
     o["paragraph_states"] = f"WITH RECURSIVE {state_ctes(sd.STATES)}\nSELECT doc_id, t AS para_id, " + ", ".join(
         f"round(g{i}, 6) AS p_{i}" for i in range(sd.STATES.n_states)) + " FROM gamma"
+    o["token_weights"] = f"WITH {TOKEN_WEIGHTS} SELECT token, round(share, 6) AS share, round(0.001 / (0.001 + share), 6) AS weight FROM weights"
+    o["sentence_vectors"] = sentence_vectors_sql(64, 3)
     o["phrase_spans"] = phrase_spans_sql()
     o["slice_scores"] = _with(SLICED, SLICE_SCORES)
     order = "CASE {0}.slice " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(

@@ -21,6 +21,7 @@ from weakloom.operators import lf_stats, retrieval, stemming
 from weakloom.operators import phrase_spans as ps
 from weakloom.operators import rule_structure as rs
 from weakloom.operators import search
+from weakloom.operators import sentence_vectors as sv
 from weakloom.operators import slices as sl
 from weakloom.operators import structuring as st
 from weakloom.operators import topics as tp
@@ -815,6 +816,18 @@ def slice_weights(spark, sf_dir):
     return sl.residual_weights(marked, residuals, len(SLICES)).select("doc_id", _r("weight", "weight"))
 
 
+@query
+def token_weights(spark, sf_dir):
+    return sv.token_weights(_documents(spark, sf_dir), "text").select("token", _r("share", "share"), _r("weight", "weight"))
+
+
+@query
+def sentence_vectors(spark, sf_dir):
+    """Every document's vector after three rounds towards the shared direction."""
+    found = sv.sentence_vectors(_documents(spark, sf_dir), "doc_id", "text", sd.token_vectors(spark, sf_dir), 64, rounds=3)
+    return found.select(F.col("key").alias("doc_id"), F.posexplode("vector").alias("at", "value")).select("doc_id", "at", _r("value", "value"))
+
+
 # --- topics -----------------------------------------------------------------------------------
 
 N_TOPICS, N_TERMS = 4, 300
