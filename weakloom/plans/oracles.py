@@ -6,6 +6,8 @@ the Spark side; only phrase lists and rule parameters come from the same tables.
 
 from __future__ import annotations
 
+import re
+
 from weakloom.functions import lexicons
 from weakloom.operators import labeling as lb
 from weakloom.plans import standins as sd
@@ -416,6 +418,27 @@ round(accuracy, 6) AS accuracy FROM (SELECT slice, k.class::INT AS class, count(
 count(*) FILTER (p.class <> k.class AND predicted = k.class) AS wrong, count(*) FILTER (p.class = k.class AND predicted <> k.class) AS missed,
 avg((p.class = predicted)::INT) AS accuracy FROM parts p, range(1, 4) k(class) WHERE p.class IS NOT NULL GROUP BY ALL)"""
 
+# --- rules as sentences -----------------------------------------------------------------------
+
+def sentence_ctes(votes_of: str) -> str:
+    """CTEs up to ``spoken(doc_id, rule_no, rule, vote)``; ``votes_of`` gives ``tok`` and ``dist`` of the near rule's groups."""
+    checks = [
+        ("has_license", 3, "contains(low, 'license') OR contains(low, 'ention')"),
+        ("fines_near_funds", 2, "gap_negative_nouns_x_funds <= 8"),
+        ("short_text", 1, f"len({TOKENS}) < 120 AND NOT contains(low, 'license')"),
+        ("die_before_und", 2, "strpos(low, 'die') > 0 AND strpos(low, 'und') > strpos(low, 'die')"),
+        ("many_budget_words", 3, f"len(list_filter({TOKENS}, lambda t: t IN ({', '.join(q(w) for w in sd.PHRASES['implementing'])}))) >= 6"),
+        ("any_length", 1, f"len({TOKENS}) > 0"),
+        ("long_text", 3, f"len({TOKENS}) > 300"),
+        ("long_text_again", 3, f"len({TOKENS}) > 300 OR contains(low, 'no such words')"),
+    ]
+    each = " UNION ALL ".join(f"SELECT doc_id, {i} AS rule_no, {q(name)} AS rule, CASE WHEN {check} THEN {vote} ELSE 0 END AS vote FROM {votes_of}"
+                              for i, (name, vote, check) in enumerate(checks))
+    return f"spoken AS MATERIALIZED ({each})"
+
+
+NEAR_SPOKEN = [lb.Rule("fines_near_funds", "near", lb.NEGATIVE, left="negative_nouns", right="funds", limit=9)]
+
 # --- losses -----------------------------------------------------------------------------------
 
 LOSSES = """raw AS (SELECT vec_id, label % 3 AS hard_label, [embedding[i]::DOUBLE * 10 for i in [1, 2, 3]] AS z,
@@ -611,6 +634,18 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
 
     o["paragraph_states"] = f"WITH RECURSIVE {state_ctes(sd.STATES)}\nSELECT doc_id, t AS para_id, " + ", ".join(
         f"round(g{i}, 6) AS p_{i}" for i in range(sd.STATES.n_states)) + " FROM gamma"
+    spoken = f"{distance_ctes(sd.PHRASES, NEAR_SPOKEN, 'documents', 'doc_id')},\n{sentence_ctes('dist')}"
+    o["sentence_rule_votes"] = _with(spoken, "SELECT doc_id, rule_no, rule, vote FROM spoken")
+    both = distance_ctes(sd.PHRASES, NEAR_SPOKEN, "documents", "doc_id")
+    for name in ("tok", "gram", "pos", "dist"):
+        both = re.sub(rf"\b{name}\b", f"{name}_spoken", both)
+    o["sentence_rule_report"] = _with(
+        f"{GOLD_VOTED},\n{MAJORITY},\n{both},\n{sentence_ctes('dist_spoken')},\n"
+        "facts AS (SELECT rule_no, any_value(rule) AS rule, avg((vote > 0)::INT) AS coverage, avg((vote = predicted)::INT) FILTER (vote > 0) AS agreement, "
+        "list(vote ORDER BY doc_id) AS every FROM spoken JOIN majority USING (doc_id) GROUP BY rule_no), "
+        "twins AS (SELECT a.rule_no, min(b.rule_no) AS same_as FROM facts a JOIN facts b ON a.every = b.every AND b.rule_no < a.rule_no GROUP BY a.rule_no)",
+        "SELECT rule_no, rule, round(coverage, 6) AS coverage, round(agreement, 6) AS agreement, same_as, "
+        "coverage BETWEEN 0.001 AND 0.98 AND same_as IS NULL AND coalesce(agreement, 1) >= 0.3 AS kept FROM facts LEFT JOIN twins USING (rule_no)")
     o["token_weights"] = f"WITH {TOKEN_WEIGHTS} SELECT token, round(share, 6) AS share, round(0.001 / (0.001 + share), 6) AS weight FROM weights"
     o["sentence_vectors"] = sentence_vectors_sql(64, 3)
     o["phrase_spans"] = phrase_spans_sql()

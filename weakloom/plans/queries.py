@@ -21,6 +21,7 @@ from weakloom.operators import lf_stats, retrieval, stemming
 from weakloom.operators import phrase_spans as ps
 from weakloom.operators import rule_structure as rs
 from weakloom.operators import search
+from weakloom.operators import sentence_rules as sr
 from weakloom.operators import sentence_vectors as sv
 from weakloom.operators import slices as sl
 from weakloom.operators import structuring as st
@@ -770,6 +771,26 @@ def state_likelihoods(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(found)), "round int, log_likelihood double")
 
 
+# --- rules as sentences -----------------------------------------------------------------------
+
+@query
+def sentence_rule_votes(spark, sf_dir):
+    """Votes of the rules written as sentences."""
+    rules, _ = sr.parse_all(sd.SENTENCES, sd.PHRASES)
+    return lb.long_votes(lb.vote_matrix(_documents(spark, sf_dir), "text", rules, _plain()), "doc_id", rules)
+
+
+@query
+def sentence_rule_report(spark, sf_dir):
+    """Which of them are kept: compared with each other, and with the majority of the rules built by hand, in one pass over the text."""
+    rules, _ = sr.parse_all(sd.SENTENCES, sd.PHRASES)
+    # Two matrices, as the tallies among the first count the rules of their own matrix.
+    by_hand = lb.vote_matrix(_documents(spark, sf_dir), "text", RULES, _plain())
+    by_hand = by_hand.select("doc_id", "text", lf_stats.majority_vote(F.col("votes")).alias("majority"))
+    report = sr.rule_report(lb.vote_matrix(by_hand, "text", rules, _plain()), "doc_id", [r.name for r in rules], "majority")
+    return report.select("rule_no", "rule", _r("coverage", "coverage"), _r("agreement", "agreement"), "same_as", "kept")
+
+
 # --- phrases and slices -------------------------------------------------------------------------
 
 @query

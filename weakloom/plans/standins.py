@@ -46,6 +46,17 @@ STATES = HiddenStates(
     step=((0.8, 0.15, 0.05), (0.1, 0.7, 0.2), (0.05, 0.25, 0.7)),
     emit=((0.30, 0.20, 0.15, 0.05, 0.15, 0.05, 0.05, 0.05), (0.05, 0.05, 0.05, 0.25, 0.05, 0.10, 0.15, 0.30),
           (0.10, 0.15, 0.10, 0.15, 0.10, 0.20, 0.10, 0.10)))
+# Rules as sentences; the last two vote alike, and one votes on every row.
+SENTENCES = {
+    "has_license": 'label positive because the text contains "license" or "ention"',
+    "fines_near_funds": "label negative because a phrase of negative_nouns is within 8 words of a phrase of funds",
+    "short_text": "label neutral because the text has fewer than 120 words and does not contain \"license\"",
+    "die_before_und": 'label negative because "die" comes before "und"',
+    "many_budget_words": "label positive because at least 6 words of the text are in implementing",
+    "any_length": "label neutral because the text has more than 0 words",
+    "long_text": "label positive because the text has more than 300 words",
+    "long_text_again": 'label positive because the text has more than 300 words or the text contains "no such words"',
+}
 # Characters from which a paragraph counts as long.
 LONG_PARAGRAPH = 60
 
