@@ -142,6 +142,33 @@ def topic_round_sql(n_topics: int, steps: int, smoothing: float) -> str:
     sums = " UNION ALL ".join(f"SELECT {k} AS topic, term, sum(n * m{k} * f{k} / ({total})) + {smoothing} AS s FROM e{steps} GROUP BY term" for k in ks)
     ctes.append(f"sums AS ({sums})")
     return "WITH " + ",\n".join(ctes) + "\nSELECT topic, term, round(s / sum(s) OVER (PARTITION BY topic), 6) AS share FROM sums"
+# --- entity links -------------------------------------------------------------------------------
+
+def entity_ctes(rounds: int) -> str:
+    """CTEs up to ``found`` (candidates), ``mentions`` and the ranks ``r0`` … after each round."""
+    ctes = [f"""bench AS (SELECT item_id, {TOKENS} AS t FROM benchmark), tok AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents),
+aliases AS MATERIALIZED (SELECT DISTINCT item_id AS entity, t[i] || ' ' || t[i + 1] AS alias FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM bench)),
+hits AS (SELECT doc_id, i, t[i] || ' ' || t[i + 1] AS mention FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM tok)),
+places AS (SELECT doc_id, list({{'e': i::BIGINT, 'm': [mention]}} ORDER BY i) AS c FROM hits WHERE mention IN (SELECT alias FROM aliases) GROUP BY doc_id),
+chosen AS (SELECT doc_id, list_reduce(list_prepend({{'e': 0::BIGINT, 'm': []::VARCHAR[]}}, c),
+           lambda a, x: CASE WHEN x.e >= a.e THEN {{'e': x.e + 2, 'm': list_append(a.m, x.m[1])}} ELSE a END).m AS m FROM places),
+mentions AS MATERIALIZED (SELECT doc_id AS doc, unnest(m) AS mention FROM chosen),
+names AS (SELECT DISTINCT mention AS name FROM mentions UNION SELECT alias FROM aliases),
+lettered AS MATERIALIZED (SELECT name, list_distinct(list_transform(range(1, length(name) + 1), lambda i: substring('^' || name || '$', i, 3))) AS g FROM names),
+grams AS MATERIALIZED (SELECT name, len(g) AS size, unnest(g) AS gram FROM lettered),
+pairs AS (SELECT a.name AS l, b.name AS r, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS score FROM grams a JOIN grams b USING (gram)
+          WHERE a.name IN (SELECT mention FROM mentions) AND b.name IN (SELECT alias FROM aliases) GROUP BY ALL HAVING score >= 0.6),
+found AS MATERIALIZED (SELECT l AS mention, entity, max(score) AS score FROM pairs JOIN aliases ON r = alias GROUP BY ALL),
+weights AS MATERIALIZED (SELECT doc, entity, sum(score) AS w FROM mentions JOIN found USING (mention) GROUP BY ALL),
+edges AS MATERIALIZED (SELECT doc, entity, w / sum(w) OVER (PARTITION BY entity) AS to_doc, w / sum(w) OVER (PARTITION BY doc) AS to_entity FROM weights),
+r0 AS (SELECT DISTINCT entity, 1.0 / (SELECT count(DISTINCT entity) FROM edges) AS rank FROM edges)"""]
+    for k in range(1, rounds + 1):
+        ctes.append(f"d{k} AS MATERIALIZED (SELECT doc, sum(rank * to_doc) AS s FROM edges JOIN r{k - 1} USING (entity) GROUP BY doc)")
+        ctes.append(f"r{k} AS MATERIALIZED (SELECT entity, 0.15 / (SELECT count(DISTINCT entity) FROM edges) + 0.85 * sum(s * to_entity) AS rank "
+                    f"FROM edges JOIN d{k} USING (doc) GROUP BY entity)")
+    return ",\n".join(ctes)
+
+
 # --- sentence vectors ---------------------------------------------------------------------------
 
 TOKEN_WEIGHTS = f"""words AS MATERIALIZED (SELECT doc_id, unnest({TOKENS}) AS token FROM documents),
@@ -646,6 +673,13 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
         "twins AS (SELECT a.rule_no, min(b.rule_no) AS same_as FROM facts a JOIN facts b ON a.every = b.every AND b.rule_no < a.rule_no GROUP BY a.rule_no)",
         "SELECT rule_no, rule, round(coverage, 6) AS coverage, round(agreement, 6) AS agreement, same_as, "
         "coverage BETWEEN 0.001 AND 0.98 AND same_as IS NULL AND coalesce(agreement, 1) >= 0.3 AS kept FROM facts LEFT JOIN twins USING (rule_no)")
+    o["entity_candidates"] = _with(entity_ctes(0), "SELECT mention, entity, round(score, 6) AS score FROM found")
+    o["entity_ranks"] = _with(entity_ctes(3), "SELECT entity, round(rank, 8) AS rank FROM r3")
+    o["entity_links"] = _with(
+        f"{entity_ctes(3)}, best AS (SELECT mention, entity, score, row_number() OVER (PARTITION BY mention ORDER BY round(score * rank, 15) DESC, entity) AS place "
+        "FROM found JOIN r3 USING (entity))",
+        "SELECT doc AS doc_id, mention, count(*) AS n, entity, round(score, 6) AS score FROM mentions LEFT JOIN (SELECT * FROM best WHERE place = 1) "
+        "USING (mention) GROUP BY ALL")
     o["token_weights"] = f"WITH {TOKEN_WEIGHTS} SELECT token, round(share, 6) AS share, round(0.001 / (0.001 + share), 6) AS weight FROM weights"
     o["sentence_vectors"] = sentence_vectors_sql(64, 3)
     o["phrase_spans"] = phrase_spans_sql()

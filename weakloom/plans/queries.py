@@ -12,6 +12,7 @@ from weakloom.functions import lexicons, loss, vectors
 from weakloom.functions import text as tx
 from weakloom.functions import tokens as tk
 from weakloom.operators import end_model as em
+from weakloom.operators import entity_links as el
 from weakloom.operators import evaluation as ev
 from weakloom.operators import features as ft
 from weakloom.operators import hmm
@@ -802,6 +803,40 @@ def phrase_spans(spark, sf_dir):
     return found.select("doc_id", "begin", "size", "phrase", "label")
 
 
+def _mentions(spark, sf_dir):
+    """Pairs of words that stand in a benchmark text, as names of that text, and their places in the documents."""
+    items = sd.table(spark, sf_dir, "benchmark").select("item_id", tk.tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    aliases = durable(items.select(F.col("item_id").alias("entity"), F.explode(pairs).alias("alias")).distinct())
+    listed = aliases.select(F.col("alias").alias("phrase")).distinct().withColumn("label", F.lit("item"))
+    spans = ps.find_phrases(_documents(spark, sf_dir), "doc_id", "text", listed)
+    return aliases, durable(spans.select(F.col("doc_id").alias("doc"), F.col("phrase").alias("mention")))
+
+
+@query
+def entity_candidates(spark, sf_dir):
+    """Benchmark texts with a name similar to one found in a document."""
+    aliases, mentions = _mentions(spark, sf_dir)
+    return el.candidates(mentions, aliases).select("mention", "entity", _r("score", "score"))
+
+
+@query
+def entity_ranks(spark, sf_dir):
+    """Ranks of the benchmark texts after three rounds between documents and texts."""
+    aliases, mentions = _mentions(spark, sf_dir)
+    graph = el.mention_graph(mentions, durable(el.candidates(mentions, aliases)))
+    return el.entity_ranks(graph, 3).select("entity", F.round("rank", 8).alias("rank"))
+
+
+@query
+def entity_links(spark, sf_dir):
+    """The benchmark text each name in a document is taken for."""
+    aliases, mentions = _mentions(spark, sf_dir)
+    found = durable(el.candidates(mentions, aliases))
+    return el.link_mentions(mentions, found, el.entity_ranks(el.mention_graph(mentions, found), 3)).select(
+        F.col("doc").alias("doc_id"), "mention", "n", "entity", _r("score", "score"))
+
+
 SLICES = {
     "english": "lang = 'en'", "german": "lang = 'de'", "long": "n_chars >= 2000", "short": "n_chars < 500",
     "many_votes": "size(filter(votes, v -> v > 0)) >= 10", "conflict": "size(array_distinct(filter(votes, v -> v > 0))) > 1",
