@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from weakloom.plans import oracles, queries
 
 QUERIES, ORACLES = queries.all_queries(), oracles.all_oracles()
-WITHOUT_SQL = {"baseline_model_scores", "dependent_posteriors", "experiment_losses", "fitted_class_scores", "indexed_neighbours", "rule_dependencies", "end_model_predictions", "end_model_scores", "label_model_posteriors", "noisy_labels",
+WITHOUT_SQL = {"augmented_documents", "baseline_model_scores", "dependent_posteriors", "experiment_losses", "fitted_class_scores", "indexed_neighbours", "rule_dependencies", "end_model_predictions", "end_model_scores", "label_model_posteriors", "noisy_labels",
                "state_likelihoods", "topic_mixtures"}
 
 

@@ -142,6 +142,32 @@ def topic_round_sql(n_topics: int, steps: int, smoothing: float) -> str:
     sums = " UNION ALL ".join(f"SELECT {k} AS topic, term, sum(n * m{k} * f{k} / ({total})) + {smoothing} AS s FROM e{steps} GROUP BY term" for k in ks)
     ctes.append(f"sums AS ({sums})")
     return "WITH " + ",\n".join(ctes) + "\nSELECT topic, term, round(s / sum(s) OVER (PARTITION BY topic), 6) AS share FROM sums"
+# --- words used alike ---------------------------------------------------------------------------
+
+WORD_INFORMATION = f"""{TOPIC_TERMS},
+placed AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {TOKENS} AS t FROM documents)),
+known AS MATERIALIZED (SELECT doc_id, i, t[i] AS term FROM placed WHERE t[i] IN (SELECT term FROM chosen)),
+near AS (SELECT x.term AS a, y.term AS b FROM known x JOIN known y ON x.doc_id = y.doc_id AND y.i IN (x.i + 1, x.i + 2) WHERE x.term <> y.term),
+meetings AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY ALL),
+alone AS (SELECT a AS word, sum(n) AS n FROM meetings GROUP BY a),
+vectors AS MATERIALIZED (SELECT a, b, ln(m.n::DOUBLE * (SELECT sum(n) FROM meetings) / (x.n::DOUBLE * y.n)) AS weight
+           FROM meetings m JOIN alone x ON x.word = a JOIN alone y ON y.word = b WHERE weight > 0)"""
+
+
+def word_neighbours_sql(tables: int, planes: int, most: int, similar: float) -> str:
+    return f"""WITH {WORD_INFORMATION},
+sums AS (SELECT a, p AS plane, sum(weight * CASE WHEN ('0x' || left(md5(b || ' ' || p), 1))::INT < 8 THEN 1.0 ELSE -1.0 END) AS s
+         FROM vectors, range({tables * planes}) r(p) GROUP BY ALL),
+buckets AS MATERIALIZED (SELECT a AS word, plane // {planes} AS t, sum(CASE WHEN s > 0 THEN 1 << (plane % {planes})::INT ELSE 0 END) AS bucket FROM sums GROUP BY ALL),
+pairs AS (SELECT DISTINCT x.word, y.word AS neighbour FROM buckets x JOIN buckets y USING (t, bucket) WHERE x.word <> y.word),
+norms AS (SELECT a AS word, sqrt(sum(weight * weight)) AS n FROM vectors GROUP BY a),
+dots AS (SELECT p.word, p.neighbour, sum(x.weight * y.weight) AS d FROM pairs p JOIN vectors x ON x.a = p.word
+         JOIN vectors y ON y.a = p.neighbour AND y.b = x.b GROUP BY ALL),
+cosines AS (SELECT d.word, neighbour, round(d / (x.n * y.n), 9) AS cosine FROM dots d JOIN norms x ON x.word = d.word JOIN norms y ON y.word = d.neighbour),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY cosine DESC, neighbour) AS rank FROM cosines WHERE cosine >= {similar})
+SELECT word, neighbour, round(cosine, 6) AS cosine, rank FROM ranked WHERE rank <= {most}"""
+
+
 # --- entity links -------------------------------------------------------------------------------
 
 def entity_ctes(rounds: int) -> str:
@@ -673,6 +699,8 @@ FROM long JOIN per_row USING (doc_id) GROUP BY rule_no""")
         "twins AS (SELECT a.rule_no, min(b.rule_no) AS same_as FROM facts a JOIN facts b ON a.every = b.every AND b.rule_no < a.rule_no GROUP BY a.rule_no)",
         "SELECT rule_no, rule, round(coverage, 6) AS coverage, round(agreement, 6) AS agreement, same_as, "
         "coverage BETWEEN 0.001 AND 0.98 AND same_as IS NULL AND coalesce(agreement, 1) >= 0.3 AS kept FROM facts LEFT JOIN twins USING (rule_no)")
+    o["word_information"] = f"WITH {WORD_INFORMATION} SELECT a, b, round(weight, 6) AS weight FROM vectors"
+    o["word_neighbours"] = word_neighbours_sql(8, 6, 5, 0.2)
     o["entity_candidates"] = _with(entity_ctes(0), "SELECT mention, entity, round(score, 6) AS score FROM found")
     o["entity_ranks"] = _with(entity_ctes(3), "SELECT entity, round(rank, 8) AS rank FROM r3")
     o["entity_links"] = _with(

@@ -26,6 +26,7 @@ from weakloom.operators import sentence_rules as sr
 from weakloom.operators import sentence_vectors as sv
 from weakloom.operators import slices as sl
 from weakloom.operators import structuring as st
+from weakloom.operators import synonyms as sy
 from weakloom.operators import topics as tp
 from weakloom.plans import corpus, training
 from weakloom.plans import labeling as plan
@@ -884,6 +885,32 @@ def sentence_vectors(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), F.posexplode("vector").alias("at", "value")).select("doc_id", "at", _r("value", "value"))
 
 
+# --- words used alike --------------------------------------------------------------------------
+
+def _word_vectors(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return docs, durable(sy.mutual_information(sy.meeting_words(docs, "text", tp.vocabulary(docs, "text", N_TERMS))))
+
+
+@query
+def word_information(spark, sf_dir):
+    """How much more often than by chance the most frequent words stand near each other."""
+    return _word_vectors(spark, sf_dir)[1].select("a", "b", _r("weight", "weight"))
+
+
+@query
+def word_neighbours(spark, sf_dir):
+    found = sy.neighbours(_word_vectors(spark, sf_dir)[1])
+    return found.select("word", "neighbour", _r("cosine", "cosine"), "rank")
+
+
+@query
+def augmented_documents(spark, sf_dir):
+    """A copy of every document with a fifth of the words that have neighbours replaced."""
+    docs, vectors = _word_vectors(spark, sf_dir)
+    return sy.augmented(docs, "doc_id", "text", sy.neighbours(vectors))
+
+
 # --- topics -----------------------------------------------------------------------------------
 
 N_TOPICS, N_TERMS = 4, 300
