@@ -221,6 +221,34 @@ def test_pipeline_judges_each_text_of_an_id(spark, tmp_path):
         assert plain.as_rows(found, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (3, d), (None, a)], key=repr)
 
 
+def test_names_used_inside_do_not_clash(spark, tmp_path):
+    """Columns with the names the stages use themselves pass through unchanged."""
+    spark.createDataFrame([(1, plain.odd_rows()[7][1])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["_id", "_row", "_gone", "_near", "_key", "_hit", "row_number", "group", "first", "component_id", "n_lines", "c0", "c1"]
+    given = plain.odd_documents(spark)
+    wide = given.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    docs, bare = wide, given.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, bare = (stored(stage(spark, d, str(tmp_path)), "test-names") for d in (docs, bare))
+        assert docs.columns == wide.columns
+        assert plain.as_rows(docs, "doc_id", "text") == plain.as_rows(bare, "doc_id", "text")
+        for r in docs.collect():
+            assert all(r[n] == (None if r.doc_id is None else f"{n} {r.doc_id}") for n in names)
+
+
+def test_many_letters(spark):
+    """A text with more different letters than a packed gram of a whole batch can tell apart."""
+    letters = "".join(chr(c) for c in range(0x20, 0x30000) if chr(c).isalpha())
+    assert len(set(letters.lower())) > 1 << 16
+    texts = [f"w{i} and so on" for i in range(4200)] + [letters]
+    found = language_id.count_grams(texts, np.arange(len(texts)))
+    alone = language_id.count_grams([letters], np.array([0]))
+    last = found.row == 4200
+    assert np.array_equal(found.gram[last], alone.gram) and np.array_equal(found.count[last], alone.count)
+    few = language_id.count_grams(texts[:3], np.array([7, 2, 7]))
+    assert set(few.row.tolist()) == {2, 7}
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     plain.odd_documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -234,7 +262,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 def test_registered(spark, sf_dir):
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "packing"]
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 

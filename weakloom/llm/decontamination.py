@@ -47,15 +47,17 @@ def test_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK
     """Read the test items in blocks of bounded size. Null texts and texts without words have no window."""
     names: list[str] = []
     hashes: list[np.ndarray] = []
+    held = 0
     for row in items.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
         words = words_of(pa.array([row.text], pa.string()), NOT_ALNUM, fold=True).hashes
         if not len(words) or row.item is None:
             continue
         names.append(row.item)
         hashes.append(words)
-        if sum(map(len, hashes)) >= block_words:
+        held += len(words)
+        if held >= block_words:
             yield _block(names, hashes, window)
-            names, hashes = [], []
+            names, hashes, held = [], [], 0
     if names:
         yield _block(names, hashes, window)
 

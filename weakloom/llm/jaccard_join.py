@@ -1,6 +1,6 @@
 """N-gram Jaccard join with skipping by set relations.
 
-Sets of equal shingles are folded into one first. Every set indexes its prefix: the tokens of which two
+Sets of equal shingles are folded into one first, and one document stands for them. Every such set indexes its prefix: the tokens of which two
 sets at the threshold must share one, rarest first, so that a passage in very many documents stays out of the prefixes. (How
 frequent a token is, is known for the most frequent ones, from batches and from first prefixes; any order common to all
 sets gives right results.) Only lists
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weakloom.llm import bitmap
 from weakloom.llm.graph import components
-from weakloom.llm.store import stored
+from weakloom.llm.store import Scratch
 from weakloom.llm.words import BLANK, mix, signed, slices, whole, windows, words_of
 
 SHINGLE = 4
@@ -160,24 +160,28 @@ def prefixes(sets: Sets, order: Order, percent: int) -> tuple[np.ndarray, np.nda
     return by[inside], place[inside]
 
 
-def prefix_tokens(docs: DataFrame, order: Broadcast, width: int, percent: int) -> DataFrame:
-    """``token, high`` of all prefixes."""
+def _of_classes(batch: pa.RecordBatch, nodes: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch that may stand for a class of equal sets."""
+    return batch.filter(pa.array(bitmap.contains(nodes, hashed_id(batch.column("doc_id").to_numpy()))))
+
+
+def prefix_tokens(docs: DataFrame, nodes: Broadcast, order: Broadcast, width: int, percent: int) -> DataFrame:
+    """``token`` of all prefixes of the documents that stand for their class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(_of_classes(batch, nodes.value), "text"):
                 sets = shingle_sets(part.column("text"), width)
                 at, _ = prefixes(sets, order.value, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(sets.token[at])), pa.array(signed(sets.high[sets.row[at]]))], ["token", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sets.token[at]))], ["token"])
 
-    return docs.mapInArrow(run, "token bigint, high bigint")
+    return docs.mapInArrow(run, "token bigint")
 
 
-def postings_of(docs: DataFrame, order: Broadcast, repeated: Broadcast, width: int, percent: int) -> DataFrame:
+def postings_of(docs: DataFrame, nodes: Broadcast, order: Broadcast, repeated: Broadcast, width: int, percent: int) -> DataFrame:
     """``doc_id, n, token, place`` of the prefix tokens that may be repeated; ``weight`` counts those of the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(_of_classes(batch, nodes.value), "text"):
                 sets = shingle_sets(part.column("text"), width)
                 at, place = prefixes(sets, order.value, percent)
                 hit = bitmap.contains(repeated.value, sets.token[at])
@@ -192,9 +196,8 @@ def postings_of(docs: DataFrame, order: Broadcast, repeated: Broadcast, width: i
 
 
 def _repeated(tokens: DataFrame) -> DataFrame:
-    """``token, n``: prefix tokens of two different sets or more, and how often they occur."""
-    return tokens.groupBy("token").agg(F.min("high").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("n")).where(
-        "least < most").select("token", "n")
+    """``token, n``: prefix tokens of two sets or more, and how often they occur. A set has a token once, and few sets are there twice."""
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def hashed_id(doc_id: np.ndarray) -> np.ndarray:
@@ -231,20 +234,23 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (n_a + n_b) * percent
 
 
-def compared(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def compared(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, label: str) -> DataFrame:
     """``a, b, n_a, n_b, overlap`` of pairs of documents, from the whole sets of just these documents."""
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    pairs = scratch.stored(pairs.select("a", "b").distinct(), "pairs")
     wanted = bitmap.gather(with_hash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "id_hash")
-    sets = stored(items_of(docs, docs.sparkSession.sparkContext.broadcast(wanted), width), "sets")
+    sets = scratch.stored(items_of(docs, docs.sparkSession.sparkContext.broadcast(wanted), width), "sets")
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("items").alias(f"items_{name}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).cast("bigint").alias("overlap"))
+    overlap = F.size(F.array_intersect("items_a", "items_b")).cast("bigint").alias("overlap")
+    found = scratch.stored(both.select("a", "b", "n_a", "n_b", overlap), label)
+    scratch.drop(pairs, sets)
+    return found
 
 
-def links(postings: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def links(scratch: Scratch, postings: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` that give the same components as all links between the sets."""
     # Round one: every set against the leaders of its lists.
     top = F.max(F.struct("weight", (-F.col("doc_id")).alias("id"), "n", "place"))
@@ -252,7 +258,7 @@ def links(postings: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     fit = _reaches(F.least(F.col("n") - F.col("place"), F.col("top.n") - F.col("top.place")), F.col("n"), F.col("top.n"), percent)
     pairs = postings.join(leaders, "token").where(fit & (F.col("doc_id") != -F.col("top.id"))).select(
         F.col("doc_id").alias("a"), (-F.col("top.id")).alias("b"))
-    first = stored(compared(pairs, docs, width), "leader-pairs")
+    first = compared(scratch, pairs, docs, width, "leader-pairs")
     linked = first.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent))
     label = components(linked.select("a", "b"))
     # Round two: lists that hold several components, in blocks of one leader each.
@@ -263,7 +269,7 @@ def links(postings: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         F.coalesce(-F.col("best.id"), F.col("doc_id")).alias("leader"),
         F.coalesce(F.col("n") - F.col("best.overlap"), F.lit(0)).alias("beyond"))
     mixed = known.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-    open_lists = stored(known.join(mixed.select("token"), "token", "left_semi"), "open-lists")
+    open_lists = scratch.stored(known.join(mixed.select("token"), "token", "left_semi"), "open-lists")
     blocks = open_lists.groupBy("token", "leader").agg(
         F.min("component").alias("component"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.max(F.col("n") - F.col("place")).alias("left"), F.max("beyond").alias("beyond"),
@@ -271,13 +277,14 @@ def links(postings: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     x, y = (blocks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"]) for s in "xy")
     may = (F.col("least_x") * percent <= F.col("most_y") * 100) & (F.col("least_y") * percent <= F.col("most_x") * 100)
     may &= _reaches(F.least("left_x", "left_y"), F.col("least_x"), F.col("least_y"), percent)
-    block_rows = stored(x.join(y, "token").where(
+    scratch.drop(postings)
+    block_rows = scratch.stored(x.join(y, "token").where(
         (F.col("leader_x") < F.col("leader_y")) & (F.col("component_x") != F.col("component_y")) & may), "block-rows")
     block_pairs = block_rows.groupBy("leader_x", "leader_y").agg(
         F.min("least_x").alias("least_x"), F.min("least_y").alias("least_y"), F.max("beyond_x").alias("beyond_x"), F.max("beyond_y").alias("beyond_y"),
         F.max(F.col("more_x") | F.col("more_y")).alias("more"))
-    heads = compared(block_pairs.select(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")), docs, width)
-    heads = stored(heads.join(block_pairs.withColumnsRenamed({"leader_x": "a", "leader_y": "b"}), ["a", "b"]), "block-pairs")
+    heads = compared(scratch, block_pairs.select(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")), docs, width, "block-heads")
+    heads = scratch.stored(heads.join(block_pairs.withColumnsRenamed({"leader_x": "a", "leader_y": "b"}), ["a", "b"]), "block-pairs")
     second = heads.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     # Members without anything beyond their leader were not compared either; only leaders alone are done.
     merged = components(linked.select("a", "b").unionByName(second))
@@ -294,7 +301,9 @@ def links(postings: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         ((F.col("doc_id_x") != F.col("leader_x")) | (F.col("doc_id_y") != F.col("leader_y"))) & _reaches(rest, F.col("n_x"), F.col("n_y"), percent)
         & _reaches(F.col("overlap") + F.col("beyond_x") + F.col("beyond_y"), F.col("n_x"), F.col("n_y"), percent))
     expanded = expanded.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
-    third = compared(expanded, docs, width).where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    third = compared(scratch, expanded, docs, width, "member-pairs")
+    scratch.drop(open_lists, block_rows)
+    third = third.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     return linked.select("a", "b").unionByName(second).unionByName(third)
 
 
@@ -309,20 +318,24 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    surveyed = stored(survey(slim, width), "shingle-survey")
+    scratch = Scratch(spark)
+    surveyed = scratch.stored(survey(slim, width), "shingle-survey")
     frequent = surveyed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
     members = surveyed.where("token is null").drop("token")
-    classes = stored(members.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node")), "set-classes")
+    classes = scratch.stored(members.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node")), "set-classes")
+    nodes = classes.select(F.col("node").alias("doc_id"))
+    standing = spark.sparkContext.broadcast(bitmap.gather(with_hash(nodes), "id_hash"))
     # The first prefixes only serve to count: what is frequent in them, too, goes to the end for the second ones.
     order = spark.sparkContext.broadcast(order_of(frequent))
-    counted = _repeated(prefix_tokens(slim, order, width, percent))
+    counted = scratch.stored(_repeated(prefix_tokens(slim, standing, order, width, percent)), "prefix-counts")
     order = spark.sparkContext.broadcast(order_of(frequent.unionByName(counted)))
-    bits = spark.sparkContext.broadcast(bitmap.gather(_repeated(prefix_tokens(slim, order, width, percent)), "token"))
-    nodes = classes.select(F.col("node").alias("doc_id"))
-    postings = stored(postings_of(slim, order, bits, width, percent), "postings").join(nodes, "doc_id", "left_semi")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    postings = stored(postings.join(lists, "token", "left_semi"), "lists")
-    label = components(links(postings, slim, width, percent))
+    scratch.drop(counted)
+    bits = spark.sparkContext.broadcast(bitmap.gather(_repeated(prefix_tokens(slim, standing, order, width, percent)), "token"))
+    every = scratch.stored(postings_of(slim, standing, order, bits, width, percent), "postings")
+    lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    postings = scratch.stored(every.join(lists, "token", "left_semi").join(nodes, "doc_id", "left_semi"), "lists")
+    scratch.drop(every)
+    label = components(links(scratch, postings, slim, width, percent))
     joined = members.join(classes, ["high", "low"], "left").join(label, "node", "left")
     found = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return joined.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),

@@ -49,6 +49,7 @@ class Grams(NamedTuple):
 
 def count_grams(texts: list[str | None], rows: np.ndarray, longest: int = LONGEST) -> Grams:
     """Count the n-grams of the texts by the given non-negative numbers, which may repeat."""
+    names, rows = np.unique(rows, return_inverse=True)
     lowered = [(t or "").lower() for t in texts]
     codes = np.frombuffer(" ".join(lowered).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
@@ -61,10 +62,9 @@ def count_grams(texts: list[str | None], rows: np.ndarray, longest: int = LONGES
     symbols, small = np.unique(codes, return_inverse=True)
     bits = max(1, int(len(symbols)).bit_length())
     if bits * longest + int(rows.max(initial=0)).bit_length() > 63:
-        if len(texts) > 1:  # a wild mixture of scripts: in halves
-            half = len(texts) // 2
-            return _merge([count_grams(texts[:half], rows[:half], longest), count_grams(texts[half:], rows[half:], longest)])
-        raise ValueError("one text with too many different characters")
+        # A wild mixture of scripts: in halves. One text alone has the number 0 and always fits.
+        half = len(texts) // 2
+        return _merge([count_grams(texts[:half], names[rows[:half]], longest), count_grams(texts[half:], names[rows[half:]], longest)])
     small = small.astype(np.int64) + 1
     letter = codes != _BLANK
     found = []
@@ -92,7 +92,7 @@ def count_grams(texts: list[str | None], rows: np.ndarray, longest: int = LONGES
     for k in range(longest):
         part = (packed >> (bits * (longest - 1 - k))) & ((1 << bits) - 1)
         gram |= wide[part] << (21 * (longest - 1 - k))
-    return Grams(packed >> (bits * longest), gram, count)
+    return Grams(names[packed >> (bits * longest)], gram, count)
 
 
 def _merge(parts: list[Grams]) -> Grams:
@@ -123,7 +123,8 @@ class Profiles(NamedTuple):
 
 
 def fit(train: DataFrame, lang: str = "lang", text: str = "text", size: int = PROFILE, longest: int = LONGEST) -> Profiles:
-    """Profiles of all labels, from all rows with a label. Nothing to learn from gives no profile."""
+    """Profiles of all labels, from all rows with a label. Nothing to learn from gives no profile, and more than ``MAX_LANGUAGES`` labels
+    raise ``ValueError``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("lang").dictionary_encode()

@@ -272,19 +272,24 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     columns are kept, but columns of the three names are replaced.
     """
     kept = docs.drop("n_lines", "n_removed", "n_near")
-    gone = repeated_lines(kept, edits, min_chars, text).groupBy("doc_id", "row").agg(
+    given = kept.columns
+    gone = repeated_lines(kept.select("doc_id", text), edits, min_chars, text).groupBy("doc_id", "row").agg(
         F.collect_set("line_no").alias("_gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("_near"))
     gone = stored(gone.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "lines-to-go")
-    row, doc_id = F.xxhash64("doc_id", text), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))
+    # Numbered names cannot clash with those used here.
+    own = kept.toDF(*[f"c{i}" for i in range(len(given))])
+    key, body = (f"c{[c.lower() for c in given].index(name.lower())}" for name in ("doc_id", text))
+    row, doc_id = F.xxhash64(key, body), F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_ID))
     touched = set_of(gone, "_row")(row)
-    lines = F.split(text, "\n")
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines")
+    lines = F.split(body, "\n")
+    n_lines = F.when(F.col(body).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines")
     zero = F.lit(0).cast("bigint")
-    same = kept.where(~touched).select("*", n_lines, zero.alias("n_removed"), zero.alias("n_near"))
-    joined = kept.where(touched).join(gone, (row == F.col("_row")) & (doc_id == F.col("_id")), "left")
+    counts = ["n_lines", "n_removed", "n_near"]
+    same = own.where(~touched).select("*", n_lines, zero.alias("n_removed"), zero.alias("n_near"))
+    joined = own.where(touched).join(gone, (row == F.col("_row")) & (doc_id == F.col("_id")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    left = F.when(F.col("_gone").isNull(), F.col(body)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     changed = joined.select(
-        *[left.alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns], n_lines,
+        *[left.alias(c) if c == body else F.col(c) for c in own.columns], n_lines,
         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("_near", F.lit(0)).cast("bigint").alias("n_near"))
-    return same.unionByName(changed)
+    return same.unionByName(changed).toDF(*given, *counts)
