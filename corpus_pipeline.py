@@ -5,8 +5,8 @@ works on everything the stage before kept. ``run`` writes each result to the sha
 
 * language_id drops documents without a letter (or text), for which no language can be told.
 * line_dedup takes out lines that are near an earlier one, and drops documents that lose all lines.
-* near_duplicates keeps, of each group of linked texts, the row with the smallest id, and the first of those without an id. Texts are
-  told apart by id and text; ties go to the smallest hash of these two, then of the whole row.
+* near_duplicates keeps, of each group of linked texts, the row with the smallest id, and the first of those without an id. Each row
+  is a text of its own, those of one id included; ties go to the row that stands first.
 * decontamination drops documents with a passage of a benchmark item.
 * packing returns the pieces of the remaining documents and their places in sequences of 4096 tokens.
 
@@ -56,17 +56,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of linked texts, and the first of those without an id."""
-    key = F.xxhash64("doc_id", "text")
-    row = F.xxhash64(*[F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind])
-    found = jaccard_join.near_duplicates(docs.select(key.alias("doc_id"), "text"), width=5, percent=80)
-    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    rows = docs.select(key.alias("_key"), "doc_id", row.alias("_row")).groupBy("_key", "doc_id").agg(F.min("_row").alias("_row"))
-    first = rows.join(found, "_key").groupBy("component_id", F.col("doc_id").isNull()).agg(
-        F.min(F.struct("doc_id", "_key", "_row")).alias("first"))
-    kept = stored(first.select("first._key", "first._row"), "near-duplicates")
-    left = docs.join(kept, (key == kept["_key"]) & (row == kept["_row"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"])
+    """The row with the smallest id of each group of linked texts, and the first of those without an id.
+
+    Rows are numbered in the table the stage before wrote, so what is kept is a column of numbers and no text is compared or moved for it.
+    """
+    own, back = _aside(docs, ("row_number",))
+    numbered = stored(own.withColumn("row_number", F.monotonically_increasing_id()), "numbered-documents")
+    found = jaccard_join.near_duplicates(numbered.select(F.col("row_number").alias("doc_id"), "text"), width=5, percent=80)
+    groups = found.select(F.col("doc_id").alias("row_number"), F.col("component_id").alias("group"))
+    ids = numbered.select("row_number", "doc_id")
+    # Of several rows of one id in a group the first in the table stays.
+    first = ids.join(groups, "row_number").groupBy("group", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row_number")).alias("first"))
+    kept = stored(first.select("first.row_number"), "near-duplicates")
+    return numbered.join(kept, "row_number", "left_semi").drop("row_number").withColumnsRenamed(back)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
