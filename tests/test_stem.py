@@ -61,8 +61,8 @@ def test_first_letters_lose_no_form(spark):
     from weakloom.functions import tokens as tk
     from weakloom.functions.stem import STEP2, STEP3, STEP4, stem_array, stem_words
 
-    heads = ["fin", "budg", "possib", "lie", "die", "ty", "dy", "conn", "relat", "hop", "hopp", "cr", "sk", "gener", "univers", "y", "happ"]
-    suffixes = ["", "s", "es", "ies", "ied", "y", "e", "ed", "ing", "ly", "edly", "ingly", "bility", "ble", "ings", *STEP2, *STEP3, *STEP4]
+    heads = ["fin", "budg", "possib", "lie", "die", "ty", "dy", "conn", "relat", "hop", "hopp", "cr", "sk", "gener", "univers", "y", "happ", "genome", "appliance", "adi", "formaliz"]
+    suffixes = ["", "s", "es", "ies", "ied", "y", "e", "ed", "ing", "ly", "edly", "ingly", "bility", "ability", "ators", "ble", "ings", *STEP2, *STEP3, *STEP4]
     words = sorted({h + a + b for h in heads for a in suffixes for b in ("", "s", "ing", "li")})
     frame = spark.createDataFrame([(w,) for w in words], "word string")
     rows = stem_words(frame, "word", "stem").collect()

@@ -61,7 +61,7 @@ def test_headers_across_pages(spark):
 
 def test_whole_documents_match_plain_python(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", "text", F.array_join(st.ordered_words(F.col("text"), 5), " ").alias("path"))
+        "doc_id", "text", F.array_join(F.slice(F.split("text", " ", -1), 1, 5), " ").alias("path"))
     rows = frame.collect()
     want = {}
     for r in rows:

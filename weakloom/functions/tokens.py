@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weakloom.functions import literals as lit
-from weakloom.functions.stem import stem_array
+from weakloom.functions.stem import STEP2, STEP3, STEP4, stem_array
 
 # Letters, digits and underscore of every script.
 WORD = r"[\p{L}\p{N}_]+"
@@ -99,8 +99,25 @@ def shared_head(stem: str) -> str:
     return stem[:-2] if stem.endswith("ble") or stem in ("die", "lie", "tie") else stem[:-1]
 
 
+def _ending_pattern() -> str:
+    """What can stand between the head of a word and its end: up to two letters, the rest of an ending whose beginning stayed in the stem, then
+    endings that the stemmer takes off or rewrites.
+
+    An ending may lack its last e (before ing), end in y instead of i, and ing and ed may follow a doubled letter.
+    """
+    listed = {*STEP2, *STEP3, *STEP4, "s", "es", "ies", "ied", "y", "i", "e", "l", "ed", "edly", "eed", "eedly", "ing", "ingly"}
+    # What an ending is rewritten to may be the end of a longer one: -bility becomes -ble, and -able goes.
+    listed |= {w.removesuffix(new) + old for old, new in {**STEP2, **STEP3}.items() if new for w in listed if w.endswith(new)}
+    listed |= {w[:-1] for w in listed if w.endswith("e") and len(w) > 1} | {w[:-1] + "y" for w in listed if w.endswith("i")}
+    rests = {w[i:] for w in listed for i in range(1, len(w))}
+
+    def either(words: set[str]) -> str:
+        return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+    return ".{0,2}(?:" + either(rests) + ")?(?:" + either(listed) + "|[bdfgmnprt](?=ed|ing))*$"
+
+
 def prefix_pattern(stems: Iterable[str]) -> str:
-    """Matches the tokens that may have one of the stems, by their first letters."""
-    heads = {shared_head(s) for s in stems if s}
-    shortest = sorted(h for h in heads if not any(h != o and h.startswith(o) for o in heads))
-    return "^(?:" + "|".join(re.escape(h) for h in shortest) + ")"
+    """Matches the tokens that may have one of the stems, by their first letters and their endings."""
+    heads = sorted({shared_head(s) for s in stems if s})
+    return "^(?:" + "|".join(re.escape(h) for h in heads) + ")" + _ending_pattern()
