@@ -123,21 +123,23 @@ def _rows(doc_id, n, high, low, token) -> pa.RecordBatch:
 
 
 class Order(NamedTuple):
-    """Frequent tokens by value, and their rank by frequency (from 1; all others are 0 and come first)."""
+    """Frequent tokens by value, and their rank by frequency (from 2). All others come first: those not known to be in two sets, then those
+    that may be (1)."""
 
     token: np.ndarray
     rank: np.ndarray
+    repeated: np.ndarray | None = None
 
 
-def order_of(counts: DataFrame) -> Order:
-    """The order from ``token, n``, which may hold a token more than once."""
+def order_of(counts: DataFrame, repeated: np.ndarray | None = None) -> Order:
+    """The order from ``token, n``, which may hold a token more than once, and a bit set of tokens known to be in two sets."""
     best = counts.groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token")
     found = best.limit(FREQUENT).toArrow()
     token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     rank = np.empty(len(token), np.int64)
-    rank[np.lexsort((token, n))] = np.arange(1, len(token) + 1)
+    rank[np.lexsort((token, n))] = np.arange(2, len(token) + 2)
     by_value = np.argsort(token)
-    return Order(token[by_value], rank[by_value])
+    return Order(token[by_value], rank[by_value], repeated)
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -150,10 +152,12 @@ def prefixes(sets: Sets, order: Order, percent: int) -> tuple[np.ndarray, np.nda
     if not len(sets.token):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank = np.zeros(len(sets.token), np.int64)
+    if order.repeated is not None:
+        rank += bitmap.contains(order.repeated, sets.token)
     if len(order.token):
         at = np.minimum(np.searchsorted(order.token, sets.token), len(order.token) - 1)
-        rank = np.where(order.token[at] == sets.token, order.rank[at], 0)
-    by = np.argsort(sets.row.astype(np.int64) * (FREQUENT + 1) + rank, kind="stable")
+        rank = np.where(order.token[at] == sets.token, order.rank[at], rank)
+    by = np.argsort(sets.row.astype(np.int64) * (FREQUENT + 2) + rank, kind="stable")
     size = np.diff(sets.first)
     place = np.arange(len(by)) - np.repeat(sets.first[:-1], size)
     inside = place < np.repeat(size - need(size, percent) + 1, size)
@@ -237,7 +241,8 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 def compared(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, label: str) -> DataFrame:
     """``a, b, n_a, n_b, overlap`` of pairs of documents, from the whole sets of just these documents."""
     pairs = scratch.stored(pairs.select("a", "b").distinct(), "pairs")
-    wanted = bitmap.gather(with_hash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "id_hash")
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct())
+    wanted = bitmap.gather(with_hash(ids), "id_hash")
     sets = scratch.stored(items_of(docs, docs.sparkSession.sparkContext.broadcast(wanted), width), "sets")
 
     def side(name: str) -> DataFrame:
@@ -273,7 +278,7 @@ def links(scratch: Scratch, postings: DataFrame, docs: DataFrame, width: int, pe
     blocks = open_lists.groupBy("token", "leader").agg(
         F.min("component").alias("component"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.max(F.col("n") - F.col("place")).alias("left"), F.max("beyond").alias("beyond"),
-        F.max(F.col("doc_id") != F.col("leader")).alias("more"))
+        F.max(F.col("doc_id") != F.col("leader")).alias("more"), F.count(F.lit(1)).alias("m"))
     x, y = (blocks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"]) for s in "xy")
     may = (F.col("least_x") * percent <= F.col("most_y") * 100) & (F.col("least_y") * percent <= F.col("most_x") * 100)
     may &= _reaches(F.least("left_x", "left_y"), F.col("least_x"), F.col("least_y"), percent)
@@ -282,7 +287,7 @@ def links(scratch: Scratch, postings: DataFrame, docs: DataFrame, width: int, pe
         (F.col("leader_x") < F.col("leader_y")) & (F.col("component_x") != F.col("component_y")) & may), "block-rows")
     block_pairs = block_rows.groupBy("leader_x", "leader_y").agg(
         F.min("least_x").alias("least_x"), F.min("least_y").alias("least_y"), F.max("beyond_x").alias("beyond_x"), F.max("beyond_y").alias("beyond_y"),
-        F.max(F.col("more_x") | F.col("more_y")).alias("more"))
+        F.max(F.col("more_x") | F.col("more_y")).alias("more"), F.sum(F.col("m_x") * F.col("m_y")).alias("in_lists"))
     heads = compared(scratch, block_pairs.select(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")), docs, width, "block-heads")
     heads = scratch.stored(heads.join(block_pairs.withColumnsRenamed({"leader_x": "a", "leader_y": "b"}), ["a", "b"]), "block-pairs")
     second = heads.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
@@ -293,16 +298,25 @@ def links(scratch: Scratch, postings: DataFrame, docs: DataFrame, width: int, pe
             f"merged_{s}", F.coalesce(f"merged_{s}", s))
     bound = F.col("overlap") + F.col("beyond_x") + F.col("beyond_y")
     left = heads.where(_reaches(bound, F.col("least_x"), F.col("least_y"), percent) & F.col("more") & (F.col("merged_a") != F.col("merged_b"))).select(
-        F.col("a").alias("leader_x"), F.col("b").alias("leader_y"), "overlap")
-    left = block_rows.select("token", "leader_x", "leader_y").join(left, ["leader_x", "leader_y"])
+        F.col("a").alias("leader_x"), F.col("b").alias("leader_y"), "overlap", "in_lists")
+    # Blocks that meet in many lists are expanded once, by their leaders; others in the lists they meet in.
+    held = open_lists.groupBy("leader", "doc_id").agg(F.min("n").alias("n"), F.min("beyond").alias("beyond"))
+    sizes = held.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
+    for s in "xy":
+        left = left.join(sizes.withColumnsRenamed({"leader": f"leader_{s}", "m": f"m_{s}"}), f"leader_{s}")
+    left = scratch.stored(left.withColumn("once", F.col("m_x") * F.col("m_y") < F.col("in_lists")), "blocks-left")
+    bound = F.col("overlap") + F.col("beyond_x") + F.col("beyond_y")
+    fit = ((F.col("doc_id_x") != F.col("leader_x")) | (F.col("doc_id_y") != F.col("leader_y"))) & _reaches(bound, F.col("n_x"), F.col("n_y"), percent)
+    x, y = (held.withColumnsRenamed({c: f"{c}_{s}" for c in held.columns}) for s in "xy")
+    whole_blocks = x.join(left.where("once").select("leader_x", "leader_y", "overlap"), "leader_x").join(y, "leader_y").where(fit)
+    in_lists = block_rows.select("token", "leader_x", "leader_y").join(
+        left.where("not once").select("leader_x", "leader_y", "overlap"), ["leader_x", "leader_y"])
     x, y = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in open_lists.columns if c != "token"]) for s in "xy")
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    expanded = x.join(left, ["token", "leader_x"]).join(y, ["token", "leader_y"]).where(
-        ((F.col("doc_id_x") != F.col("leader_x")) | (F.col("doc_id_y") != F.col("leader_y"))) & _reaches(rest, F.col("n_x"), F.col("n_y"), percent)
-        & _reaches(F.col("overlap") + F.col("beyond_x") + F.col("beyond_y"), F.col("n_x"), F.col("n_y"), percent))
-    expanded = expanded.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+    listed = x.join(in_lists, ["token", "leader_x"]).join(y, ["token", "leader_y"]).where(fit & _reaches(rest, F.col("n_x"), F.col("n_y"), percent))
+    expanded = whole_blocks.unionByName(listed, allowMissingColumns=True).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
     third = compared(scratch, expanded, docs, width, "member-pairs")
-    scratch.drop(open_lists, block_rows)
+    scratch.drop(open_lists, block_rows, left)
     third = third.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     return linked.select("a", "b").unionByName(second).unionByName(third)
 
@@ -325,10 +339,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     classes = scratch.stored(members.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node")), "set-classes")
     nodes = classes.select(F.col("node").alias("doc_id"))
     standing = spark.sparkContext.broadcast(bitmap.gather(with_hash(nodes), "id_hash"))
-    # The first prefixes only serve to count: what is frequent in them, too, goes to the end for the second ones.
+    # The first prefixes only serve to count: what is frequent in them, too, goes to the end for the second ones, and what is in two of
+    # them goes behind what is not.
     order = spark.sparkContext.broadcast(order_of(frequent))
     counted = scratch.stored(_repeated(prefix_tokens(slim, standing, order, width, percent)), "prefix-counts")
-    order = spark.sparkContext.broadcast(order_of(frequent.unionByName(counted)))
+    order = spark.sparkContext.broadcast(order_of(frequent.unionByName(counted), bitmap.gather(counted, "token")))
     scratch.drop(counted)
     bits = spark.sparkContext.broadcast(bitmap.gather(_repeated(prefix_tokens(slim, standing, order, width, percent)), "token"))
     every = scratch.stored(postings_of(slim, standing, order, bits, width, percent), "postings")
