@@ -165,7 +165,7 @@ def prefixes(sets: Sets, order: Order, percent: int) -> tuple[np.ndarray, np.nda
 
 
 def _of_classes(batch: pa.RecordBatch, nodes: np.ndarray) -> pa.RecordBatch:
-    """The rows of a batch that may stand for a class of equal sets."""
+    """The rows of a slice that may stand for a class of equal sets."""
     return batch.filter(pa.array(bitmap.contains(nodes, hashed_id(batch.column("doc_id").to_numpy()))))
 
 
@@ -173,7 +173,10 @@ def prefix_tokens(docs: DataFrame, nodes: Broadcast, order: Broadcast, width: in
     """``token`` of all prefixes of the documents that stand for their class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(_of_classes(batch, nodes.value), "text"):
+            for part in slices(batch, "text"):
+                part = _of_classes(part, nodes.value)
+                if not part.num_rows:
+                    continue
                 sets = shingle_sets(part.column("text"), width)
                 at, _ = prefixes(sets, order.value, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sets.token[at]))], ["token"])
@@ -185,7 +188,10 @@ def postings_of(docs: DataFrame, nodes: Broadcast, order: Broadcast, repeated: B
     """``doc_id, n, token, place`` of the prefix tokens that may be repeated; ``weight`` counts those of the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(_of_classes(batch, nodes.value), "text"):
+            for part in slices(batch, "text"):
+                part = _of_classes(part, nodes.value)
+                if not part.num_rows:
+                    continue
                 sets = shingle_sets(part.column("text"), width)
                 at, place = prefixes(sets, order.value, percent)
                 hit = bitmap.contains(repeated.value, sets.token[at])
