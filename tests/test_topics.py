@@ -82,3 +82,14 @@ def test_empty(spark):
     model, counts, _ = tp.fit_topics(blank, "doc_id", "text", 2)
     assert {tuple(r.mixture) for r in tp.mixtures(counts, model).collect()} == {(0.5, 0.5)}
     assert blank.select(tp.start_weight(F.lit("x"), 0).alias("w")).where("w < 1 or w >= 2").count() == 0
+
+
+def test_counts_are_made_for_whole_batches(spark):
+    """Rows without known terms keep their place, and no list of words is turned into Python objects."""
+    frame = spark.createDataFrame([(1, "b a b x"), (2, None), (3, "x"), (None, "a"), (4, "c b c")], "doc_id bigint, text string")
+    rows = tp.counted(frame.coalesce(1), "doc_id", "text", ["a", "b", "c"]).collect()
+    assert [(r.key, r.terms, r.counts) for r in rows] == [
+        (1, [0, 1], [1, 2]), (2, [], []), (3, [], []), (None, [0], [1]), (4, [1, 2], [1, 2])]
+    assert {r.key: r.terms for r in tp.counted(frame, "doc_id", "text", []).collect()} == {1: [], 2: [], 3: [], None: [], 4: []}
+    assert "as_py" not in "".join(
+        n for c in tp.counted.__code__.co_consts if hasattr(c, "co_names") for n in c.co_names)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,19 +66,19 @@ class Topics:
 def counted(df: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
     """``(key, terms, counts)``: places in the vocabulary and counts per row, written once. A row without known terms has empty arrays."""
     kind = df.schema[key].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    sent = df.sparkSession.sparkContext.broadcast(list(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = sent.value
+        listed = pa.array(sent.value, pa.string())
         for batch in batches:
-            found, numbers = [], []
-            for words in batch.column(1):
-                own = [places[w] for w in words.as_py() if w in places]
-                place, n = np.unique(np.array(own, np.int32), return_counts=True)
-                found.append(place)
-                numbers.append(n.astype(np.int32))
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))],
-                                  ["key", "terms", "counts"])
+            words = batch.column(1)
+            row = np.repeat(np.arange(len(words), dtype=np.int64), words.value_lengths().to_numpy())
+            place = pc.fill_null(pc.index_in(words.flatten().cast(pa.string()), listed), -1).to_numpy()
+            both, n = np.unique(row[place >= 0] * max(1, len(listed)) + place[place >= 0], return_counts=True)
+            row, place = np.divmod(both, max(1, len(listed)))
+            upto = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(upto, pa.array(place.astype(np.int32))),
+                                   pa.ListArray.from_arrays(upto, pa.array(n.astype(np.int32)))], ["key", "terms", "counts"])
 
     slim = df.select(F.col(key).alias("key"), tk.tokens(F.col(text)).alias("words"))
     return durable(slim.mapInArrow(count, f"key {kind}, terms array<int>, counts array<int>"))
