@@ -66,3 +66,14 @@ def test_small_lists_move_no_text(spark):
     table = spark.createDataFrame([("a", "x")], "phrase string, label string")
     plan = ps.find_phrases(frame, "doc_id", "text", table)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_runs_skip_what_no_phrase_holds():
+    """Only neighbours that stand side by side in a phrase, and words that are phrases, reach the automaton."""
+    import pyarrow as pa
+
+    runs = ps.Runs([["a", "b"], ["b", "c", "a"], ["d"]])
+    texts = pa.array([["x", "a", "b", "c", "x"], [], ["a", "a", "d", "d"], ["b"], ["c", "a"]])
+    assert list(runs.of(texts)) == [(0, 1, ["a", "b", "c"]), (2, 2, ["d"]), (2, 3, ["d"]), (4, 0, ["c", "a"])]
+    assert list(runs.of(texts[2:4])) == [(0, 2, ["d"]), (0, 3, ["d"])]
+    assert list(ps.Runs([]).of(texts)) == []

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +85,45 @@ def without_overlaps(found: Iterable[tuple[int, int, str | None]]) -> list[tuple
 _FOUND = "row bigint, key {kind}, begin int, size int, phrase string, label string"
 
 
-def _batch(texts: pa.Table | pa.RecordBatch, automaton: Automaton, choose: bool) -> pa.RecordBatch:
+class Runs:
+    """Where a phrase may stand: runs of tokens whose neighbours also stand side by side in a phrase, and single tokens that are phrases."""
+
+    def __init__(self, phrases: Sequence[Sequence[str]]) -> None:
+        self.words = pa.array(sorted({t for tokens in phrases for t in tokens}), pa.string())
+        number = {t: i for i, t in enumerate(self.words.to_pylist())}
+        self.single = np.zeros(len(number) + 1, bool)
+        self.single[[number[tokens[0]] for tokens in phrases if len(tokens) == 1]] = True
+        self.pairs = np.array(sorted({number[a] * len(number) + number[b] for tokens in phrases for a, b in zip(tokens, tokens[1:])}), np.int64)
+
+    def of(self, lists: pa.ListArray) -> Iterator[tuple[int, int, list[str]]]:
+        """``(text, place in it, tokens)``."""
+        words, lengths = lists.flatten().cast(pa.string()), lists.value_lengths().to_numpy()
+        if not len(words) or not len(self.words):
+            return
+        known = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        # Whether a token goes on with the one before it.
+        goes_on = np.zeros(len(known) + 1, bool)
+        at = np.flatnonzero((known[1:] >= 0) & (known[:-1] >= 0) & (text[1:] == text[:-1])) + 1
+        if len(self.pairs):
+            pair = known[at - 1] * len(self.words) + known[at]
+            goes_on[at] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
+        first = np.flatnonzero(~goes_on[:-1] & (goes_on[1:] | self.single[known]))
+        breaks = np.flatnonzero(~goes_on[1:]) + 1
+        for begin, end in zip(first.tolist(), breaks[np.searchsorted(breaks, first, side="right")].tolist()):
+            yield int(text[begin]), begin - int(begins[text[begin]]), words.slice(begin, end - begin).to_pylist()
+
+
+def _batch(texts: pa.Table | pa.RecordBatch, automaton: Automaton, runs: Runs, choose: bool) -> pa.RecordBatch:
     place, begins, sizes, phrases, labels = [], [], [], [], []
-    for i, words in enumerate(texts.column("words")):
-        tokens = words.as_py()
+    words = texts.column("words")
+    for i, offset, tokens in runs.of(words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words):
         found = [(begin, size, label) for begin, (size, label) in automaton.longest(tokens).items()]
+        # No phrase goes beyond its run.
         for begin, size, label in without_overlaps(found) if choose else found:
             place.append(i)
-            begins.append(begin)
+            begins.append(offset + begin)
             sizes.append(size)
             phrases.append(" ".join(tokens[begin:begin + size]))
             labels.append(label)
@@ -105,9 +138,9 @@ def _sent(texts: DataFrame, phrases: DataFrame, kind: str) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast([(r.tokens, r.label) for r in phrases.collect()])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(held.value)
+        automaton, runs = Automaton(held.value), Runs([tokens for tokens, _ in held.value])
         for batch in batches:
-            yield _batch(batch, automaton, True)
+            yield _batch(batch, automaton, runs, True)
 
     return texts.mapInArrow(find, _FOUND.format(kind=kind))
 
@@ -121,8 +154,8 @@ def _dealt(texts: DataFrame, phrases: DataFrame, kind: str, parts: int, per_task
                          F.pmod(F.xxhash64("row"), F.lit(tasks)).cast("int").alias("t_task"), "row", "key", "words")
 
     def find(own: pa.Table, words: pa.Table) -> pa.Table:
-        automaton = Automaton(zip(own["tokens"].to_pylist(), own["label"].to_pylist()))
-        return pa.Table.from_batches([_batch(words, automaton, False)])
+        tokens = own["tokens"].to_pylist()
+        return pa.Table.from_batches([_batch(words, Automaton(zip(tokens, own["label"].to_pylist())), Runs(tokens), False)])
 
     found = lists.groupBy("part", "task").cogroup(asked.groupBy("t_part", "t_task")).applyInArrow(find, _FOUND.format(kind=kind))
     # What is found in one text is no more than its tokens.
