@@ -200,3 +200,21 @@ def test_no_turns(spark):
     assert chat.read_back(chat.windows(turns, vocabulary_path(BYTES))).count() == 0
 
 
+
+
+def test_small_bit_sets(spark):
+    """Few hashes get few bits, many the full set; every hash of the set passes."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from weakloom.llm import bitmap
+
+    for n, size in ((0, 1 << 12), (1, 1 << 12), (1000, 1 << 17), (40000, 1 << 20)):
+        frame = spark.range(n).select(F.xxhash64("id").alias("h"))
+        words = bitmap.gather(frame, "h", bits=20)
+        assert len(words) * 64 == size
+        own = frame.toArrow()["h"].to_numpy().view(np.uint64)
+        assert bitmap.contains(words, own).all()
+        others = np.random.default_rng(3).integers(0, 2**63, 100000, np.uint64) * np.uint64(2)
+        assert bitmap.contains(words, others).mean() < (1 / 64 if size < 1 << 20 else 1 / 16)
+    assert bitmap.gather(spark.range(2000).select(F.xxhash64("id").alias("h")), "h").nbytes < 1 << 20
