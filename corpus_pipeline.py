@@ -49,7 +49,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without lines that are near an earlier line."""
     own, back = _aside(docs, ("n_lines", "n_removed", "n_near"))
     left = line_dedup.without_repeats(own)
-    left = left.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != ""))
+    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return left.drop("n_lines", "n_removed", "n_near").withColumnsRenamed(back)

@@ -1,12 +1,14 @@
 """Substring dedup, Jaccard join, line dedup and decontamination against plain versions."""
 
 import random
+from pathlib import Path
 
 import llm_plain as plain
 import pytest
 from pyspark.sql import functions as F
 
-from weakloom.llm import decontamination, graph, jaccard_join, line_dedup, substring_dedup
+from weakloom import session
+from weakloom.llm import decontamination, graph, jaccard_join, line_dedup, store, substring_dedup
 
 EMPTY = []
 
@@ -137,6 +139,48 @@ def test_lines_stay_in_the_engine(spark):
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_lines_of_all_lengths(spark, edits):
+    """Edits at all places of lines whose length is at the border of two sizes."""
+    pick, rows = random.Random(edits), []
+    for length in [24, 25, 27, 28, 29, 59, 60, 62, 63, 64, 65, 66, 79, 80, 81, 82, 96]:
+        base = "".join(pick.choice("abcdé ") for _ in range(length - 1)) + "."
+        lines = [base]
+        for k in range(3):
+            line = list(base)
+            for part in range(edits + (k == 2)):
+                at = min(len(line) - 1, (2 * part + 1) * len(line) // (2 * edits + 2) + pick.randint(-3, 3))
+                line[at:at + pick.randint(0, 1)] = pick.choice([[], ["z"], ["é"]])
+            lines.append("".join(line))
+        rows.append((len(rows), "\n".join(lines), "aa"))
+    found = line_dedup.without_repeats(plain.odd_documents(spark, rows), edits=edits)
+    assert line_rows(found) == plain.line_dedup(rows, edits)
+
+
+def test_line_tables_are_deleted(spark, monkeypatch):
+    """Of the tables of a run only the one that the result reads stays."""
+    made = []
+    monkeypatch.setattr(store, "fresh_path", lambda *args: made.append(session.fresh_path(*args)) or made[-1])
+    found = line_dedup.without_repeats(plain.odd_documents(spark))
+    left = [path for path in made if Path(path).exists()]
+    assert len(left) == 1 and "lines-to-go" in left[0]
+    assert line_rows(found) == plain.line_dedup(plain.odd_rows())
+
+
+def test_pieces_of_unrelated_lines(spark):
+    """Only pieces that two lines share are kept, and a line's own pieces are few."""
+    rows = [(k, "\n".join(plain.prose(1000 * k + j, 12, 10**6) for j in range(30)), "aa") for k in range(20)]
+    lines = line_dedup.hashed_lines(plain.odd_documents(spark, rows), 2, 24, "text")
+    assert lines.where("size(keys) + coalesce(size(more), 0) > 8").count() == 0
+    assert line_dedup.entries(lines).count() < lines.count() // 10
+
+
+def test_text_is_hashed_once(spark):
+    """The hash of a text is taken below the generator that makes its lines."""
+    plan = line_dedup.lines_of(plain.odd_documents(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64(doc_id")
+
+
 ITEMS = [(1, plain.odd_rows()[7][1]), (2, "ONE two"), (3, None), (4, "..."), (5, plain.prose(2, 40, 10**6)[:90]), (6, plain.prose(3, 25, 5000)), (7, "one, TWO!")]
 
 

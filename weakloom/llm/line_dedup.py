@@ -3,17 +3,18 @@
 A line goes when a line before it (by document id, then line number) is the same, or, for lines of ``min_chars``
 and more, at most ``edits`` edits away. What is before a line is judged on the input, not on what is left.
 
-Each line is cut into ``edits + 1`` segments, and looks up, for all lengths that may be near, its substrings
-that can still be a segment of a line within the threshold: after k edits to the left of a segment its place
-differs by k at most, and the edits to the left and right add up (multi-match-aware selection). Lines within the
-threshold share such a substring. Candidates whose letter counts, then whose three-character pieces differ by more than the edits
+Each line is cut into ``edits + 1`` cells, laid out for a size that lines of about one length share, the first half of them from the
+line's start and the others from its end. Of two lines within the threshold some cell i holds no edit and has at most i edits to one
+side and ``edits - i`` to the other, so its text is moved by the smaller of the two at most: the lines share a piece of that cell, looked at
+in that many places and one more (multi-match-aware selection). A line has about five such pieces, and only pieces of two different lines matter.
+Candidates whose lengths or letter counts, then whose three-character pieces differ by more than the edits
 can change are dropped; the others are verified by a banded bit-parallel edit distance, which holds the
 2 * edits + 1 diagonals of the matrix in the bits of two integers.
 
 Lines are told apart by 128 bits of hash, and one table of hashes serves all steps: equal lines fold into one
-row per task before anything is shuffled, so a line that a third of all documents share weighs nothing. A bit set of
-fixed size, broadcast as a table, drops substrings that are no line's segment (in large data it fills up, and
-more is shuffled; results stay). Texts are shuffled only for candidates and for documents that lose a line.
+row per task before anything is shuffled, so a line that a third of all documents share weighs nothing. Every piece is shuffled once, to find
+those that two lines share. Bit sets of fixed size, broadcast as tables, then pick the lines that hold such pieces or lose a line (should they
+fill up, more is shuffled; results stay). Texts are shuffled only for candidates and for documents that lose a line.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weakloom.functions.fence import fenced
-from weakloom.llm.store import stored
+from weakloom.llm.store import Scratch
 
 EDITS = 2
 MIN_CHARS = 24
-#: Bits of the sets, as powers of two: of keys (a table of 2**20 numbers) and of candidates (a literal of 128 KB).
+#: Bits of the sets, as powers of two: of keys and lines (a table of 2**20 numbers) and of documents (a literal of 128 KB).
 KEY_BITS = 26
 SET_BITS = 20
+#: Lengths that share a size, for lines of fewer than ``LONG`` characters and for others.
+STEPS = (4, 16)
+LONG = 64
 _NO_ID = -(1 << 63)
 #: Letters counted to tell lines apart before their texts are fetched.
 LETTERS = ("etaoinsh", "rdlucmpg")
@@ -39,34 +43,32 @@ COUNTS = tuple(f"letters_{k}" for k in range(len(LETTERS)))
 GRAM = 3
 
 
-def _key(length: str, number: int, shift: int, parts: int) -> str:
-    """Hash of segment ``number`` of a line with this length, taken ``shift`` characters further on in ``wide``.
+def _size(length: str, edits: int) -> str:
+    """Size that the cells of a line with this length are laid out for; lines that differ by ``edits`` characters have one of two sizes."""
+    short, far = (max(step, edits) for step in STEPS)
+    return f"if({length} < {LONG}, {length} div {short} * {short}, {LONG} + ({length} - {LONG}) div {far} * {far})"
 
-    ``wide`` has four bytes per character, so that a piece is found without a walk to it.
-    """
-    start, end = (f"(({length}) * {k} div {parts})" for k in (number, number + 1))
-    return f"xxhash64({length}, {number}, substring(wide, cast(({start} + {shift}) * 4 + 1 AS INT), cast(({end} - {start}) * 4 AS INT)))"
 
+def _slack(edits: int) -> list[int]:
+    """How far the text of each cell may have moved."""
+    return [min(i, edits - i) for i in range(edits + 1)]
 
-def index_keys(edits: int) -> Column:
-    """Keys of a line's own segments, from the columns ``wide`` and ``length``."""
-    parts = edits + 1
-    return F.expr(f"array({', '.join(_key('length', i, 0, parts) for i in range(parts))})")
 
+def _piece(size: str, edits: int) -> str:
+    """Bytes of a piece in ``wide``, which has four per character, so that a piece is found without a walk to it."""
+    return f"cast(greatest(0, ({size} - {sum(_slack(edits))}) div {edits + 1}) AS INT) * 4"
 
-def probe_keys(edits: int) -> Column:
-    """Keys of the substrings that may be segments of a line of the same length or up to ``edits`` characters less.
 
-    A line's own segments are left out: they are found among the segments of other lines.
-    """
-    parts, found = edits + 1, []
-    for shorter in range(edits + 1):
-        for i in range(parts):
-            # Segment i (from 0) has at most i edits to its left, or edits - i to its right.
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            found += [_key(f"length - {shorter}", i, shift, parts) for shift in range(low, high + 1) if shorter or shift]
-    return F.expr(f"array({', '.join(found)})")
+def _keys(size: str, piece: str, edits: int) -> str:
+    """Hashes of the pieces of all cells, as an array, from the columns ``wide``, ``length`` and these two."""
+    slack, found = _slack(edits), []
+    for i, most in enumerate(slack):
+        for shift in range(most + 1):
+            start = f"{piece} * {i} + {4 * (sum(slack[:i]) + shift) + 1}"
+            if 2 * i > edits:
+                start = f"length * 4 - {piece} * {edits + 1 - i} - {4 * (sum(slack[i + 1:]) + shift) - 1}"
+            found.append(f"xxhash64({size}, {i}, substring(wide, {start}, {piece}))")
+    return f"array({', '.join(found)})"
 
 
 def letter_counts(line: Column) -> list[Column]:
@@ -148,22 +150,28 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, row, line_no, id, guard, line`` of all lines that are not blank; ``row`` stands for id and text of the document."""
-    cut = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", text).alias("row"),
-                      F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # The hash of the text is taken before the text is cut, or it would be taken for every line.
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", text).alias("row"), F.col(text).alias("text"))
+    cut = whole.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     spoken = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return spoken.select("doc_id", "row", "line_no", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("guard"), "line")
 
 
 def hashed_lines(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFrame:
-    """The lines without their text, with the keys of those long enough."""
+    """The lines without their text, with the keys of those long enough.
+
+    ``keys`` are those of the line's pieces for its own size; ``more`` those for the size of lines with up to ``edits`` characters less, if it is another.
+    """
     lines = lines_of(docs, text).withColumn("length", F.char_length("line"))
-    counts = [c.alias(n) for n, c in zip(COUNTS, letter_counts(F.col("line")))]
+    held = ["doc_id", "row", "line_no", "id", "guard"]
     wide = F.when(F.col("length") >= min_chars, F.encode("line", "UTF-32"))
-    lines = lines.select("doc_id", "row", "line_no", "id", "guard", "length", *counts, wide.alias("wide"))
-    return lines.select(
-        "doc_id", "row", "line_no", "id", "guard", *COUNTS,
-        F.when(F.col("wide").isNotNull(), index_keys(edits)).alias("segments"),
-        F.when(F.col("wide").isNotNull(), probe_keys(edits)).alias("probes"))
+    lines = lines.select(*held, "length", wide.alias("wide"), F.expr(_size("length", edits)).alias("size"),
+                         F.expr(_size(f"greatest(length - {edits}, {min_chars})", edits)).alias("smaller"))
+    # In steps: one large projection is too long for the compiler of the virtual machine.
+    lines = lines.select(*held, "length", "wide", "size", "smaller", F.expr(_piece("size", edits)).alias("piece"), F.expr(_piece("smaller", edits)).alias("less"))
+    has = F.col("wide").isNotNull()
+    lines = lines.select(*held, "length", "wide", "size", "smaller", "less", F.when(has, F.expr(_keys("size", "piece", edits))).alias("keys"))
+    return lines.select(*held, "keys", F.when(has & (F.col("size") != F.col("smaller")), F.expr(_keys("smaller", "less", edits))).alias("more"))
 
 
 def _place() -> Column:
@@ -188,28 +196,30 @@ def members(rows: DataFrame, column: str, table: DataFrame, bits: int = KEY_BITS
     return found.where(F.call_function("shiftrightunsigned", F.col("bits"), bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).drop("word", "bits")
 
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """``a, b``: ids of different lines that share a substring as described above, and have the letters for it."""
-    long = lines.where("segments is not null")
-    own = long.select("id", *COUNTS, F.explode("segments").alias("key"))
-    asked = long.select("id", *COUNTS, F.explode("probes").alias("key"))
-    asked = stored(members(asked, "key", bit_table(own, "key")).distinct(), "line-probes")
-    shared = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    own = stored(members(own, "key", bit_table(shared.unionByName(asked.select("key")), "key")).distinct(), "line-segments")
-    asked = asked.withColumn("mutual", F.lit(False)).unionByName(own.withColumn("mutual", F.lit(True)))
-    own = own.withColumnsRenamed({c: f"own_{c}" for c in ("key", "id", *COUNTS)})
-    # The counts are compared inside the join: variants of one line share substrings by the thousand.
-    fit = counts_allow([(c, f"own_{c}") for c in COUNTS], edits)
-    pairs = own.join(asked, (F.col("own_key") == F.col("key")) & (F.col("id") != F.col("own_id"))
-                     & (~F.col("mutual") | (F.col("id") < F.col("own_id"))) & fit)
-    return pairs.select(F.least("id", "own_id").alias("a"), F.greatest("id", "own_id").alias("b")).distinct()
+def entries(lines: DataFrame) -> DataFrame:
+    """``key, id`` of the pieces that different lines share (and of some others)."""
+    both = F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.concat("keys", "more"))
+    every = lines.where("keys is not null").select("id", F.explode(both).alias("key"))
+    shared = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    return members(every, "key", bit_table(shared, "key")).select("key", "id").distinct()
+
+
+def candidates(pieces: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """``a, b``: ids of different lines that share a piece, and have the lengths and the letters for it."""
+    held = ["length", *COUNTS]
+    counted = pieces.join(texts.select("id", *held), "id")
+    own = counted.withColumnsRenamed({c: f"own_{c}" for c in ("key", "id", *held)})
+    # The counts are compared inside the join: variants of one line share pieces by the thousand.
+    fit = (F.abs(F.col("length") - F.col("own_length")) <= edits) & counts_allow([(c, f"own_{c}") for c in COUNTS], edits)
+    pairs = own.join(counted, (F.col("own_key") == F.col("key")) & (F.col("id") < F.col("own_id")) & fit)
+    return pairs.select(F.col("id").alias("a"), F.col("own_id").alias("b")).distinct()
 
 
 def grams(line: Column) -> Column:
     """Hashes of all pieces of ``GRAM`` characters."""
-    wide = F.encode(line, "UTF-32")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(line) - GRAM)),
-                       lambda k: F.xxhash64(F.substring(wide, k * 4 + 1, F.lit(4 * GRAM))))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(line) - GRAM))
+    return _let(F.encode(line, "UTF-32"),
+                lambda wide: F.transform(places, lambda k: F.xxhash64(F.substring(wide, k * 4 + 1, F.lit(4 * GRAM)))))
 
 
 def set_of(ids: DataFrame, column: str, bits: int = SET_BITS) -> Callable[[Column], Column]:
@@ -230,12 +240,13 @@ def set_of(ids: DataFrame, column: str, bits: int = SET_BITS) -> Callable[[Colum
     return test
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, edits: int, text: str) -> DataFrame:
+def near_lines(scratch: Scratch, docs: DataFrame, lines: DataFrame, edits: int, text: str) -> DataFrame:
     """``id, guard`` of the lines that have a near line before them."""
-    pairs = stored(candidates(lines, edits), "line-pairs")
-    member = set_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
-    texts = lines_of(docs, text).where(member(F.col("id"))).groupBy("id", "guard", "line").agg(F.min(_place()).alias("first"))
-    texts = stored(texts, "candidate-lines")
+    pieces = scratch.stored(entries(lines), "line-pieces")
+    texts = members(lines_of(docs, text), "id", bit_table(pieces, "id")).groupBy("id", "guard", "line").agg(F.min(_place()).alias("first"))
+    counts = [c.alias(n) for n, c in zip(COUNTS, letter_counts(F.col("line")))]
+    texts = scratch.stored(texts.select("*", F.char_length("line").alias("length"), *counts), "candidate-lines")
+    pairs = scratch.stored(candidates(pieces, texts, edits), "line-pairs")
 
     def side(name: str) -> DataFrame:
         return texts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("guard", "first", "line")])
@@ -248,19 +259,25 @@ def near_lines(docs: DataFrame, lines: DataFrame, edits: int, text: str) -> Data
     chars = fenced(cut.where(lost <= edits * GRAM), held, {"a_chars": F.split("a_line", ""), "b_chars": F.split("b_line", "")})
     near = chars.where(within(F.col("a_chars"), F.col("b_chars"), edits))
     later = F.col("a_first") > F.col("b_first")
-    return near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"),
-                       F.when(later, F.col("a_guard")).otherwise(F.col("b_guard")).alias("guard")).distinct()
+    near = scratch.stored(near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"),
+                                      F.when(later, F.col("a_guard")).otherwise(F.col("b_guard")).alias("guard")).distinct(), "near-lines")
+    scratch.drop(pieces, texts, pairs)
+    return near
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
-    """``doc_id, row, line_no, near`` of each line to go; ``near`` if an edited line is before it."""
-    lines = stored(hashed_lines(docs, edits, min_chars, text), "hashed-lines")
+def repeated_lines(scratch: Scratch, docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
+    """``_id, _row, _gone, _near``: numbers of the lines to go in each document, and how many of them have an edited line before them."""
+    lines = scratch.stored(hashed_lines(docs, edits, min_chars, text), "hashed-lines")
+    near = near_lines(scratch, docs, lines, edits, text)
     kinds = lines.groupBy("id", "guard").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    near = near_lines(docs, lines, edits, text).withColumn("near", F.lit(True))
-    judged = kinds.join(near, ["id", "guard"], "left").where("near or n > 1")
-    found = lines.select("doc_id", "row", "line_no", "id", "guard").join(judged, ["id", "guard"])
-    gone = F.coalesce("near", F.lit(False)) | (_place() != F.col("first"))
-    return found.where(gone).select("doc_id", "row", "line_no", F.coalesce("near", F.lit(False)).alias("near"))
+    judged = scratch.stored(kinds.join(near.withColumn("near", F.lit(True)), ["id", "guard"], "left").where("near or n > 1"), "judged-lines")
+    own = members(lines.select("doc_id", "row", "line_no", "id", "guard"), "id", bit_table(judged, "id"))
+    found = own.join(judged, ["id", "guard"]).withColumn("near", F.coalesce("near", F.lit(False)))
+    gone = found.where(F.col("near") | (_place() != F.col("first"))).groupBy("doc_id", "row").agg(
+        F.collect_set("line_no").alias("_gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("_near"))
+    gone = scratch.stored(gone.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "lines-to-go")
+    scratch.drop(lines, near, judged)
+    return gone
 
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
@@ -273,23 +290,27 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     """
     kept = docs.drop("n_lines", "n_removed", "n_near")
     given = kept.columns
-    gone = repeated_lines(kept.select("doc_id", text), edits, min_chars, text).groupBy("doc_id", "row").agg(
-        F.collect_set("line_no").alias("_gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("_near"))
-    gone = stored(gone.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "lines-to-go")
+    gone = repeated_lines(Scratch(docs.sparkSession), kept.select("doc_id", text), edits, min_chars, text)
     # Numbered names cannot clash with those used here.
     own = kept.toDF(*[f"c{i}" for i in range(len(given))])
     key, body = (f"c{[c.lower() for c in given].index(name.lower())}" for name in ("doc_id", text))
     row, doc_id = F.xxhash64(key, body), F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_ID))
     touched = set_of(gone, "_row")(row)
     lines = F.split(body, "\n")
-    n_lines = F.when(F.col(body).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines")
+
+    def n_lines(cut: Column) -> Column:
+        return F.when(F.col(body).isNull(), 0).otherwise(F.size(cut)).cast("bigint")
+
     zero = F.lit(0).cast("bigint")
     counts = ["n_lines", "n_removed", "n_near"]
-    same = own.where(~touched).select("*", n_lines, zero.alias("n_removed"), zero.alias("n_near"))
-    joined = own.where(touched).join(gone, (row == F.col("_row")) & (doc_id == F.col("_id")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    left = F.when(F.col("_gone").isNull(), F.col(body)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    changed = joined.select(
-        *[left.alias(c) if c == body else F.col(c) for c in own.columns], n_lines,
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("_near", F.lit(0)).cast("bigint").alias("n_near"))
+    same = own.where(~touched).select("*", n_lines(lines).alias("n_lines"), zero.alias("n_removed"), zero.alias("n_near"))
+    # The list of lines grows with the documents, so it is dealt out with them and not broadcast at any size.
+    joined = own.where(touched).join(gone.hint("shuffle_hash"), (row == F.col("_row")) & (doc_id == F.col("_id")), "left")
+    joined = joined.withColumn("_lines", lines)  # once, not for each line that stays
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    left = F.when(F.col("_gone").isNull(), F.col(body)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    # Fenced, or whoever filters by the text would put it together twice.
+    changed = fenced(joined, [c for c in own.columns if c != body], {
+        body: left, "n_lines": n_lines(F.col("_lines")), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
+        "n_near": F.coalesce("_near", F.lit(0)).cast("bigint")})
     return same.unionByName(changed).toDF(*given, *counts)
