@@ -58,7 +58,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group of linked texts, and the first of those without an id.
 
-    Rows are numbered in the table the stage before wrote, so what is kept is a column of numbers and no text is compared or moved for it.
+    Rows are numbered in a table, so what goes is a column of numbers, and no text is compared. Those that go are looked up and not those that stay:
+    they are few, and texts need not be moved to meet them.
     """
     own, back = _aside(docs, ("row_number",))
     numbered = stored(own.withColumn("row_number", F.monotonically_increasing_id()), "numbered-documents")
@@ -67,8 +68,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = numbered.select("row_number", "doc_id")
     # Of several rows of one id in a group the first in the table stays.
     first = ids.join(groups, "row_number").groupBy("group", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row_number")).alias("first"))
-    kept = stored(first.select("first.row_number"), "near-duplicates")
-    return numbered.join(kept, "row_number", "left_semi").drop("row_number").withColumnsRenamed(back)
+    gone = stored(ids.select("row_number").join(first.select("first.row_number"), "row_number", "left_anti"), "near-duplicates")
+    return numbered.join(gone, "row_number", "left_anti").drop("row_number").withColumnsRenamed(back)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

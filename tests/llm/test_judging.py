@@ -221,6 +221,17 @@ def test_pipeline_judges_each_text_of_an_id(spark, tmp_path):
         assert plain.as_rows(found, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (3, d), (None, a)], key=repr)
 
 
+def test_pipeline_looks_up_the_copies_that_go(spark, tmp_path, monkeypatch):
+    """The table that texts are held against has the rows that go, not those that stay."""
+    tables = {}
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, label: tables.setdefault(label, stored(df, label)))
+    texts = [plain.prose(60 + k, 100, 10**6) for k in range(12)]
+    docs = plain.odd_documents(spark, [(k, texts[max(k, 1)], "aa") for k in range(12)])
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in found.collect()) == [0, *range(2, 12)]
+    assert tables["near-duplicates"].count() == 1
+
+
 def test_names_used_inside_do_not_clash(spark, tmp_path):
     """Columns with the names the stages use themselves pass through unchanged."""
     spark.createDataFrame([(1, plain.odd_rows()[7][1])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
