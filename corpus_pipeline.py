@@ -10,6 +10,9 @@ works on everything the stage before kept. ``run`` writes each result to the sha
 * decontamination drops documents with a passage of a benchmark item.
 * packing returns the pieces of the remaining documents and their places in sequences of 4096 tokens.
 
+Stages that send texts to Python have Spark do so in small batches (``small_batches``). Their results are computed later, so the setting stays in
+the session; ``run``, which computes them, takes it back.
+
 SQL cannot express the first and the last stage, so there is no SQL for the whole.
 """
 
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from weakloom.llm import decontamination, jaccard_join, language_id, line_dedup, packing
 from weakloom.llm.store import stored
 from weakloom.llm.tokens import vocabulary_path
+from weakloom.session import BATCH_SETTING, small_batches
 
 
 def _aside(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -38,6 +42,7 @@ def _aside(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str,
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language."""
+    small_batches(spark)
     known = docs.where(~language_id.held_out(F.col("doc_id")))
     profiles = language_id.fit(known.select("text", "lang"))
     own, back = _aside(docs, ("lang_pred", "score"))
@@ -61,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are numbered in a table, so what goes is a column of numbers, and no text is compared. Those that go are looked up and not those that stay:
     they are few, and texts need not be moved to meet them.
     """
+    small_batches(spark)
     own, back = _aside(docs, ("row_number",))
     numbered = stored(own.withColumn("row_number", F.monotonically_increasing_id()), "numbered-documents")
     found = jaccard_join.near_duplicates(numbered.select(F.col("row_number").alias("doc_id"), "text"), width=5, percent=80)
@@ -74,6 +80,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages. Rows are told apart by id and text."""
+    small_batches(spark)
     key = F.xxhash64("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.find(docs.select(key.alias("doc_id"), "text"), items)
@@ -83,6 +90,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' tokens in training sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
@@ -101,6 +109,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` through all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    changed = small_batches(spark)
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        if changed:
+            spark.conf.unset(BATCH_SETTING)
     return docs

@@ -22,7 +22,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weakloom.llm.words import NOT_ALNUM, signed, slices, words_of
+from weakloom.llm.words import NOT_ALNUM, released, signed, slices, words_of
 from weakloom.session import durable, fresh_path
 
 WINDOW = 10
@@ -113,7 +113,7 @@ def build_index(docs: DataFrame, vocabulary: Broadcast | None) -> DataFrame:
                 number += 1
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "shard bigint, doc_ids array<bigint>, n_words array<bigint>, terms array<bigint>, begins array<bigint>, "
+        released(run), "shard bigint, doc_ids array<bigint>, n_words array<bigint>, terms array<bigint>, begins array<bigint>, "
              "positions array<int>")
 
 

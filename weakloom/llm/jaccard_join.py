@@ -2,7 +2,7 @@
 
 Sets of equal shingles are folded into one first, and one document stands for them. Every such set indexes its prefix: the tokens of which two
 sets at the threshold must share one, rarest first, so that a passage in very many documents stays out of the prefixes. (How
-frequent a token is, is known for the most frequent ones, from batches and from first prefixes; any order common to all
+frequent a token is, is known for the most frequent ones, from runs of texts and from first prefixes; any order common to all
 sets gives right results.) Only lists
 of two sets and more matter: which prefix tokens repeat is found by one aggregation and a bit set of fixed size.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from weakloom.llm import bitmap
 from weakloom.llm.graph import components
 from weakloom.llm.store import Scratch
-from weakloom.llm.words import BLANK, mix, signed, slices, whole, windows, words_of
+from weakloom.llm.words import BLANK, mix, released, signed, slices, whole, windows, words_of
 
 SHINGLE = 4
 PERCENT = 85
@@ -41,8 +41,9 @@ PERCENT = 85
 FREQUENT = 1 << 18
 #: A token counts as frequent where so many of the different sets met one after the other have it.
 FREQUENT_IN_BATCH = 4
-#: Tokens of sets looked at together for that; bounds the memory of a worker.
+#: Tokens of sets looked at together for that, and different sets remembered, so that copies count once; bound the memory of a worker.
 TOGETHER = 2_000_000
+SEEN = 10_000
 _NO_ID = (1 << 63) - 1
 
 
@@ -81,11 +82,11 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Sets:
 
 
 def survey(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, high, low`` of each document, and ``token, n`` (no id) of tokens frequent in a batch."""
+    """``doc_id, n, high, low`` of each document, and ``token, n`` (no id) of tokens frequent among ``TOGETHER`` tokens, whatever batches they come in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        tokens: list[np.ndarray] = []
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            tokens: list[np.ndarray] = []
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
                 count = np.diff(sets.first)
@@ -94,14 +95,16 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
                     if key not in seen:
                         seen.add(key)
                         new[i] = True
+                if len(seen) >= SEEN:
+                    seen.clear()
                 tokens.append(sets.token[new[sets.row]])
                 yield _rows(part.column("doc_id"), count, sets.high, sets.low, None)
                 if sum(map(len, tokens)) >= TOGETHER:
                     yield _rows(None, *_frequent(tokens))
                     tokens = []
-            yield _rows(None, *_frequent(tokens))
+        yield _rows(None, *_frequent(tokens))
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, high bigint, low bigint, token bigint")
+    return docs.mapInArrow(released(run), "doc_id bigint, n bigint, high bigint, low bigint, token bigint")
 
 
 def _frequent(tokens: list[np.ndarray]) -> tuple[np.ndarray, None, None, np.ndarray]:
@@ -181,7 +184,7 @@ def prefix_tokens(docs: DataFrame, nodes: Broadcast, order: Broadcast, width: in
                 at, _ = prefixes(sets, order.value, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sets.token[at]))], ["token"])
 
-    return docs.mapInArrow(run, "token bigint")
+    return docs.mapInArrow(released(run), "token bigint")
 
 
 def postings_of(docs: DataFrame, nodes: Broadcast, order: Broadcast, repeated: Broadcast, width: int, percent: int) -> DataFrame:
@@ -202,7 +205,7 @@ def postings_of(docs: DataFrame, nodes: Broadcast, order: Broadcast, repeated: B
                      pa.array(place), pa.array(np.bincount(row, minlength=part.num_rows)[row])],
                     ["doc_id", "n", "token", "place", "weight"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, token bigint, place bigint, weight bigint")
+    return docs.mapInArrow(released(run), "doc_id bigint, n bigint, token bigint, place bigint, weight bigint")
 
 
 def _repeated(tokens: DataFrame) -> DataFrame:
@@ -236,7 +239,7 @@ def items_of(docs: DataFrame, wanted: Broadcast, width: int) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(signed(sets.token)))],
                     ["doc_id", "n", "items"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, items array<bigint>")
+    return docs.mapInArrow(released(run), "doc_id bigint, n bigint, items array<bigint>")
 
 
 def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weakloom.llm.words import slices
+from weakloom.llm.words import released, slices
 
 PROFILE = 300
 LONGEST = 3
@@ -139,7 +139,7 @@ def fit(train: DataFrame, lang: str = "lang", text: str = "text", size: int = PR
                     [names.take(pa.array(grams.row)), pa.array(grams.gram), pa.array(grams.count)], ["lang", "gram", "n"])
 
     slim = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
-    counts = slim.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = slim.mapInArrow(released(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = counts.withColumn("rank", place).where(F.col("rank") <= size)
     found = best.select("lang", "gram", "rank").limit(MAX_LANGUAGES * size + 1).toArrow().to_pandas()
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", longest: in
                                                  [*part.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, schema + ", lang_pred string, score double")
+    return kept.mapInArrow(released(run), schema + ", lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

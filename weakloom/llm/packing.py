@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weakloom.llm.token_file import with_end
 from weakloom.llm.tokens import encoder
-from weakloom.llm.words import slices
+from weakloom.llm.words import released, slices
 from weakloom.session import durable
 
 CAPACITY = 4096
@@ -53,7 +53,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, keep_blanks: boo
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+        released(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

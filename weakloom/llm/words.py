@@ -9,7 +9,8 @@ Windows of words are hashed from the word hashes in the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -150,6 +151,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = end
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with the memory it has freed given back to the system at its end. Workers go on to other tasks, and what the allocators keep
+    from many different ones adds up."""
+    def until_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return until_end
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's BIGINT."""
     return h.view(np.int64)
