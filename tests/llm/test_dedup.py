@@ -4,6 +4,8 @@ import random
 from pathlib import Path
 
 import llm_plain as plain
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,63 @@ def test_jaccard_subsets_of_a_leader(spark):
     assert plain.as_rows(found, "doc_id", "n_shingles", "component_id") == plain.jaccard(rows)
 
 
+def profiles_of(texts, width=4):
+    sets = jaccard_join.shingle_sets(pa.array(texts, pa.string()), width)
+    tokens = [set(sets.token[a:b].tolist()) for a, b in zip(sets.first, sets.first[1:])]
+    return tokens, jaccard_join.profiles(sets), np.diff(sets.first)
+
+
+def test_profiles_bound_the_overlap():
+    """Never below the overlap, whatever the sizes, and far below the sizes where texts have nothing in common."""
+    base = plain.prose(1, 3000, 10**6).split()
+    texts = [" ".join(base[a:b]) for a, b in [(0, 3000), (0, 2600), (100, 1500), (200, 203), (5, 90), (0, 33), (0, 36), (0, 0)]]
+    texts += [plain.prose(2 + k, n, 10**6) for k, n in enumerate((3000, 2600, 1400, 90, 33))] + [None, "one", "one"]
+    tokens, found, n = profiles_of(texts)
+    pairs = [(a, b) for a in range(len(texts)) for b in range(len(texts))]
+    a, b = (pa.array([p[k] for p in pairs]) for k in range(2))
+    shared = np.array([len(tokens[x] & tokens[y]) for x, y in pairs])
+    most = jaccard_join.most_shared(found.take(a), found.take(b), n[a], n[b])
+    assert (most >= shared).all() and (most <= np.minimum(n[a], n[b])).all()
+    unlike = [k for k, (x, y) in enumerate(pairs) if (shared[k] == 0) & (min(n[x], n[y]) > 80) & (n[x] < 2 * n[y]) & (n[y] < 2 * n[x])]
+    assert len(unlike) > 10 and all(most[k] < 0.8 * min(n[x] for x in pairs[k]) for k in unlike)
+    cut = jaccard_join.most_shared(found.take(a).slice(7, 60), found.take(b).slice(7, 60), n[a][7:67], n[b][7:67])
+    assert cut.tolist() == most[7:67].tolist()
+
+
+def unlike_documents():
+    """Ten texts of nine passages, each of which is in one other text, and a family whose members are near some and not near others."""
+    passages = {(a, b): plain.prose(300 + 10 * a + b, 40, 10**6) for a in range(10) for b in range(a)}
+    rows = [(k, " ".join(passages[max(k, j), min(k, j)] for j in range(10) if j != k), "aa") for k in range(10)]
+    base = plain.prose(7, 200, 10**6).split()
+    return rows + [(100 + k, " ".join(base[:8 * k] + [f"{k}x{j}" for j in range(8)] + base[8 * k + 8:]), "aa") for k in range(12)]
+
+
+def test_whole_sets_are_fetched_only_for_pairs_that_may_count(spark, monkeypatch):
+    """Texts that share passages with others and are like none of them are told apart by their profiles."""
+    ids, kept = [], store.Scratch.stored
+
+    def seen(self, df, label):
+        table = kept(self, df, label)
+        ids.extend(r.doc_id for r in table.select("doc_id").collect()) if label == "sets" else None
+        return table
+
+    monkeypatch.setattr(store.Scratch, "stored", seen)
+    found = jaccard_join.near_duplicates(plain.odd_documents(spark, unlike_documents()))
+    assert plain.as_rows(found, "doc_id", "n_shingles", "component_id") == plain.jaccard(unlike_documents())
+    assert ids and min(ids) >= 100
+
+
+def test_pairs_are_compared_in_parts(spark, monkeypatch):
+    """Pairs that would move more tokens than all their sets have are dealt over several parts."""
+    tables, kept = [], store.Scratch.stored
+    monkeypatch.setattr(store.Scratch, "stored", lambda self, df, label: tables.append(label) or kept(self, df, label))
+    monkeypatch.setattr(jaccard_join, "MOVED", 100)
+    rows = plain.odd_rows() + [(1000 + i, t, g) for i, t, g in unlike_documents()]
+    found = jaccard_join.near_duplicates(plain.odd_documents(spark, rows), percent=60)
+    assert plain.as_rows(found, "doc_id", "n_shingles", "component_id") == plain.jaccard(rows, 60)
+    assert tables.count("leader-pairs") + tables.count("block-heads") + tables.count("member-pairs") > 3
+
+
 def test_components(spark):
     pick = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 160)] + [(pick.randrange(90), pick.randrange(90)) for _ in range(70)]

@@ -16,12 +16,17 @@ The lists are then used without comparing all pairs in them:
   |X & Y| plus what it has beyond X in common with Y. So it is if the leaders turn out to be linked, or if both
   blocks hold nothing but their leaders. Blocks that are left are expanded.
 
+Sets that share a frequent token by chance make pairs that grow faster than the documents, and a pair moves a whole set to where it is compared.
+So each set has a profile of a few bits per token, which bounds its overlap with another from above: pairs that cannot reach what
+they are asked for end there. What is left is compared in as many parts as keep the sets moved at once below those held.
+
 A skipped pair is below the threshold or inside one component, so no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +49,12 @@ FREQUENT_IN_BATCH = 4
 #: Tokens of sets looked at together for that, and different sets remembered, so that copies count once; bound the memory of a worker.
 TOGETHER = 2_000_000
 SEEN = 10_000
+#: Bits of a profile for each token, at least; a profile has a power of two of them.
+PROFILE = 2
+#: Bytes of profiles looked at together.
+PROFILES_TOGETHER = 1 << 20
+#: Tokens of sets that pairs may move at once in any case.
+MOVED = 1 << 27
 _NO_ID = (1 << 63) - 1
 
 
@@ -81,8 +92,49 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Sets:
     return Sets(row, token, first, high, low)
 
 
+def profiles(sets: Sets) -> pa.Array:
+    """A bit set of its tokens for each set, of ``PROFILE`` to twice as many bits per token."""
+    n = np.diff(sets.first)
+    bits = np.where(n > 0, np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1) * PROFILE)).astype(np.int64)), 0)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    held = np.zeros(first[-1], bool)
+    held[first[sets.row] + (sets.token & (bits[sets.row] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((first >> 3).astype(np.int32)), pa.py_buffer(np.packbits(held, bitorder="little"))])
+
+
+def _cut(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of binary values, and the first of each and the end."""
+    first = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+    data = values.buffers()[2]
+    return np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8), first
+
+
+def _folded(rows: np.ndarray, size: int) -> np.ndarray:
+    """Profiles as they are with fewer bits."""
+    while rows.shape[1] > size:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return rows
+
+
+def most_shared(a: pa.Array, b: pa.Array, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """No fewer than the tokens that sets of these profiles and sizes share: a bit that only one has stands for a token at least."""
+    out = np.minimum(n_a, n_b)
+    (data_a, first_a), (data_b, first_b) = _cut(a), _cut(b)
+    size_a, size_b = np.diff(first_a), np.diff(first_b)
+    for x, y in set(zip(size_a.tolist(), size_b.tolist())):
+        rows = np.flatnonzero((size_a == x) & (size_b == y))
+        step = max(1, PROFILES_TOGETHER // max(x, y, 1))
+        for at in (rows[k:k + step] for k in range(0, len(rows), step)):
+            own = _folded(data_a[first_a[at][:, None] + np.arange(x)], min(x, y))
+            other = _folded(data_b[first_b[at][:, None] + np.arange(y)], min(x, y))
+            lost = [np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((own, other), (other, own))]
+            out[at] = np.minimum(n_a[at] - lost[0], n_b[at] - lost[1])
+    return out
+
+
 def survey(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, high, low`` of each document, and ``token, n`` (no id) of tokens frequent among ``TOGETHER`` tokens, whatever batches they come in."""
+    """``doc_id, n, high, low, profile`` of each document, and ``token, n`` (no id) of tokens frequent among ``TOGETHER`` tokens, whatever batches they come in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         tokens: list[np.ndarray] = []
@@ -98,13 +150,13 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
                 if len(seen) >= SEEN:
                     seen.clear()
                 tokens.append(sets.token[new[sets.row]])
-                yield _rows(part.column("doc_id"), count, sets.high, sets.low, None)
+                yield _rows(part.column("doc_id"), count, sets.high, sets.low, None, profiles(sets))
                 if sum(map(len, tokens)) >= TOGETHER:
                     yield _rows(None, *_frequent(tokens))
                     tokens = []
         yield _rows(None, *_frequent(tokens))
 
-    return docs.mapInArrow(released(run), "doc_id bigint, n bigint, high bigint, low bigint, token bigint")
+    return docs.mapInArrow(released(run), "doc_id bigint, n bigint, high bigint, low bigint, token bigint, profile binary")
 
 
 def _frequent(tokens: list[np.ndarray]) -> tuple[np.ndarray, None, None, np.ndarray]:
@@ -116,13 +168,14 @@ def _frequent(tokens: list[np.ndarray]) -> tuple[np.ndarray, None, None, np.ndar
     return np.searchsorted(ordered, some, side="right") - np.searchsorted(ordered, some), None, None, some
 
 
-def _rows(doc_id, n, high, low, token) -> pa.RecordBatch:
+def _rows(doc_id, n, high, low, token, profile=None) -> pa.RecordBatch:
     def column(values: np.ndarray | None) -> pa.Array:
         return pa.nulls(len(n), pa.int64()) if values is None else pa.array(signed(values))
 
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(len(n), pa.int64()) if doc_id is None else doc_id, pa.array(n.astype(np.int64)), column(high), column(low), column(token)],
-        ["doc_id", "n", "high", "low", "token"])
+        [pa.nulls(len(n), pa.int64()) if doc_id is None else doc_id, pa.array(n.astype(np.int64)), column(high), column(low), column(token),
+         pa.nulls(len(n), pa.binary()) if profile is None else profile],
+        ["doc_id", "n", "high", "low", "token", "profile"])
 
 
 class Order(NamedTuple):
@@ -247,9 +300,38 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (n_a + n_b) * percent
 
 
-def compared(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, label: str) -> DataFrame:
-    """``a, b, n_a, n_b, overlap`` of pairs of documents, from the whole sets of just these documents."""
-    pairs = scratch.stored(pairs.select("a", "b").distinct(), "pairs")
+def bounded(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``most`` in place of the two profiles: no fewer than the tokens shared."""
+    held = [c for c in pairs.columns if not c.startswith("profile_")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = most_shared(*(batch.column(f"profile_{s}") for s in "ab"), *(batch.column(f"n_{s}").to_numpy() for s in "ab"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(most)], [*held, "most"])
+
+    return pairs.mapInArrow(released(run), ", ".join([*(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in held), "most bigint"]))
+
+
+def may_count(pairs: DataFrame, profiled: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n`` (the size of a) of the pairs whose profiles allow for a link, or for what their columns ``least_a, least_b, room`` ask, if they have them.
+
+    An id with several sets may come several times.
+    """
+    both = pairs
+    for s in "ab":
+        both = both.join(profiled.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("profile").alias(f"profile_{s}")), s)
+    fit = _reaches(F.col("most"), F.col("n_a"), F.col("n_b"), percent)
+    if "room" in pairs.columns:
+        fit |= F.col("room").isNotNull() & _reaches(F.col("most") + F.col("room"), F.col("least_a"), F.col("least_b"), percent)
+    return bounded(both).where(fit).groupBy("a", "b").agg(F.max("n_a").alias("n"))
+
+
+def compared(scratch: Scratch, pairs: DataFrame, profiled: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """``a, b, n_a, n_b, overlap`` of the pairs of documents that may count, from the whole sets of just these documents.
+
+    Pairs are dealt over parts, so that no more tokens are moved to meet others than the sets themselves have, or ``MOVED``.
+    """
+    pairs = scratch.stored(may_count(pairs, profiled, percent), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct())
     wanted = bitmap.gather(with_hash(ids), "id_hash")
     sets = scratch.stored(items_of(docs, docs.sparkSession.sparkContext.broadcast(wanted), width), "sets")
@@ -257,22 +339,29 @@ def compared(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, la
     def side(name: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("items").alias(f"items_{name}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    moved = pairs.agg(F.sum("n")).first()[0] or 0
+    parts = 1 if moved <= MOVED else -(-moved // max(MOVED, sets.agg(F.sum("n")).first()[0]))
     overlap = F.size(F.array_intersect("items_a", "items_b")).cast("bigint").alias("overlap")
-    found = scratch.stored(both.select("a", "b", "n_a", "n_b", overlap), label)
+    found = []
+    for k in range(parts):
+        some = pairs.select("a", "b").where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k) if parts > 1 else pairs.select("a", "b")
+        both = some.join(side("a"), "a").join(side("b"), "b")
+        found.append(scratch.stored(both.select("a", "b", "n_a", "n_b", overlap), label))
+        if k + 1 < parts:
+            scratch.drop()
     scratch.drop(pairs, sets)
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
-def links(scratch: Scratch, postings: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def links(scratch: Scratch, postings: DataFrame, profiled: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` that give the same components as all links between the sets."""
     # Round one: every set against the leaders of its lists.
     top = F.max(F.struct("weight", (-F.col("doc_id")).alias("id"), "n", "place"))
     leaders = postings.groupBy("token").agg(top.alias("top"))
     fit = _reaches(F.least(F.col("n") - F.col("place"), F.col("top.n") - F.col("top.place")), F.col("n"), F.col("top.n"), percent)
     pairs = postings.join(leaders, "token").where(fit & (F.col("doc_id") != -F.col("top.id"))).select(
-        F.col("doc_id").alias("a"), (-F.col("top.id")).alias("b"))
-    first = compared(scratch, pairs, docs, width, "leader-pairs")
+        F.col("doc_id").alias("a"), (-F.col("top.id")).alias("b")).distinct()
+    first = compared(scratch, pairs, profiled, docs, width, percent, "leader-pairs")
     linked = first.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent))
     label = components(linked.select("a", "b"))
     # Round two: lists that hold several components, in blocks of one leader each.
@@ -297,8 +386,13 @@ def links(scratch: Scratch, postings: DataFrame, docs: DataFrame, width: int, pe
     block_pairs = block_rows.groupBy("leader_x", "leader_y").agg(
         F.min("least_x").alias("least_x"), F.min("least_y").alias("least_y"), F.max("beyond_x").alias("beyond_x"), F.max("beyond_y").alias("beyond_y"),
         F.max(F.col("more_x") | F.col("more_y")).alias("more"), F.sum(F.col("m_x") * F.col("m_y")).alias("in_lists"))
-    heads = compared(scratch, block_pairs.select(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")), docs, width, "block-heads")
-    heads = scratch.stored(heads.join(block_pairs.withColumnsRenamed({"leader_x": "a", "leader_y": "b"}), ["a", "b"]), "block-pairs")
+    block_pairs = scratch.stored(block_pairs.withColumnsRenamed({"leader_x": "a", "leader_y": "b"}), "block-pairs")
+    # The answer of two leaders counts if it is a link, or if it leaves room for one between others of their blocks.
+    room = F.when(F.col("more"), F.col("beyond_x") + F.col("beyond_y")).alias("room")
+    asked = block_pairs.select("a", "b", F.col("least_x").alias("least_a"), F.col("least_y").alias("least_b"), room)
+    heads = compared(scratch, asked, profiled, docs, width, percent, "block-heads")
+    heads = scratch.stored(heads.join(block_pairs, ["a", "b"]), "answered-pairs")
+    scratch.drop(block_pairs)
     second = heads.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     # Members without anything beyond their leader were not compared either; only leaders alone are done.
     merged = components(linked.select("a", "b").unionByName(second))
@@ -323,8 +417,8 @@ def links(scratch: Scratch, postings: DataFrame, docs: DataFrame, width: int, pe
     x, y = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in open_lists.columns if c != "token"]) for s in "xy")
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     listed = x.join(in_lists, ["token", "leader_x"]).join(y, ["token", "leader_y"]).where(fit & _reaches(rest, F.col("n_x"), F.col("n_y"), percent))
-    expanded = whole_blocks.unionByName(listed, allowMissingColumns=True).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
-    third = compared(scratch, expanded, docs, width, "member-pairs")
+    expanded = whole_blocks.unionByName(listed, allowMissingColumns=True).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    third = compared(scratch, expanded, profiled, docs, width, percent, "member-pairs")
     scratch.drop(open_lists, block_rows, left)
     third = third.where(_reaches(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     return linked.select("a", "b").unionByName(second).unionByName(third)
@@ -344,7 +438,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     scratch = Scratch(spark)
     surveyed = scratch.stored(survey(slim, width), "shingle-survey")
     frequent = surveyed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-    members = surveyed.where("token is null").drop("token")
+    members = surveyed.where("token is null").drop("token", "profile")
+    profiled = surveyed.where("token is null and n > 0").select("doc_id", "n", "profile")
     classes = scratch.stored(members.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node")), "set-classes")
     nodes = classes.select(F.col("node").alias("doc_id"))
     standing = spark.sparkContext.broadcast(bitmap.gather(with_hash(nodes), "id_hash"))
@@ -359,7 +454,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     postings = scratch.stored(every.join(lists, "token", "left_semi").join(nodes, "doc_id", "left_semi"), "lists")
     scratch.drop(every)
-    label = components(links(scratch, postings, slim, width, percent))
+    label = components(links(scratch, postings, profiled, slim, width, percent))
     joined = members.join(classes, ["high", "low"], "left").join(label, "node", "left")
     found = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return joined.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
