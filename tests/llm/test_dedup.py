@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weakloom import session
 from weakloom.llm import decontamination, graph, jaccard_join, line_dedup, store, substring_dedup
 
@@ -131,6 +132,20 @@ def test_whole_sets_are_fetched_only_for_pairs_that_may_count(spark, monkeypatch
     assert ids and min(ids) >= 100
 
 
+def test_pipeline_fetches_whole_sets_only_for_pairs_that_may_count(spark, monkeypatch, tmp_path):
+    found, kept = [], store.Scratch.stored
+
+    def seen(self, df, label):
+        table = kept(self, df, label)
+        found.append(table.count()) if label == "sets" else None
+        return table
+
+    monkeypatch.setattr(store.Scratch, "stored", seen)
+    left = corpus_pipeline.drop_near_duplicates(spark, plain.odd_documents(spark, unlike_documents()), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [*range(10), 100]
+    assert max(found) <= 12
+
+
 def test_pairs_are_compared_in_parts(spark, monkeypatch):
     """Pairs that would move more tokens than all their sets have are dealt over several parts."""
     tables, kept = [], store.Scratch.stored
